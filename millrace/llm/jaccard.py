@@ -46,18 +46,20 @@ def parts_of_band(band: int, threshold: float) -> tuple[int, int]:
     if parts <= 24:
         return parts, 1
     # parts that no difference hits, and that hold LEAST_GRAMS n-grams of a set of the smallest size
-    for m in range(8, parts):
+    m = 8
+    while m < parts:
         mean = (1 << band) / m
         held = 1 - exp(-mean) * (1 + mean + mean * mean / 2)
         if m * exp(-differ / m) * held >= MEET:
             return m, LEAST_GRAMS
+        m += max(1, m // 50)
     return parts, 1
 
 
 def _signatures(keys: np.ndarray, ptr: np.ndarray, band: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(document, signature) of each part that counts; band: of each document, -1 for none."""
     sizes = np.diff(ptr)
-    table = np.array([parts_of_band(b, threshold) for b in range(40)], np.int64)
+    table = np.array([parts_of_band(b, threshold) for b in range(int(band.max(initial=0)) + 1)], np.int64)
     parts, least = table[np.maximum(band, 0), 0], table[np.maximum(band, 0), 1]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     used = band[owner] >= 0
