@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import jaccard, packing, tiling
+from millrace.llm import bytecnn, jaccard, packing, secrets, tiling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op5_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return bytecnn.keep_good(docs, bytecnn.fit_quality(docs, _read(spark, sf_dir, "labels")))
+
+
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_by_retrieval(_read(spark, sf_dir, "documents"))
 
@@ -28,6 +37,8 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_benchmark_tiling": op5_benchmark_tiling,
+    "op6_secret_guess_cost": op6_secret_guess_cost,
+    "op7_byte_network": op7_byte_network,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
 
