@@ -35,6 +35,9 @@ BROADCAST_ROWS = 1_000_000
 #: Pairs verified in one cell; a group of candidates with more is dealt over a grid of cells.
 CELL_PAIRS = 1_000_000
 _FLUSH = 1 << 20
+#: Sets of up to this size carry a sketch of 256 bits into the buckets: their parts are small, so many
+#: meet by chance, and the Hamming distance of the whole sketches refutes nearly all of these at once.
+CARRY_TO = 364
 
 
 @cache
@@ -84,6 +87,19 @@ def _set_keys(keys: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return mix((total[ptr[1:]] - total[ptr[:-1]]) ^ mix(np.diff(ptr).astype(U))).view(np.int64)
 
 
+def _whole_sketches(keys: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of 1 .. CARRY_TO n-grams, and the parity of their sets on 256 bits as 4 words each."""
+    sizes = np.diff(ptr)
+    small = np.flatnonzero((sizes > 0) & (sizes <= CARRY_TO))
+    if not len(small):
+        return small, np.zeros((0, 4), U)
+    used = np.repeat((sizes > 0) & (sizes <= CARRY_TO), sizes)
+    bit = mix(keys[used] + U(0x9E6C63D0876A9A47)) >> U(56)
+    first = np.concatenate(([0], np.cumsum(sizes[small])[:-1]))
+    one = U(1) << (bit & U(63))
+    return small, np.stack([np.bitwise_xor.reduceat(np.where(bit >> U(6) == U(lane), one, U(0)), first) for lane in range(4)], axis=1)
+
+
 def _sketch(n: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,53 +113,74 @@ def _sketch(n: int, threshold: float):
                 owner, sig = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
                 order = np.argsort(owner, kind="stable")
                 at = np.searchsorted(owner[order], np.arange(len(sizes) + 1))
+                small, whole = _whole_sketches(keys, ptr)
+                width = np.zeros(len(sizes) + 1, np.int32)
+                width[small + 1] = 32
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(words.row, len(sizes)),
                         pa.array(_set_keys(keys, ptr)),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sig[order].view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.cumsum(width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(whole).tobytes())]),
                     ],
-                    ["doc_id", "set_key", "n", "sigs"],
+                    ["doc_id", "set_key", "n", "sigs", "whole"],
                 )
 
     return run
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of different sets in each bucket of the partition."""
-    held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
-    if not held:
-        return
-    sig, key = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-    held.clear()
-    order = np.argsort(sig)
-    sig, key = sig[order], key[order]
-    # singletons go first: they are most
-    same = sig[1:] == sig[:-1]
-    keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    sig, key = sig[keep], key[keep]
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    if not len(sig):
-        return
-    keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-    sig, key = sig[keep], key[keep]
-    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.append(first, len(sig)))
-    left = np.repeat(first + size, size) - np.arange(len(sig)) - 1  # partners after each in its bucket
-    done = 0
-    while done < len(sig):
-        upto = max(done + 1, int(np.searchsorted(np.cumsum(left[done:]), _FLUSH)) + done)
-        span = left[done:upto]
-        if span.sum():
-            a = np.repeat(np.arange(done, upto), span)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(span) - span, span)
-            pair = np.stack((key[a], key[b]), axis=1)
-            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-            pair = pair[np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))]
-            yield pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
-        done = upto
+def _bucket_pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All pairs of different sets in each bucket of the partition whose carried sketches allow it."""
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        held.clear()
+        sig, key, size = (np.asarray(table[c].combine_chunks()) for c in ("sig", "set_key", "n"))
+        whole = table["whole"].cast(pa.large_binary()).combine_chunks()
+        del table
+        # singletons go first: they are most
+        order = np.argsort(sig)
+        same = sig[order][1:] == sig[order][:-1]
+        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        order = order[np.lexsort((key[order], sig[order]))]
+        if not len(order):
+            return
+        s, k = sig[order], key[order]
+        order = order[np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))]
+        sig, key, size, whole = sig[order], key[order], size[order], whole.take(pa.array(order))
+        offset = np.frombuffer(whole.buffers()[1], np.int64)[: len(order) + 1]
+        bits = np.frombuffer(whole.buffers()[2] or b"", U).reshape(-1, 4) if offset[-1] else np.zeros((1, 4), U)
+        row = offset[:-1] // 32
+        carried = np.diff(offset) == 32
+        row[~carried] = 0
+        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        run_size = np.diff(np.append(first, len(sig)))
+        left = np.repeat(first + run_size, run_size) - np.arange(len(sig)) - 1  # partners after each in its bucket
+        upto_pairs = np.cumsum(left)
+        share = (1 - threshold) / (1 + threshold)
+        done = 0
+        while done < len(sig):
+            before = upto_pairs[done - 1] if done else 0
+            upto = max(done + 1, int(np.searchsorted(upto_pairs, before + _FLUSH, side="right")))
+            span = left[done:upto]
+            if span.any():
+                a = np.repeat(np.arange(done, upto), span)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(span) - span, span)
+                good = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+                a, b = a[good], b[good]
+                apart = np.bitwise_count(bits[row[a]] ^ bits[row[b]]).sum(axis=1, dtype=np.int64)
+                good = ~(carried[a] & carried[b]) | (apart <= share * (size[a] + size[b]) + 1e-9)
+                pair = np.stack((key[a[good]], key[b[good]]), axis=1)
+                if len(pair):
+                    pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
+                    pair = pair[np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))]
+                    yield pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
+            done = upto
+
+    return run
 
 
 def _verify(n: int, threshold: float):
@@ -189,10 +226,10 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     """(members, pairs): members (doc_id, set_key, n) puts documents of equal n-gram sets under one key;
     pairs (a, b, jaccard) has each pair of different sets at the threshold or above, a < b."""
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sketched = stash(docs.mapInArrow(_sketch(n, threshold), "doc_id long, set_key long, n long, sigs array<long>").where("n > 0"), "sketches")
+    sketched = stash(docs.mapInArrow(_sketch(n, threshold), "doc_id long, set_key long, n long, sigs array<long>, whole binary").where("n > 0"), "sketches")
     members = sketched.select("doc_id", "set_key", "n")
-    buckets = sketched.select(F.explode("sigs").alias("sig"), "set_key").repartition("sig")
-    candidates = stash(buckets.mapInArrow(_bucket_pairs, "a long, b long").distinct(), "candidates")
+    buckets = sketched.select(F.explode("sigs").alias("sig"), "set_key", F.col("n").cast("int"), "whole").repartition("sig")
+    candidates = stash(buckets.mapInArrow(_bucket_pairs(threshold), "a long, b long").distinct(), "candidates")
 
     # pairs that share their smallest neighbour are verified together, so a text is sent to few cells
     lead = candidates.groupBy("b").agg(F.min("a").alias("_lead")).withColumnRenamed("b", "_b")
