@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bytecnn, jaccard, packing, secrets, tiling
+from millrace.llm import bytecnn, hilbert, jaccard, packing, secrets, templates, tiling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.remove_templates(_read(spark, sf_dir, "pages"))
+
+
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(_read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +43,8 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_templates": op1_site_templates,
+    "op2_hilbert_shards": op2_hilbert_shards,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_benchmark_tiling": op5_benchmark_tiling,
     "op6_secret_guess_cost": op6_secret_guess_cost,
@@ -42,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_retrieval_packing": op10_retrieval_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_hilbert_shards": hilbert.oracle()}
