@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bytecnn, hilbert, jaccard, packing, secrets, templates, tiling
+from millrace.llm import bytecnn, deobfuscate, hilbert, jaccard, packing, secrets, suffixes, templates, tiling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(_read(spark, sf_dir, "documents"))
 
 
+def op3_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deobfuscate.find_pii(_read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.keep_good(docs, bytecnn.fit_quality(docs, _read(spark, sf_dir, "labels")))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_by_retrieval(_read(spark, sf_dir, "documents"))
 
@@ -45,10 +53,12 @@ def op10_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_templates": op1_site_templates,
     "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_disguised_pii": op3_disguised_pii,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_benchmark_tiling": op5_benchmark_tiling,
     "op6_secret_guess_cost": op6_secret_guess_cost,
     "op7_byte_network": op7_byte_network,
+    "op9_suffix_repeats": op9_suffix_repeats,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
 
