@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bytecnn, deobfuscate, hilbert, jaccard, packing, secrets, suffixes, templates, tiling
+from millrace.llm import bytecnn, deobfuscate, hilbert, jaccard, packing, rulelists, secrets, suffixes, templates, tiling
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.keep_good(docs, bytecnn.fit_quality(docs, _read(spark, sf_dir, "labels")))
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return rulelists.judge(docs, rulelists.fit_rules(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(_read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_tiling": op5_benchmark_tiling,
     "op6_secret_guess_cost": op6_secret_guess_cost,
     "op7_byte_network": op7_byte_network,
+    "op8_decision_list": op8_decision_list,
     "op9_suffix_repeats": op9_suffix_repeats,
     "op10_retrieval_packing": op10_retrieval_packing,
 }
