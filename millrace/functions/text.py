@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 #: Letters of a script as a Java character class. Letters outside every class count as Other.
 SCRIPTS = {
@@ -39,20 +40,20 @@ MARKUP = "<[^>]{1,120}>"
 PLACEHOLDER = "(?U)\\{\\w*\\}|%\\d*\\$?[A-Za-z]|&[A-Za-z][0-9A-Za-z]+;"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_nfc(text: pd.Series) -> pd.Series:
     """Entities resolved once, then composed."""
     plain = [None if t is None else t if t.isascii() and "&" not in t else unicodedata.normalize("NFC", html.unescape(t)) for t in text]
     return pd.Series(plain, dtype=object)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def nfc_changes(text: pd.Series) -> pd.Series:
     """1 where composition changes the text that entity resolution leaves."""
     return pd.Series([0 if t is None or t.isascii() and "&" not in t else int(not unicodedata.is_normalized("NFC", html.unescape(t))) for t in text], dtype="int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold_key(text: pd.Series) -> pd.Series:
     """White space folded to one space, case folded, stripped: exact for all of Unicode."""
     return pd.Series([None if t is None else " ".join(t.split()).casefold() for t in text], dtype=object)
@@ -146,10 +147,15 @@ def words(text: Column) -> Column:
 
 def word_grams(text: Column, n: int = 13) -> Column:
     """Distinct word n-grams of the key; shorter texts have one, all their words; empty ones none."""
-    w = F.filter(F.split(key_of(text), " "), lambda x: x != "")
-    count = F.greatest(F.size(w) - n + 1, F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(w: Column) -> Column:
+        count = F.greatest(F.size(w) - n + 1, F.lit(1))
+        some = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(some))
+
+    # the lambda binds the words: they are split once for a row, not once for a gram
+    words_of = F.filter(F.split(key_of(text), " "), lambda x: x != "")
+    return F.get(F.transform(F.array(words_of), grams), F.lit(0))
 
 
 def placeholders(text: Column) -> Column:
