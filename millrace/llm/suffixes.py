@@ -3,7 +3,7 @@
 Sorting all suffixes of a corpus is done shard by shard. Winnowed anchors (runs of GRAM words with the
 least hash in a window) are in every passage of LENGTH words, wherever it occurs; anchors of one document
 only are dropped. Each remaining anchor is sent, with the words around it, to the shard of its hash, and
-the suffixes that start up to LENGTH - GRAM words before it are sorted there. The suffix sort is a
+the suffixes whose first LENGTH words it is the anchor of are sorted there: each suffix in one place. The suffix sort is a
 mergesort whose comparisons find the common extension of two suffixes by binary search on prefix
 polynomial hashes; neighbours with a common extension of LENGTH words are compared word by word.
 """
@@ -27,8 +27,8 @@ _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 1 << 64)
 
 
-def anchors(g: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least hash (the first, of equal ones) of each window of so many hashes."""
+def winnow(g: np.ndarray, window: int) -> np.ndarray:
+    """For each window of so many hashes, the place of the least one (the first, of equal ones)."""
     n = len(g) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
@@ -42,7 +42,7 @@ def anchors(g: np.ndarray, window: int) -> np.ndarray:
     rest = window - size
     if rest:
         key = np.minimum(key[:-rest], key[rest:])
-    return np.unique(key & low).astype(np.int64)
+    return (key & low).astype(np.int64)
 
 
 class SuffixSort:
@@ -129,7 +129,7 @@ def _prepare(length: int, gram: int):
                     a, b = int(words.ptr[d]), int(words.ptr[d + 1])
                     text = words.data[words.docs[d] : words.docs[d + 1]]
                     some = g[first[d] : first[d] + b - a - gram + 1]
-                    place = anchors(some, length - gram + 1)
+                    place = np.unique(winnow(some, length - gram + 1))
                     digest = xxhash.xxh3_128_intdigest(text.tobytes())
                     bytes_before = words.docs[d]
                     chars = np.cumsum((text & 0xC0) != 0x80)
@@ -173,28 +173,32 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _contexts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each shared anchor of a text, the words that suffixes around it reach."""
+        """For each shared anchor of a text, the words that the suffixes it is the anchor of reach."""
         for batch in batches:
             lists = batch.column(2)
             for words in tokenize(batch.column(1)):
                 rows = []
-                for d in range(len(words.ptr) - 1):
+                g, at = grams(words, gram)
+                first = np.searchsorted(at, words.ptr[:-1])
+                for d in np.flatnonzero(words.counts() >= length).tolist():
                     a, b = int(words.ptr[d]), int(words.ptr[d + 1])
-                    places = np.unique(np.asarray(lists[words.row + d].values))
-                    places = places[places + gram <= b - a]  # a repeated doc_id may bring another text
-                    if not len(places):
-                        continue
+                    owner = winnow(g[first[d] : first[d] + b - a - gram + 1], length - gram + 1)
+                    # the windows of an anchor are consecutive
+                    places, lo = np.unique(owner, return_index=True)
+                    hi = np.append(lo[1:], len(owner)) - 1
+                    shared = np.isin(places, np.asarray(lists[words.row + d].values))
                     lo_byte = int(words.docs[d])
                     chars = np.cumsum((words.data[lo_byte : words.docs[d + 1]] & 0xC0) != 0x80)
-                    g = words.hash[a:b]
-                    for p in places.tolist():
-                        lo, hi = max(0, p - (length - gram)), min(b - a, p + length)
-                        x, y = int(words.start[a + lo]), int(words.end[a + hi - 1])
-                        key = int(xxhash.xxh3_64_intdigest(g[p : p + gram].tobytes()))
-                        rows.append((key - (1 << 64) if key >> 63 else key, words.row + d, p - lo, int(chars[x - lo_byte]) - 1, words.data[x:y].tobytes().decode()))
+                    hashes = g[first[d] + places].view(np.int64)
+                    for k in np.flatnonzero(shared).tolist():
+                        x, y = int(words.start[a + lo[k]]), int(words.end[a + hi[k] + length - 1])
+                        rows.append((int(hashes[k]), words.row + d, int(places[k] - lo[k]), int(places[k] - hi[k]), int(chars[x - lo_byte]) - 1, words.data[x:y].tobytes().decode()))
                 if rows:
-                    anchor, row, ahead, base, text = zip(*rows)
-                    yield pa.record_batch([pa.array(anchor, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(ahead, pa.int64()), pa.array(base, pa.int64()), pa.array(text, pa.string())], ["anchor", "doc_id", "ahead", "base", "context"])
+                    anchor, row, most, least, base, text = zip(*rows)
+                    yield pa.record_batch(
+                        [pa.array(anchor, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(most, pa.int64()), pa.array(least, pa.int64()), pa.array(base, pa.int64()), pa.array(text, pa.string())],
+                        ["anchor", "doc_id", "most", "least", "base", "context"],
+                    )
 
     return run
 
@@ -207,32 +211,30 @@ def _sort_shard(length: int, gram: int):
         table = pa.Table.from_batches(held)
         held.clear()
         table = table.sort_by([("anchor", "ascending")])
-        anchor, doc, ahead, base = (np.asarray(table[c].combine_chunks()) for c in ("anchor", "doc_id", "ahead", "base"))
+        anchor, doc, most, least, base = (np.asarray(table[c].combine_chunks()) for c in ("anchor", "doc_id", "most", "least", "base"))
         text = table["context"].combine_chunks()
         del table
         # whole groups of anchors at a time, as long as they are small
         edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
         i = 0
         while i < len(edge) - 1:
-            j = max(i + 1, int(np.searchsorted(edge, edge[i] + 20_000, side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + 12_000, side="right")) - 1)
             a, b = int(edge[i]), int(edge[j])
-            yield from _sort_groups(anchor[a:b], doc[a:b], ahead[a:b], base[a:b], text.slice(a, b - a), length, gram)
+            yield from _sort_groups(anchor[a:b], doc[a:b], most[a:b], least[a:b], base[a:b], text.slice(a, b - a), length, gram)
             i = j
 
     return run
 
 
-def _sort_groups(anchor: np.ndarray, doc: np.ndarray, ahead: np.ndarray, base: np.ndarray, text: pa.Array, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _sort_groups(anchor: np.ndarray, doc: np.ndarray, ahead: np.ndarray, nearest: np.ndarray, base: np.ndarray, text: pa.Array, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     parts = list(tokenize(text))
     words = np.concatenate([p.hash for p in parts])
-    count = np.concatenate([p.counts() for p in parts])
-    first = np.concatenate(([0], np.cumsum(count)))[:-1]
+    first = np.concatenate(([0], np.cumsum(np.concatenate([p.counts() for p in parts]))))[:-1]
     reach = length - gram + 1
-    # the suffix that starts `back` words before the anchor, where length words are there
-    context = np.repeat(np.arange(len(anchor)), reach)
-    back = np.tile(np.arange(reach), len(anchor))
-    fits = (back <= ahead[context]) & (ahead[context] - back + length <= count[context])
-    context, back = context[fits], back[fits]
+    # the suffixes that start `back` words before the anchor
+    number = ahead - nearest + 1
+    context = np.repeat(np.arange(len(anchor)), number)
+    back = nearest[context] + np.arange(len(context)) - np.repeat(np.cumsum(number) - number, number)
     group = np.unique(anchor, return_inverse=True)[1][context] * reach + back
     order = np.argsort(group, kind="stable")
     context, back, group = context[order], back[order], group[order]
@@ -293,7 +295,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = spread.repartition("anchor").mapInArrow(_shared_anchors, "doc_id long, at long")
     wanted = stash(shared.groupBy("doc_id").agg(F.collect_set("at").alias("_at")), "shared")
     texts = docs.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS // 20), "doc_id")
-    contexts = texts.select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, ahead long, base long, context string")
+    contexts = texts.select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, most long, least long, base long, context string")
     found = contexts.repartition("anchor").mapInArrow(_sort_shard(length, gram), "doc_id long, start long, end long")
     # what the first of equal texts repeats, and the whole of them, holds for all
     others = member.where("doc_id <> _first").select("_first", F.col("doc_id").alias("_copy"))
