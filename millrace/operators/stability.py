@@ -54,7 +54,7 @@ def summarize(records: DataFrame, start: int, end: int, total: int, width: int,
     names = ["baseline_grad", "baseline_loss", "peak_grad", "peak_loss"]
     out = joined.groupBy(*by, *names).agg(F.min(F.when(calm, F.col("step"))).alias("recovered_at"))
     out = out.withColumn("grad_multiplier", safe_ratio(F.col("peak_grad"), F.col("baseline_grad"))).withColumn("loss_multiplier", safe_ratio(F.col("peak_loss"), F.col("baseline_loss")))
-    out = out.withColumn("recovery_steps", F.greatest(F.col("recovered_at") - F.lit(end), F.lit(0)).cast("long"))
+    out = out.withColumn("recovery_steps", F.when(F.col("recovered_at").isNotNull(), F.greatest(F.col("recovered_at") - F.lit(end), F.lit(0))).cast("long"))
     sound = finite(F.col("baseline_grad")) & finite(F.col("baseline_loss")) & finite(F.col("peak_grad")) & finite(F.col("peak_loss"))
     within = lambda c, limit: ~F.isnan(c) & (F.col(c) <= limit)
     gate = sound & within("grad_multiplier", GRAD_LIMIT) & within("loss_multiplier", LOSS_LIMIT) & F.coalesce(F.col("recovery_steps") <= RECOVERY_LIMIT, F.lit(False))

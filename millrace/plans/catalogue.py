@@ -369,7 +369,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMMARY = (
     f"{_SERIES}, near AS (SELECT * FROM s WHERE step > 300 AND step <= 900), base AS (SELECT arm, median(CASE WHEN step <= 500 THEN grad END) AS bg, median(CASE WHEN step <= 500 THEN loss END) AS bl, max(CASE WHEN step > 500 THEN grad END) AS pg, max(CASE WHEN step > 500 THEN loss END) AS pl FROM near GROUP BY arm), "
     "rec AS (SELECT arm, min(step) AS calm_at FROM near JOIN base USING (arm) WHERE step >= 600 AND grad <= 2.5 * bg AND loss <= 1.15 * bl GROUP BY arm), "
-    "summary AS (SELECT base.*, pg / bg AS gm, pl / bl AS lm, greatest(calm_at - 600, 0) AS recovery FROM base LEFT JOIN rec USING (arm))"
+    "summary AS (SELECT base.*, pg / bg AS gm, pl / bl AS lm, CASE WHEN calm_at IS NOT NULL THEN greatest(calm_at - 600, 0) END AS recovery FROM base LEFT JOIN rec USING (arm))"
 )
 
 

@@ -22,7 +22,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     Lines are numbered within each file in the order of the file, so a file is read by one task; values of the
     two columns that the data itself has win.
     """
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_path"), "value")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), "value")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -82,7 +82,7 @@ def read_heldout(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece, score) of a vocabulary of tab-separated pieces; ids are line numbers from 0. One file, read whole."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("id", "_l"))
     return lines.select("id", F.split("_l", "\t")[0].alias("piece"), F.split("_l", "\t")[1].cast("double").alias("score"))
 
