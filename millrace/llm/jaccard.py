@@ -35,6 +35,11 @@ BROADCAST_ROWS = 1_000_000
 #: Pairs verified in one cell; a group of candidates with more is dealt over a grid of cells.
 CELL_PAIRS = 1_000_000
 _FLUSH = 1 << 20
+#: Bits of the filter of the part words that occur in two sets: 32 for each, and no more than this. Beyond, it
+#: lets words through that occur once, and the buckets drop them.
+FILTER_BITS = 1 << 28
+#: Earlier part words of a set that a bucket row tells of, in 16 bits each.
+BEFORE = 4
 #: Sets of up to this size carry a sketch of 256 bits into the buckets: their parts are small, so many
 #: meet by chance, and the Hamming distance of the whole sketches refutes nearly all of these at once.
 CARRY_TO = 364
@@ -130,6 +135,63 @@ def _sketch(n: int, threshold: float):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part words of a partition that occur twice at least, as bits of the filter: (word of the filter, bits)."""
+    held = [np.asarray(b.column(0)) for b in batches]
+    if held:
+        sig = np.sort(np.concatenate(held))
+        again = sig[1:][sig[1:] == sig[:-1]]
+        yield pa.record_batch([pa.array(again[np.concatenate((np.ones(min(1, len(again)), bool), again[1:] != again[:-1]))])], ["sig"])
+
+
+def _slots(sig: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(sig.view(U)) % U(bits)).astype(np.int64)
+
+
+def _word_filter(repeated: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table with the bits of all repeated part words set, and its number of bits."""
+    n = repeated.count()
+    bits = int(min(FILTER_BITS, max(1 << 16, 1 << int(np.ceil(np.log2(32 * max(n, 1)))))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slots(np.asarray(batch.column(0)), bits))
+            at, first = np.unique(slot >> 5, return_index=True)
+            value = np.bitwise_or.reduceat(1 << (slot & 31), first) if len(slot) else slot
+            yield pa.record_batch([pa.array(at), pa.array(value)], ["at", "bits"])
+
+    packed = np.zeros(bits // 32, np.uint32)
+    for part in repeated.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+        packed[np.asarray(part.column(0))] = np.asarray(part.column(1)).astype(np.uint32)
+    return packed, bits
+
+
+def _bucket_rows(handle, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each part word of a set that the filter lets through, with the BEFORE that went before it."""
+        table = handle.value
+        for batch in batches:
+            lists = batch.column("sigs")
+            offset = np.asarray(lists.offsets).astype(np.int64)
+            sig = np.asarray(lists.values)[offset[0] : offset[-1]]
+            slot = _slots(sig, bits)
+            keep = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
+            owner = np.searchsorted(offset - offset[0], keep, side="right") - 1
+            sig = sig[keep]
+            before = np.zeros((len(sig), BEFORE), np.uint16)
+            mark = (sig.view(U) >> U(48)).astype(np.uint16) | np.uint16(1)
+            for k in range(1, BEFORE + 1):
+                same = owner[k:] == owner[:-k]
+                before[k:, k - 1][same] = mark[:-k][same]
+            row = pa.array(owner)
+            yield pa.record_batch(
+                [pa.array(sig), batch.column("set_key").take(row), batch.column("n").take(row).cast(pa.int32()), batch.column("whole").take(row), pa.array(before.view(np.int64)[:, 0].copy())],
+                ["sig", "set_key", "n", "whole", "before"],
+            )
+
+    return run
+
+
 def _bucket_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All pairs of different sets in each bucket of the partition whose carried sketches allow it."""
@@ -138,7 +200,7 @@ def _bucket_pairs(threshold: float):
             return
         table = pa.Table.from_batches(held)
         held.clear()
-        sig, key, size = (np.asarray(table[c].combine_chunks()) for c in ("sig", "set_key", "n"))
+        sig, key, size, before = (np.asarray(table[c].combine_chunks()) for c in ("sig", "set_key", "n", "before"))
         whole = table["whole"].cast(pa.large_binary()).combine_chunks()
         del table
         # singletons go first: they are most
@@ -151,6 +213,7 @@ def _bucket_pairs(threshold: float):
         s, k = sig[order], key[order]
         order = order[np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))]
         sig, key, size, whole = sig[order], key[order], size[order], whole.take(pa.array(order))
+        marks = before[order].view(np.uint16).reshape(-1, BEFORE)
         offset = np.frombuffer(whole.buffers()[1], np.int64)[: len(order) + 1]
         bits = np.frombuffer(whole.buffers()[2] or b"", U).reshape(-1, 4) if offset[-1] else np.zeros((1, 4), U)
         row = offset[:-1] // 32
@@ -163,8 +226,8 @@ def _bucket_pairs(threshold: float):
         share = (1 - threshold) / (1 + threshold)
         done = 0
         while done < len(sig):
-            before = upto_pairs[done - 1] if done else 0
-            upto = max(done + 1, int(np.searchsorted(upto_pairs, before + _FLUSH, side="right")))
+            so_far = upto_pairs[done - 1] if done else 0
+            upto = max(done + 1, int(np.searchsorted(upto_pairs, so_far + _FLUSH, side="right")))
             span = left[done:upto]
             if span.any():
                 a = np.repeat(np.arange(done, upto), span)
@@ -173,7 +236,13 @@ def _bucket_pairs(threshold: float):
                 a, b = a[good], b[good]
                 apart = np.bitwise_count(bits[row[a]] ^ bits[row[b]]).sum(axis=1, dtype=np.int64)
                 good = ~(carried[a] & carried[b]) | (apart <= share * (size[a] + size[b]) + 1e-9)
-                pair = np.stack((key[a[good]], key[b[good]]), axis=1)
+                a, b = a[good], b[good]
+                # a pair that shares an earlier word has been in that word's bucket
+                fresh = np.ones(len(a), bool)
+                for i in range(BEFORE):
+                    for j in range(BEFORE):
+                        fresh &= (marks[a, i] != marks[b, j]) | (marks[a, i] == 0)
+                pair = np.stack((key[a[fresh]], key[b[fresh]]), axis=1)
                 if len(pair):
                     pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
                     pair = pair[np.concatenate(([True], (pair[1:] != pair[:-1]).any(axis=1)))]
@@ -228,21 +297,30 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sketched = stash(docs.mapInArrow(_sketch(n, threshold), "doc_id long, set_key long, n long, sigs array<long>, whole binary").where("n > 0"), "sketches")
     members = sketched.select("doc_id", "set_key", "n")
-    buckets = sketched.select(F.explode("sigs").alias("sig"), "set_key", F.col("n").cast("int"), "whole").repartition("sig")
+    # of equal sets one is sketched into the buckets
+    firsts = members.groupBy("set_key").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1")
+    more = members.join(firsts, "set_key").where("doc_id <> _first").select("doc_id", "set_key").distinct()
+    more = stash(more, "more")
+    unlike = sketched.join(broadcast_if_small(more, more.count(), BROADCAST_ROWS), ["doc_id", "set_key"], "left_anti")
+    words = unlike.select(F.explode("sigs").alias("sig")).repartition("sig")
+    packed, bits = _word_filter(stash(words.mapInArrow(_repeated, "sig long"), "repeated"))
+    handle = docs.sparkSession.sparkContext.broadcast(packed)
+    buckets = unlike.select("set_key", "n", "sigs", "whole").mapInArrow(_bucket_rows(handle, bits), "sig long, set_key long, n int, whole binary, before long").repartition("sig")
     candidates = stash(buckets.mapInArrow(_bucket_pairs(threshold), "a long, b long").distinct(), "candidates")
 
     # pairs that share their smallest neighbour are verified together, so a text is sent to few cells
     lead = candidates.groupBy("b").agg(F.min("a").alias("_lead")).withColumnRenamed("b", "_b")
     led = candidates.join(lead, F.col("a") == F.col("_b"), "left").select("a", "b", F.coalesce("_lead", "a").alias("_lead"))
-    crowd = led.groupBy("_lead").agg(F.ceil(F.sqrt(F.count("*") / F.lit(float(CELL_PAIRS)))).alias("_side"))
-    celled = led.join(crowd, "_lead").select("a", "b", F.xxhash64("_lead", F.pmod("a", "_side"), F.pmod("b", "_side")).alias("_cell"))
-    celled = stash(celled, "cells")
-    needed = celled.select("_cell", F.explode(F.array("a", "b")).alias("_key")).distinct()
-    wanted = needed.select("_key").distinct()
-    holders = members.join(wanted, members["set_key"] == wanted["_key"]).groupBy("_key").agg(F.min("doc_id").alias("_doc"))
+    led = stash(led, "led")
+    crowds = led.groupBy("_lead").agg(F.count("*").alias("_n")).where(F.col("_n") > CELL_PAIRS).select(F.col("_lead").alias("_crowd"), F.ceil(F.sqrt(F.col("_n") / F.lit(float(CELL_PAIRS)))).alias("_side"))
+    crowds = stash(crowds, "crowds")
+    side = F.coalesce("_side", F.lit(1))
+    celled = led.join(broadcast_if_small(crowds, crowds.count(), BROADCAST_ROWS), F.col("_lead") == F.col("_crowd"), "left").select("a", "b", F.xxhash64("_lead", F.pmod("a", side), F.pmod("b", side)).alias("_cell"))
+    needed = celled.select(F.explode(F.array("a", "b")).alias("_key"), "_cell").groupBy("_key").agg(F.collect_set("_cell").alias("_cells"))
+    holders = needed.join(members.groupBy("set_key").agg(F.min("doc_id").alias("_doc")), F.col("_key") == F.col("set_key")).select("_key", "_doc", "_cells")
     holders = stash(holders, "holders")
-    text_of = docs.join(broadcast_if_small(holders, holders.count(), BROADCAST_ROWS), docs["doc_id"] == F.col("_doc")).select("_key", "text")
-    texts = needed.join(text_of, "_key").select(F.col("_cell"), F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    texts = docs.join(broadcast_if_small(holders, holders.count(), BROADCAST_ROWS), docs["doc_id"] == F.col("_doc"))
+    texts = texts.select(F.explode("_cells").alias("_cell"), F.col("_key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     both = texts.unionByName(celled.withColumn("text", F.lit(None).cast("string"))).repartition("_cell").select("a", "b", "text")
     return members, both.mapInArrow(_verify(n, threshold), "a long, b long, jaccard double")
 
@@ -257,11 +335,15 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     """
     members, pairs = similar_sets(docs, n, threshold)
     members = members.select("doc_id", "set_key").distinct()
-    pairs = stash(pairs, "similar")
-    left, right = members.select(F.col("doc_id").alias("_x"), F.col("set_key").alias("a")), members.select(F.col("doc_id").alias("_y"), F.col("set_key").alias("b"))
-    near = pairs.join(left, "a").join(right, "b").select("_x", "_y", "jaccard")
-    equal = left.join(right, F.col("a") == F.col("b")).where("_x < _y").select("_x", "_y", F.lit(1.0).alias("jaccard"))
-    return near.unionByName(equal).where("_x <> _y").select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"), "jaccard").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    # the ids of equal sets travel as one list; pairs of documents are only made where they are returned
+    lists = stash(members.groupBy("set_key").agg(F.collect_list("doc_id").alias("_ids")), "lists")
+    left, right = lists.select(F.col("set_key").alias("a"), F.col("_ids").alias("_xs")), lists.select(F.col("set_key").alias("b"), F.col("_ids").alias("_ys"))
+    near = pairs.join(left, "a").join(right, "b").select(F.explode("_xs").alias("_x"), "_ys", "jaccard").select("_x", F.explode("_ys").alias("_y"), "jaccard").where("_x <> _y")
+    equal = lists.where(F.size("_ids") > 1).select(F.explode("_ids").alias("_x"), "_ids").select("_x", F.explode("_ids").alias("_y"), F.lit(1.0).alias("jaccard")).where("_x < _y")
+    found = near.unionByName(equal).select(F.least("_x", "_y").alias("doc_a"), F.greatest("_x", "_y").alias("doc_b"), "jaccard")
+    # only a doc_id that is repeated with different texts can give a pair twice
+    twice = not members.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if twice else found
 
 
 def components(edges: DataFrame) -> DataFrame:
