@@ -73,8 +73,15 @@ def word_cost(s: str) -> float | None:
     return best
 
 
-def pattern_costs(s: str, i: int) -> Iterator[tuple[int, float]]:
+def _unshifted(s: str) -> str:
+    """The keys of a text: small letters, and the marks that share a key with digits and others."""
+    low = s.lower()
+    return low.translate(_SHIFT) if len(low) == len(s) else s
+
+
+def pattern_costs(s: str, i: int, keys: str | None = None) -> Iterator[tuple[int, float]]:
     """(end, cost) of the words, dates, sequences and keyboard walks that start at i; all ends of each."""
+    keys = _unshifted(s) if keys is None else keys
     for j in range(i + 2, min(len(s), i + _LONGEST) + 1):
         if (cost := word_cost(s[i:j])) is not None:
             yield j, cost
@@ -88,10 +95,9 @@ def pattern_costs(s: str, i: int) -> Iterator[tuple[int, float]]:
             while j < len(s) and ord(s[j]) - ord(s[j - 1]) == step and s[j].isalnum():
                 j += 1
                 yield j, log10(60) + log10(j - i)
-        low = s.lower().translate(_SHIFT) if any(c in '~!@#$%^&*()_+{}|:"<>?' for c in s[i : i + 2]) else s.lower()
         j, turns, before = i + 1, 0, None
-        while j < len(low) and len(low) == len(s) and _next_to(low[j - 1], low[j]):
-            way = (_AT[low[j]][0] - _AT[low[j - 1]][0], _AT[low[j]][1] - _AT[low[j - 1]][1])
+        while j < len(keys) and _next_to(keys[j - 1], keys[j]):
+            way = (_AT[keys[j]][0] - _AT[keys[j - 1]][0], _AT[keys[j]][1] - _AT[keys[j - 1]][1])
             turns += way != before
             before = way
             j += 1
@@ -100,7 +106,12 @@ def pattern_costs(s: str, i: int) -> Iterator[tuple[int, float]]:
 
 
 def repeats(s: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, unit) of the runs in which a unit occurs at least twice, as long as they go; for each unit length."""
+    """(start, end, unit) of the runs in which a unit occurs at least twice, as long as they go.
+
+    Units that repeat a shorter one only count up to the length of the longest word or date, which they may
+    be themselves (2020 in 20202020); longer ones are repeats of the shorter.
+    """
+    known: list[tuple[int, int, int]] = []
     codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
     for unit in range(1, len(s) // 2 + 1):
         same = codes[:-unit] == codes[unit:]
@@ -109,7 +120,8 @@ def repeats(s: str) -> Iterator[tuple[int, int, int]]:
         edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             run = b - a
-            if run >= unit:
+            if run >= unit and (unit <= max(_LONGEST, 10) or not any(unit % d == 0 and x <= a and b + unit <= y for x, y, d in known)):
+                known.append((a, b + unit, unit))
                 size = (run + unit) // unit * unit
                 for start in range(a, a + (run + unit) % unit + 1):
                     yield start, start + size, unit
@@ -123,11 +135,12 @@ def guess_cost(s: str) -> float:
     into: dict[int, list[tuple[int, float]]] = {}
     for a, b, unit in repeats(s):
         into.setdefault(a, []).append((b, guess_cost(s[a : a + unit]) + log10((b - a) // unit)))
+    keys = _unshifted(s)
     brute_from = [float("inf")] * (n + 1)  # the last segment is a span tried by brute force
     for i in range(n):
         here = min(best[i], brute_from[i])
         best[i] = here
-        for j, cost in [*pattern_costs(s, i), *into.get(i, ())]:
+        for j, cost in [*pattern_costs(s, i, keys), *into.get(i, ())]:
             best[j] = min(best[j], here + cost + SEGMENT)
         brute_from[i + 1] = min(brute_from[i], here + SEGMENT) + brute_cost(s[i])
     return min(best[n], brute_from[n])
