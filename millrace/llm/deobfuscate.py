@@ -57,7 +57,7 @@ _INNER_AT, _INNER_DOT = re.compile(r"[ \t]+(?:at|@)[ \t]+", re.I), re.compile(r"
 _ONE = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 #: For RE2, over a column: texts with two spelled digits in a row, and texts that need any of this at all.
 _QUICK_SPELLED = rf"(?i){_ONE}[ \t,./()-]+{_ONE}"
-_QUICK = rf"(?i:[@0-9]|[\[({{<][ \t]*(?:dot|punkt|punto|point)|[ \t]dot[ \t]|{_QUICK_SPELLED[4:]})|[" + "".join(rf"\x{{{c:x}}}" for c in sorted(_TABLE)) + "]"
+_QUICK = rf"(?i:[@\p{{Nd}}]|[\[({{<][ \t]*(?:at|arroba|ät|dot|\.|punkt|punto|point)|[_-]at[_-]|[ \t]dot[ \t]|{_QUICK_SPELLED[4:]})|[" + "".join(rf"\x{{{c:x}}}" for c in sorted(_TABLE)) + "]"
 _PAIR = re.compile(_QUICK_SPELLED)
 
 #: Where numbers of eight digits and more may stand; the patterns below only look there.

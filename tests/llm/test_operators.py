@@ -315,6 +315,21 @@ def test_pii_spans(spark, rows):
     assert all(dict(some)[r.doc_id][r.start : r.end] == r.source for r in got if r.doc_id == 800)
 
 
+DISGUISES = [f"write to john.smith{at}example{dot}com please" for at in ("@", " [at] ", " (at) ", "<at>", "{at}", " [[at]] ", " [arroba] ", " (ät) ", " (ÄT) ", " [@] ", "_at_", "-at-", "_AT-") for dot in (".", " [dot] ", "(.)", "[.]", "<punkt>", " {punto} ", "(point)")] + ["to john at example dot com", "to john\tat\texample\tdot\tcom", "to john @ example.com"]
+
+
+def found(spark, texts):
+    out = defaultdict(list)
+    for r in deobfuscate.find_pii(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect():
+        out[r.doc_id].append((r.kind, r.start, r.end, r.value))
+    return [sorted(out[k], key=lambda x: (x[1], x[2])) for k in range(len(texts))]
+
+
+def test_every_disguise_passes_the_filter(spark):
+    assert all(deobfuscate.detect(t) for t in DISGUISES)
+    assert found(spark, DISGUISES) == [deobfuscate.detect(t) for t in DISGUISES]
+
+
 def test_hilbert_curve():
     for n, bits in ((2, 4), (3, 3)):
         digits, following = hilbert.automaton(n)
