@@ -55,10 +55,10 @@ _DOT = re.compile(r"[ \t]*[\[({<]{1,2}[ \t]*(?:dot|\.|punkt|punto|point)[ \t]*[\
 _WORDED = re.compile(r"(?<![\w.%+-])[\w.%+-]+((?:[ \t]+at[ \t]+)|@|[ \t]+@[ \t]+)[a-z0-9-]+((?:[ \t]+dot[ \t]+|\.)[a-z0-9-]+)*(?:[ \t]+dot[ \t]+|\.)[a-z]{2,24}(?!\w)", re.I)
 _INNER_AT, _INNER_DOT = re.compile(r"[ \t]+(?:at|@)[ \t]+", re.I), re.compile(r"[ \t]+dot[ \t]+", re.I)
 _ONE = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-#: For RE2, over a column: texts with two spelled digits in a row, and texts that need any of this at all.
-_QUICK_SPELLED = rf"(?i){_ONE}[ \t,./()-]+{_ONE}"
+#: For RE2, over a column: texts with a spelled digit before another digit, as every run has, and texts that need any of this at all.
+_QUICK_SPELLED = rf"(?i){_ONE}[ \t,./()-]+(?:{_ONE}|\p{{Nd}})"
 _QUICK = rf"(?i:[@\p{{Nd}}]|[\[({{<][ \t]*(?:at|arroba|ät|dot|\.|punkt|punto|point)|[_-]at[_-]|[ \t]dot[ \t]|{_QUICK_SPELLED[4:]})|[" + "".join(rf"\x{{{c:x}}}" for c in sorted(_TABLE)) + "]"
-_PAIR = re.compile(_QUICK_SPELLED)
+_PAIR = re.compile(rf"(?<!\w){_ONE}[ \t,./()-]+(?:{_ONE}|\d)", re.I)
 
 #: Where numbers of eight digits and more may stand; the patterns below only look there.
 _NUMERIC = re.compile(r"[+(0-9][0-9 ().+-]{6,}")
@@ -136,7 +136,7 @@ class Edits:
 def normalise(text: str, spelled: bool | None = None) -> tuple[str, list[Edits]]:
     """The text in plain spelling, and the edits of each transducer in turn.
 
-    spelled: whether two spelled digits are in a row, where that is known.
+    spelled: whether a spelled digit comes before another digit in the text as it is, where that is known.
     """
     trail = []
 
@@ -149,6 +149,8 @@ def normalise(text: str, spelled: bool | None = None) -> tuple[str, list[Edits]]
 
     if not text.isascii():
         text = step(text, [(m.start(), m.end(), _TABLE[ord(m[0])]) for m in _STRANGE.finditer(text)])
+        if trail:
+            spelled = None  # known of the disguised text only
     changes = []
     for m in _RUN.finditer(text) if (_PAIR.search(text) if spelled is None else spelled) else ():
         digits = list(_SPELLED.finditer(text, m.start(), m.end()))

@@ -330,6 +330,13 @@ def test_every_disguise_passes_the_filter(spark):
     assert found(spark, DISGUISES) == [deobfuscate.detect(t) for t in DISGUISES]
 
 
+def test_combined_disguises_are_found(spark):
+    plain = "call five five five one two three four five six seven ok"
+    texts = [plain.translate(str.maketrans("eio", "еіо")), plain.replace("fi", "f\u200bi").replace("ne", "n\u200be"), plain.replace(" ", "\u00a0"), "pay four 1 " + "one 1 " * 7, "write to jоhn [аt] exаmple [dоt] com"]
+    assert all(deobfuscate.detect(t) for t in texts)
+    assert found(spark, texts) == [deobfuscate.detect(t) for t in texts]
+
+
 def test_hilbert_curve():
     for n, bits in ((2, 4), (3, 3)):
         digits, following = hilbert.automaton(n)
