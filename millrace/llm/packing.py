@@ -1,9 +1,13 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
 Terms are words hashed into a fixed number of buckets, so the table of document frequencies, counted over
-the whole corpus, has a bounded size. Documents of one language are dealt over shards of bounded size by a
-hash of their id; each shard holds a BM25 inverted index in memory. The first unused document seeds a
-window, and its best unused neighbours in the shard, by falling score, fill it as far as they fit.
+the whole corpus, has a bounded size. The first unused document of a language seeds a window, and its best
+unused neighbours in the whole language, by falling score, fill it as far as they fit.
+
+A BM25 inverted index is held in memory for a shard of bounded size only. Seeds go in rounds: the next
+seeds of a language are scored against the postings of all its shards, the answers of the shards are merged,
+and the seeds are served in turn. What is left of a language when it fits one shard is packed there. The
+windows are those of one index over the whole language, however the documents lie in shards.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ WINDOW = 8192
 TERM_BITS = 21
 SHARD_WORDS = 1_500_000
 K1, B = 1.2, 0.75
+#: A round serves seeds of about 1/ROUND of the unused documents, and has about so many answers.
+ROUND, ANSWERS = 4, 1_200_000
 SCHEMA = "lang string, shard long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_words long"
 
 
@@ -29,6 +35,67 @@ def bm25_weights(tf: np.ndarray, length: np.ndarray, idf: np.ndarray, average: f
     return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))).astype(np.float32)
 
 
+def _inverted(terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms, the first posting of each and the end, the documents and the weights of the postings."""
+    owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    order = np.argsort(terms, kind="stable")
+    vocabulary, first = np.unique(terms[order], return_index=True)
+    return vocabulary, np.append(first, len(terms)), owner[order], weights[order]
+
+
+def _scores(t: np.ndarray, first: np.ndarray, posting: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sums of single-precision weights in double precision: their order does not matter."""
+    lo, hi = first[t], first[t + 1]
+    span = hi - lo
+    at = np.repeat(lo - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(int(span.sum()))
+    return np.bincount(posting[at], weights=weight[at], minlength=n)
+
+
+def _greedy(near: np.ndarray, rest: np.ndarray, left: int) -> list[int]:
+    """Those of near, the best first, that fit as they come."""
+    members: list[int] = []
+    near = near[rest[near] <= left]
+    while len(near):
+        k = int(np.searchsorted(np.cumsum(rest[near]), left, side="right"))
+        members += near[:k].tolist()
+        left -= int(rest[near[:k]].sum())
+        near = near[k:]
+        near = near[rest[near] <= left]
+    return members
+
+
+def _candidates(score: np.ndarray, rest: np.ndarray, left: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of a shard that a window with so much left may take, the best first, and whether each is a mark.
+
+    Of the documents of every size a few times what a window may still have left for them is given. A mark is
+    left out, with all behind it that are no shorter: a window that has no room for it has none for these. The
+    whole answer, which needs no marks, leaves out only what cannot fit behind better ones that are no longer.
+    """
+    near = np.flatnonzero((score > 0) & (rest <= left))
+    near = every = near[np.argsort(-score[near], kind="stable")]
+    kept, level = near[:0], left
+    while len(near):
+        k = int(np.searchsorted(np.cumsum(rest[near]), left if whole else 3 * level, side="right")) + 1
+        kept, near = np.concatenate((kept, near[:k])), near[k:]
+        if whole:
+            sizes = np.sort(rest[kept])
+            before = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(sizes, rest[near], side="right")]
+            near = near[before + rest[near] <= left]
+        elif level > 1:
+            level = max(1, level // 4)
+            near = near[rest[near] <= level]
+        else:
+            break
+    marks = kept[:0]
+    if not whole:
+        taken = np.zeros(len(rest), bool)
+        taken[kept] = True
+        out = every[~taken[every]]
+        least = np.minimum.accumulate(rest[out])
+        marks = out[np.concatenate(([True], least[1:] < least[:-1]))] if len(out) else out
+    return np.concatenate((kept, marks)), np.arange(len(kept) + len(marks)) >= len(kept)
+
+
 def pack(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, window: int) -> Iterator[tuple[list, list, list]]:
     """Windows as (ids, starts, ends). Documents are in order of id; terms[ptr[d]:ptr[d+1]] are those of d.
 
@@ -40,11 +107,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndar
     for d in np.flatnonzero(sizes > window):
         for a in range(0, int(sizes[d] - rest[d]), window):
             yield [int(ids[d])], [a], [a + window]
-    owner = np.repeat(np.arange(n), np.diff(ptr))
-    order = np.argsort(terms, kind="stable")
-    vocabulary, first = np.unique(terms[order], return_index=True)
-    first = np.append(first, len(terms))
-    posting, weight = owner[order], weights[order]
+    vocabulary, first, posting, weight = _inverted(terms, weights, ptr)
     place = np.searchsorted(vocabulary, terms)
     unused = rest > 0
     for seed in range(n):
@@ -53,19 +116,9 @@ def pack(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndar
         unused[seed] = False
         members, left = [seed], window - int(rest[seed])
         if left and unused.any():
-            t = place[ptr[seed] : ptr[seed + 1]]
-            lo, hi = first[t], first[t + 1]
-            span = hi - lo
-            at = np.repeat(lo - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(int(span.sum()))
-            score = np.bincount(posting[at], weights=weight[at], minlength=n)
+            score = _scores(place[ptr[seed] : ptr[seed + 1]], first, posting, weight, n)
             near = np.flatnonzero(unused & (score > 0) & (rest <= left))
-            near = near[np.argsort(-score[near], kind="stable")]
-            while len(near):
-                k = int(np.searchsorted(np.cumsum(rest[near]), left, side="right"))
-                members += near[:k].tolist()
-                left -= int(rest[near[:k]].sum())
-                near = near[k:]
-                near = near[rest[near] <= left]
+            members += _greedy(near[np.argsort(-score[near], kind="stable")], rest, left)
         unused[members] = False
         yield [int(ids[d]) for d in members], [int(sizes[d] - rest[d]) for d in members], [int(sizes[d]) for d in members]
 
@@ -104,16 +157,48 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at), pa.array(total[at])], ["term", "df"])
 
 
+def _pieces(member: np.ndarray, ids: np.ndarray, sizes: np.ndarray, window: int) -> Iterator[tuple[list, list, list]]:
+    """The windows that long documents fill alone, and the one of their last pieces."""
+    last = (sizes[member] - 1) // window * window
+    for d, end in zip(member.tolist(), last.tolist()):
+        for a in range(0, end, window):
+            yield [int(ids[d])], [a], [a + window]
+    yield ids[member].tolist(), last.tolist(), sizes[member].tolist()
+
+
+def _windows(lang: str | None, shard: int, made: list[tuple[list, list, list]]) -> pa.Table:
+    k = len(made)
+    return pa.table(
+        {
+            "lang": pa.array([lang] * k, pa.string()),
+            "shard": pa.array([shard] * k, pa.int64()),
+            "window": pa.array(range(k), pa.int64()),
+            "doc_ids": pa.array([x[0] for x in made], pa.list_(pa.int64())),
+            "starts": pa.array([x[1] for x in made], pa.list_(pa.int64())),
+            "ends": pa.array([x[2] for x in made], pa.list_(pa.int64())),
+            "n_words": pa.array([sum(x[2]) - sum(x[1]) for x in made], pa.int64()),
+        }
+    )
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed terms of documents in one array, and the offsets."""
+    return _unpack(column, "<u4").astype(np.int64), np.concatenate(([0], np.cumsum([len(x) // 4 for x in column.to_pylist()]))).astype(np.int64)
+
+
 def pack_by_retrieval(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, shard, window, doc_ids, starts, ends, n_words): the words starts[i] .. ends[i] of doc_ids[i]
     make up the window. Every word of every document is in exactly one window.
 
+    shard is 0 for windows that were made when the rest of a language fitted one shard, else the round.
+
     Rows with a null doc_id, and texts without words (null, empty, only marks), are in none. Rows that
     repeat a doc_id are packed as documents of their own. A null language is a language. Ties go to the
     smaller doc_id. Further columns are ignored.
     """
     spark = docs.sparkSession
-    indexed = stash(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text").mapInArrow(_index, "doc_id long, lang string, n long, terms binary, tfs binary").where("n > 0"), "terms")
+    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text").mapInArrow(_index, "doc_id long, lang string, n long, terms binary, tfs binary").where("n > 0")
+    indexed = stash(plain.withColumn("uid", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64("terms", "tfs")), "terms")
     langs = indexed.groupBy("lang").agg(F.sum("n").alias("words"), F.count("*").alias("rows"))
     known = langs.toArrow().to_pylist()
     rows, words = sum(x["rows"] for x in known), sum(x["words"] for x in known)
@@ -122,28 +207,127 @@ def pack_by_retrieval(docs: DataFrame, window: int = WINDOW, shard_words: int =
     df = np.zeros(1 << TERM_BITS, np.float32)
     df[np.asarray(counted["term"])] = np.asarray(counted["df"])
     held = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)).astype(np.float32))
-    shards = langs.select(F.col("lang").alias("_lang"), F.ceil(F.col("words") / F.lit(shard_words)).alias("_shards"))
-    dealt = indexed.join(F.broadcast(shards), indexed["lang"].eqNullSafe(F.col("_lang"))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("_shards"))).select("lang", "shard", "doc_id", "n", "terms", "tfs")
+
+    def weighed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        group = group.combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "n", "tie", "uid")])
+        terms, ptr = _ragged(group["terms"])
+        sizes, tf = np.asarray(group["n"]), _unpack(group["tfs"], "<u2").astype(np.float32)
+        return np.asarray(group["doc_id"]), sizes, terms, bm25_weights(tf, np.repeat(sizes, np.diff(ptr)), held.value[terms], average), ptr, group
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("n", "ascending"), ("terms", "ascending")])
-        ids, sizes = np.asarray(group["doc_id"]), np.asarray(group["n"])
-        terms, tf = _unpack(group["terms"], "<u4").astype(np.int64), _unpack(group["tfs"], "<u2").astype(np.float32)
-        counts = np.array([len(x) // 4 for x in group["terms"].to_pylist()])
-        ptr = np.concatenate(([0], np.cumsum(counts)))
-        weights = bm25_weights(tf, np.repeat(sizes, counts), held.value[terms], average)
-        made = list(pack(ids, sizes, terms, weights, ptr, window))
-        k = len(made)
-        return pa.table(
-            {
-                "lang": pa.array([key[0].as_py()] * k, pa.string()),
-                "shard": pa.array([key[1].as_py()] * k, pa.int64()),
-                "window": pa.array(range(k), pa.int64()),
-                "doc_ids": pa.array([x[0] for x in made], pa.list_(pa.int64())),
-                "starts": pa.array([x[1] for x in made], pa.list_(pa.int64())),
-                "ends": pa.array([x[2] for x in made], pa.list_(pa.int64())),
-                "n_words": pa.array([sum(x[2]) - sum(x[1]) for x in made], pa.int64()),
-            }
-        )
-
-    return dealt.groupBy("lang", "shard").applyInArrow(fill, SCHEMA)
+        ids, sizes, terms, weights, ptr, _ = weighed(group)
+        return _windows(key[0].as_py(), 0, list(pack(ids, sizes, terms, weights, ptr, window)))
+
+    large = [x["lang"] for x in known if x["words"] > shard_words]
+    if not large:
+        return indexed.groupBy("lang").applyInArrow(fill, SCHEMA)
+    is_large = F.lit(False)
+    for lang in large:
+        is_large = is_large | F.col("lang").eqNullSafe(F.lit(lang))
+    read = indexed.where(is_large)
+    order = read.select("lang", "doc_id", "n", "tie", "uid").toArrow()
+    uid, ids, sizes = (np.asarray(order[c]) for c in ("uid", "doc_id", "n"))
+    by_id = np.lexsort((uid, np.asarray(order["tie"]), sizes, ids))
+    uid, ids, sizes = uid[by_id], ids[by_id], sizes[by_id]
+    code = np.array([large.index(x) for x in order["lang"].to_pylist()])[by_id]
+    del order, by_id
+    sought = np.argsort(uid)
+    rest = (sizes - 1) % window + 1
+    unused = np.ones(len(ids), bool)
+    shards, made, turn = max(read.rdd.getNumPartitions(), -(-int(sizes.sum()) // shard_words)), [], 0
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alive, seeds = now.value
+        pool: dict[str | None, list[pa.Table]] = {}
+        size: dict[str | None, int] = {}
+
+        def score(lang: str | None) -> Iterator[pa.RecordBatch]:
+            _, sizes, terms, weights, ptr, group = weighed(pa.concat_tables(pool.pop(lang)))
+            size.pop(lang)
+            own, rest = np.asarray(group["uid"]), (sizes - 1) % window + 1
+            vocabulary, first, posting, weight = _inverted(terms, weights, ptr)
+            their, left, wanted, at = seeds[lang]
+            place = np.minimum(np.searchsorted(vocabulary, wanted), len(vocabulary) - 1)
+            there = vocabulary[place] == wanted
+            for k in range(len(their)):
+                part = slice(at[k], at[k + 1])
+                score = _scores(place[part][there[part]], first, posting, weight, len(own))
+                score[own == their[k]] = 0
+                near, mark = _candidates(score, rest, int(left[k]), not k)
+                if len(near):
+                    yield pa.record_batch([pa.array(np.full(len(near), their[k])), pa.array(own[near]), pa.array(score[near]), pa.array(mark)], ["seed", "uid", "score", "mark"])
+
+        for batch in batches:
+            found = np.asarray(batch.column("uid"))
+            at = np.minimum(np.searchsorted(alive, found), max(len(alive) - 1, 0))
+            some = pa.table(batch).filter(pa.array(alive[at] == found))
+            for lang in set(some["lang"].to_pylist()) & set(seeds):
+                its = some.filter(pa.array([x == lang for x in some["lang"].to_pylist()]))
+                pool.setdefault(lang, []).append(its)
+                size[lang] = size.get(lang, 0) + int(np.asarray(its["n"]).sum())
+                if size[lang] >= shard_words:
+                    yield from score(lang)
+        for lang in list(pool):
+            yield from score(lang)
+
+    while True:
+        turn += 1
+        queues = {}
+        for k, lang in enumerate(large):
+            free = np.flatnonzero(unused & (code == k))
+            total = int(rest[free].sum())
+            if int(sizes[free].sum()) > shard_words:
+                share = max(1, total // window)
+                queues[lang] = free[: max(1, min(share // ROUND, ANSWERS * total // ((3 * window * len(free) + 60 * total) * shards * len(large))))]
+        if not queues:
+            break
+        picked = np.concatenate(list(queues.values()))
+        chosen = np.sort(uid[picked])
+        near_ids = spark.sparkContext.broadcast(chosen)
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.asarray(batch.column(0))
+                at = np.minimum(np.searchsorted(near_ids.value, found), len(near_ids.value) - 1)
+                yield batch.filter(pa.array(near_ids.value[at] == found))
+
+        texts = read.select("uid", "terms").mapInArrow(asked, "uid long, terms binary").toArrow().sort_by("uid")
+        near_ids.destroy()
+        seeds = {}
+        for lang, queue in queues.items():
+            terms, ptr = _ragged(texts.take(pa.array(np.searchsorted(chosen, uid[queue])))["terms"])
+            seeds[lang] = (uid[queue], window - rest[queue], terms, ptr)
+        now = spark.sparkContext.broadcast((np.sort(uid[unused]), seeds))
+        got = read.select("uid", "lang", "doc_id", "n", "tie", "terms", "tfs").mapInArrow(answers, "seed long, uid long, score double, mark boolean").toArrow()
+        now.destroy()
+        seed, score, mark = (np.asarray(got[c]) for c in ("seed", "score", "mark"))
+        near = sought[np.searchsorted(uid, np.asarray(got["uid"]), sorter=sought)]
+        best = np.lexsort((near, -score, seed))
+        seed, near, mark = seed[best], near[best], mark[best]
+        for lang, queue in queues.items():
+            out = []
+            for d in queue.tolist():
+                if not unused[d]:
+                    continue
+                left = window - int(rest[d])
+                part = slice(*np.searchsorted(seed, [uid[d], uid[d] + 1]))
+                its, free = near[part], unused[near[part]] & ~mark[part]
+                members = _greedy(its[free], rest, left)
+                took = np.isin(its, members)
+                room = left - np.cumsum(rest[its] * took)
+                if (mark[part] & (rest[its] <= room)).any():
+                    break  # a shard has more that may fit: this is the first seed of the next round
+                members = [d, *members]
+                unused[members] = False
+                out += _pieces(np.array(members), ids, sizes, window)
+            made.append(_windows(lang, turn, out))
+    gone = spark.sparkContext.broadcast(np.sort(uid[~unused]))
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.asarray(batch.column(batch.schema.get_field_index("uid")))
+            at = np.minimum(np.searchsorted(gone.value, found), len(gone.value) - 1)
+            yield batch.filter(pa.array(gone.value[at] != found))
+
+    tail = indexed.mapInArrow(remaining, indexed.schema).groupBy("lang").applyInArrow(fill, SCHEMA)
+    return tail.unionByName(spark.createDataFrame(pa.concat_tables(made), SCHEMA))

@@ -251,6 +251,20 @@ def test_pack_follows_the_scores():
     assert [m[0] for m in packing.pack(np.arange(n), sizes, terms, weights, ptr, 100)] == want
 
 
+def test_packing_does_not_depend_on_the_shards(spark):
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    topics = [r.sample(words, 60) for _ in range(8)]
+    docs = [(k, " ".join(r.choice(r.choice((topics[k % 8], words))) for _ in range(r.choice((5, 20, 60, 150, 500)))), r.choice(("en", "de", None)), "s", 0) for k in range(400)]
+    docs += [(k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]] + [(1000 + k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]]
+    table = spark.createDataFrame(docs, SCHEMA).repartition(5)
+
+    def windows(shard_words):
+        return sorted((r.lang or "", r.doc_ids, r.starts, r.ends, r.n_words) for r in packing.pack_by_retrieval(table, 300, shard_words).collect())
+
+    assert windows(3000) == windows(1_000_000)
+
+
 def brute_cost(s):
     costs = {}
     for i in range(len(s)):
