@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from millrace.functions import text as T
 LANGUAGES = ("English", "Hindi", "Telugu", "Marathi")
 ENGLISH_LIMIT = 1.2
 TARGET_WORDS = 90_000
+VOCABULARY, SPECIAL_PIECES = 10_000, 4
 APPENDICES = "See also|Notes|References|External links|इन्हें भी देखें|सन्दर्भ|बाहरी कड़ियाँ|हेही पहा|संदर्भ|बाह्य दुवे|ఇవి కూడా చూడండి|మూలాలు|బయటి లింకులు"
 
 
@@ -97,36 +99,59 @@ def bpe_pair_counts(words: DataFrame) -> DataFrame:
 
 
 def bpe_merges(words: list[tuple[list[str], int]], merges: int) -> list[tuple[str, str]]:
-    """Greedy merges over word frequencies; of equally frequent pairs the smaller one first."""
+    """Greedy merges over word frequencies; of equally frequent pairs the smaller one first.
+
+    Counts are kept from merge to merge: only the words that hold the merged pair are read again.
+    """
     table = [(list(s), f) for s, f in words]
+    counts: dict[tuple[str, str], int] = {}
+    where: dict[tuple[str, str], set[int]] = {}
+    for k, (symbols, freq) in enumerate(table):
+        for pair in zip(symbols, symbols[1:]):
+            counts[pair] = counts.get(pair, 0) + freq
+            where.setdefault(pair, set()).add(k)
+    queue = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(queue)
     learned: list[tuple[str, str]] = []
-    for _ in range(merges):
-        counts: dict[tuple[str, str], int] = {}
-        for symbols, freq in table:
-            for pair in zip(symbols, symbols[1:]):
-                counts[pair] = counts.get(pair, 0) + freq
-        if not counts:
-            break
-        best = min(counts, key=lambda p: (-counts[p], p))
+    while queue and len(learned) < merges:
+        n, best = heapq.heappop(queue)
+        if not where.get(best) or counts[best] != -n:
+            continue  # an entry of before a change
         learned.append(best)
-        for symbols, _ in table:
+        changed: set[tuple[str, str]] = set()
+        for w in where.pop(best):
+            symbols, freq = table[w]
+            for pair in zip(symbols, symbols[1:]):
+                counts[pair] -= freq
+                changed.add(pair)
+                if pair in where:
+                    where[pair].discard(w)
             k = 0
             while k < len(symbols) - 1:
                 if (symbols[k], symbols[k + 1]) == best:
                     symbols[k : k + 2] = ["".join(best)]
                 k += 1
+            for pair in zip(symbols, symbols[1:]):
+                counts[pair] = counts.get(pair, 0) + freq
+                where.setdefault(pair, set()).add(w)
+                changed.add(pair)
+        for pair in changed:
+            if where.get(pair):
+                heapq.heappush(queue, (-counts[pair], pair))
     return learned
 
 
-def search(word_counts: DataFrame, trials: DataFrame, merges: int) -> DataFrame:
+def search(word_counts: DataFrame, trials: DataFrame, vocabulary_size: int) -> DataFrame:
     """(trial, ratios): each candidate's merges are learned on the weighted words and measured on the plain ones.
 
+    As in the trainer, the vocabulary holds the special pieces and the single symbols besides the merges.
     word_counts (language, word, freq) is a vocabulary, not a corpus; trials run side by side as groups.
     """
     vocabulary = word_counts.join(F.broadcast(trials.select("trial", F.explode("weights").alias("language", "weight"))), "language")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         weighted = frame.assign(f=(frame.freq * frame.weight * 1000).round().astype(int)).groupby("word").f.sum()
+        merges = max(0, vocabulary_size - SPECIAL_PIECES - len({"▁"}.union(*weighted.index)))
         learned = {pair: k for k, pair in enumerate(bpe_merges([(["▁", *w], int(f)) for w, f in sorted(weighted.items())], merges))}
         ratios = {}
         for language, some in frame.groupby("language"):

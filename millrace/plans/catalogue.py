@@ -492,9 +492,7 @@ def tokenizer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in zip(("en", "fr", "de", "es"), L.LANGUAGES) for x in pair])
     words = table(spark, sf_dir, "documents").select(names[F.col("lang")].alias("language"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("word"))
     counts = words.groupBy("language", "word").agg(F.count("*").alias("freq"))
-    # a vocabulary of the more frequent words of each language; the search is about these
-    vocabulary = counts.where("freq >= 50")
-    return L.select_trial(L.search(vocabulary, L.candidate_table(spark).where("trial < 10"), 60))
+    return L.select_trial(L.search(counts, L.candidate_table(spark), L.VOCABULARY))
 
 
 @query(r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), u AS (SELECT doc_id, i, trim(regexp_replace(x[i], '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)), b AS (SELECT doc_id, i, regexp_replace(line, '^=+\s*|\s*=+$', '', 'g') AS line FROM u) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') || chr(10) AS extract FROM b GROUP BY doc_id")

@@ -170,3 +170,54 @@ def test_stream(spark, tmp_path):
     q = clean_stream(stream, Limits(registry=T.LATIN, composed=True)).writeStream.format("memory").queryName("clean").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("clean").count() == 1
+
+
+def test_tokenizer_search_is_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(1, 6))) for _ in range(60)})
+    rows = [(lang, w, r.choice((1, 2, 3, 70))) for lang in L.LANGUAGES for w in r.sample(words, 30)]
+
+    def naive(table, merges):
+        learned = []
+        for _ in range(merges):
+            counts = {}
+            for s, f in table:
+                for p in zip(s, s[1:]):
+                    counts[p] = counts.get(p, 0) + f
+            if not counts:
+                break
+            best = min(counts, key=lambda p: (-counts[p], p))
+            learned.append(best)
+            for s, _ in table:
+                k = 0
+                while k < len(s) - 1:
+                    if (s[k], s[k + 1]) == best:
+                        s[k : k + 2] = ["".join(best)]
+                    k += 1
+        return learned
+
+    size, want = 39, {}
+    for trial, weights in enumerate(L.candidates()):
+        freq = {}
+        for lang, w, n in rows:
+            freq[w] = freq.get(w, 0) + round(n * weights[lang] * 1000)
+        table = [(["▁", *w], f) for w, f in sorted(freq.items())]
+        learned = naive([(list(s), f) for s, f in table], size - 4 - 5)
+        assert L.bpe_merges(table, size - 4 - 5) == learned and len(learned) == 30
+        ranks = {p: k for k, p in enumerate(learned)}
+        want[trial] = {lang: sum(n * len(L.encode_word(w, ranks)) for x, w, n in rows if x == lang) / sum(n for x, _, n in rows if x == lang) for lang in L.LANGUAGES}
+    got = {x.trial: x.ratios for x in L.search(spark.createDataFrame(rows, "language string, word string, freq long"), L.candidate_table(spark), size).collect()}
+    assert got == want and len(got) == 48
+    assert L.bpe_merges([(list(w), 1) for w in words], 10_000) == naive([(list(w), 1) for w in words], 10_000)
+
+
+def test_tokenizer_search_takes_every_word_and_candidate(spark, monkeypatch, tmp_path):
+    from millrace.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(L, "search", lambda words, trials, size: seen.append((words.count(), trials.count(), size)) or trials.select("trial", "weights").withColumnRenamed("weights", "ratios"))
+    spark.createDataFrame([("en", "one two two"), ("fr", "un")], "lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    catalogue.QUERIES["tokenizer_search"](spark, str(tmp_path)).collect()
+    assert seen == [(3, 48, 10_000)]
