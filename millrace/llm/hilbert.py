@@ -18,7 +18,6 @@ from millrace.llm.store import broadcast_if_small, replacing, stash
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 5
 TARGET_CHARS = 64_000_000
-BROADCAST_ROWS = 500_000
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -127,7 +126,7 @@ def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bi
     bins = []
     for k, name in enumerate(dimensions):
         table = stash(_bins(docs, name, bits), f"bins-{k}")
-        bins.append(broadcast_if_small(table.select(F.col("_v").alias(f"_v{k}"), F.col("_bin").alias(f"_b{k}")), table.count(), BROADCAST_ROWS))
+        bins.append(broadcast_if_small(table.select(F.col("_v").alias(f"_v{k}"), F.col("_bin").alias(f"_b{k}"))))
         cells = cells.join(bins[-1], cells[name].eqNullSafe(F.col(f"_v{k}"))).drop(f"_v{k}")
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     grid = [f"_b{k}" for k in range(len(dimensions))]
@@ -152,7 +151,7 @@ def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bi
         one = cells[g] == F.col(f"_c{k}")
         same = one if same is None else same & one
     placed = (
-        cells.join(broadcast_if_small(table, n_cells, BROADCAST_ROWS), same)
+        cells.join(broadcast_if_small(table), same)
         .withColumn("shard", F.col("_from") + F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("_parts")))
         .select(*docs.columns, "hilbert", "shard")
     )

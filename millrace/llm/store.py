@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 #: (JVM weak reference to the file index of a stashed table, its path)
 _STASHED: list[tuple] = []
@@ -69,9 +70,29 @@ def _at_exit() -> None:
         pass
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast for a table of known size; beyond the limit the join shuffles both sides."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes of a table that is sent to every executor.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(field: StructField):
+    """The bytes that a value of a column takes."""
+    if isinstance(field.dataType, ArrayType):
+        return F.coalesce(F.size(field.name) * 8, F.lit(0)) + 16
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast for a stashed table if its rows take no more than limit bytes, 32 for each and what its
+    columns hold; beyond, the join shuffles both sides."""
+    size = df.agg(F.sum(sum((_bytes(f) for f in df.schema.fields), F.lit(32)).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
+
+
+def own(name: str) -> str:
+    """A column name of the operators, which no table has."""
+    return f"__millrace_{name}"
 
 
 def replacing(df: DataFrame, names: list[str]) -> DataFrame:

@@ -22,7 +22,6 @@ from millrace.llm.store import broadcast_if_small, stash
 from millrace.llm.tokens import U, grams, mix, tokenize
 
 LENGTH = 50
-BROADCAST_ROWS = 1_000_000
 _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -294,7 +293,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spread = prepared.join(firsts, ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode(F.arrays_zip("anchor", "at")).alias("_a")).select(F.col("_a.anchor").alias("anchor"), "doc_id", F.col("_a.at").alias("at"))
     shared = spread.repartition("anchor").mapInArrow(_shared_anchors, "doc_id long, at long")
     wanted = stash(shared.groupBy("doc_id").agg(F.collect_set("at").alias("_at")), "shared")
-    texts = docs.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_ROWS // 20), "doc_id")
+    texts = docs.join(broadcast_if_small(wanted), "doc_id")
     contexts = texts.select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, most long, least long, base long, context string")
     found = contexts.repartition("anchor").mapInArrow(_sort_shard(length, gram), "doc_id long, start long, end long")
     # what the first of equal texts repeats, and the whole of them, holds for all

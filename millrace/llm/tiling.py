@@ -14,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import broadcast_if_small, stash
+from millrace.llm.store import broadcast_if_small, own, stash
 from millrace.llm.tokens import U, grams, mix, tokenize
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 #: Bits of the seed filter: 32 for each benchmark word, and no more than this. Beyond, it lets more through.
 FILTER_BITS = 1 << 28
-BROADCAST_ROWS = 200_000
 
 
 def greedy_string_tiling(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
@@ -177,16 +176,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
         yield from _scan(handle.value, bits, min_match)(batches)
 
     hits = stash(docs.mapInArrow(scan, "doc_id long, _words array<long>, _seeds array<long>"), "hits")
-    sizes = items.select("item_id", F.size("_item_words").alias("_n")).distinct()
     pairs = (
         hits.select("doc_id", F.explode("_seeds").alias("_seed"))
         .distinct()
-        .join(broadcast_if_small(seeds, n_seeds, BROADCAST_ROWS), "_seed")
-        .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("_seed").alias("_shared"))
-        .join(broadcast_if_small(sizes, n_seeds, BROADCAST_ROWS), "item_id")
-        # c covered words in tiles of at least min_match words hold c / min_match seeds at least; equal ones within an item count once
-        .where(F.col("_shared") >= 1)
+        .join(broadcast_if_small(seeds), "_seed")
         .select("doc_id", "item_id")
         .distinct()
     )
@@ -207,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
     found = (
         hits.select("doc_id", "_words")
         .join(pairs, "doc_id")
-        .join(broadcast_if_small(items.select("item_id", "_item_words"), n_seeds, BROADCAST_ROWS), "item_id")
+        .join(broadcast_if_small(items.select("item_id", "_item_words")), "item_id")
         .select("doc_id", "item_id", "_words", "_item_words")
         .mapInArrow(measure, "doc_id long, item_id long, item_words long, covered_words long, tiles long, coverage double")
     )
@@ -215,6 +208,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
-    """docs without the rows whose doc_id contamination() reports; rows with a null doc_id stay."""
-    bad = contamination(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    """docs without the rows whose doc_id contamination() reports; rows with a null doc_id, and null and empty
+    texts, stay. Rows that repeat a doc_id share its fate. All columns are kept, whatever their names."""
+    bad = contamination(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias(own("bad"))).distinct()
+    return docs.join(bad, docs["doc_id"] == bad[own("bad")], "left_anti")

@@ -64,23 +64,20 @@ def gram_set(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("n,threshold", [(2, 0.7), (1, 0.8)])
-def test_jaccard_join_is_brute_force(spark, rows, n, threshold):
+def links(rows, n, threshold):
+    """The similar pairs of documents, by brute force."""
     sets = {i: gram_set(t, n) for i, t in rows if i is not None}
-    want = {}
+    found = {}
     for a, b in itertools.combinations(sorted(sets), 2):
         if sets[a] and sets[b]:
             j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
             if j >= threshold:
-                want[a, b] = j
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_join(frame(spark, rows, True), n, threshold).collect()}
-    assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+                found[a, b] = j
+    return sets, found
 
 
-def test_one_of_each_group_stays(spark, rows):
-    pairs = [(r.doc_a, r.doc_b) for r in jaccard.jaccard_join(frame(spark, rows)).collect()]
-    parent = {i: i for i, _ in rows if i is not None}
+def classes(nodes, pairs):
+    parent = {i: i for i in nodes}
 
     def find(x):
         while parent[x] != x:
@@ -90,11 +87,47 @@ def test_one_of_each_group_stays(spark, rows):
     for a, b in pairs:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in parent}
+
+
+@pytest.mark.parametrize("n,threshold", [(2, 0.7), (1, 0.8)])
+def test_jaccard_join_is_brute_force(spark, rows, n, threshold):
+    sets, want = links(rows, n, threshold)
+    root, number = classes(sets, want), defaultdict(int)
+    for a, b in want:
+        number[a] += 1
+        number[b] += 1
+    alike = {i: min(j for j in sets if sets[j] == sets[i]) for i in number}
+    table = frame(spark, rows, True)
+    got = {r.doc_id: r for r in jaccard.similar_documents(table, n, threshold).collect()}
+    assert {i: (r.class_id, r.set_id, r.links) for i, r in got.items()} == {i: (root[i], alike[i], number[i]) for i in number}
+    pairs = {(r.set_a, r.set_b): r.jaccard for r in jaccard.set_pairs(table, n, threshold).collect()}
+    assert pairs.keys() == {k for k in want if all(alike[i] == i for i in k)}
+    assert all(abs(pairs[k] - want[k]) < 1e-9 for k in pairs)
+
+
+def test_short_near_pairs_are_never_lost(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 7)  # buckets are dealt over grids too
+    r = random.Random(11)
+    rows, k = [], 0
+    for size in [2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 31, 40, 63, 66, 90] * 12:
+        # a word left out, a word changed or a word more at an end: near the threshold for the short ones
+        base = [f"w{r.randrange(4000)}" for _ in range(size + 1)]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base[:-1])), (k + 2, " ".join([*base, "tail"])), (k + 3, " ".join([*base[: size // 2], "new", *base[size // 2 + 1 :]]))]
+        k += 4
+    _, want = links(rows, 2, 0.7)
+    got = {(r.set_a, r.set_b) for r in jaccard.set_pairs(frame(spark, rows), 2, 0.7).collect()}
+    assert got == want.keys() and len(want) > 400
+
+
+def test_one_of_each_group_stays(spark, rows):
+    sets, pairs = links(rows, 2, 0.7)
+    root = classes(sets, pairs)
     df = frame(spark, rows, True)
     kept = jaccard.keep_one_of_each_group(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert {i for i in ids if i is not None} == {i for i in parent if find(i) == i}
+    assert {i for i in ids if i is not None} == {i for i in root if root[i] == i}
     assert None in ids and {400, 401, 402} <= set(ids) and ids.count(5) == 2
 
 
@@ -102,7 +135,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert jaccard.jaccard_join(none).count() == 0
+    assert jaccard.similar_documents(none).count() == 0 and jaccard.set_pairs(none).count() == 0
     assert jaccard.keep_one_of_each_group(none).count() == 0
     assert tiling.contamination(none, bench).count() == 0
     assert suffixes.repeated_passages(none).count() == 0
@@ -118,18 +151,9 @@ def test_empty_tables(spark):
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
-    parent = {x: x for e in edges for x in e}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
+    root = classes({x for e in edges for x in e}, edges)
     got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert got == {x: low for x, low in root.items() if low != x}
 
 
 def brute_tiling(text, item, least):
