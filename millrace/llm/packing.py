@@ -1,13 +1,19 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
-Terms are words hashed into a fixed number of buckets, so the table of document frequencies, counted over
-the whole corpus, has a bounded size. The first unused document of a language seeds a window, and its best
-unused neighbours in the whole language, by falling score, fill it as far as they fit.
+The seeds are a stated query set: the documents whose id is divisible by EVERY. Each seed is scored with BM25
+against all documents of its language, on an inverted index that is built shard by shard where the documents
+lie; a document is taken by the seed that scores it highest, so no document is used twice, and the documents
+of a seed fill its windows greedily, by falling score.
 
-A BM25 inverted index is held in memory for a shard of bounded size only. Seeds go in rounds: the next
-seeds of a language are scored against the postings of all its shards, the answers of the shards are merged,
-and the seeds are served in turn. What is left of a language when it fits one shard is packed there. The
-windows are those of one index over the whole language, however the documents lie in shards.
+Terms are words hashed into a fixed number of buckets, so the table of document frequencies, counted over
+the whole corpus, has a bounded size. Impacts of postings are integers of IMPACT_BITS bits; their sums are
+exact in whatever order they are made, so the result depends neither on shards nor on partitions. Terms that
+many documents hold are scored as a matrix product, the others through their postings. A seed's scores are
+divided by the length of its vector of term weights, which leaves the order of its neighbours as it is and
+makes long and short seeds comparable.
+
+Seeds are sent to the index in blocks of bounded size, each a pass over the index; the documents are never
+shuffled, only a row of numbers for each.
 """
 
 from __future__ import annotations
@@ -19,108 +25,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import stash
+from millrace.llm.store import prefix_sums, stash
 from millrace.llm.tokens import U, mix, tokenize
 
 WINDOW = 8192
+EVERY = 100
 TERM_BITS = 21
 SHARD_WORDS = 1_500_000
 K1, B = 1.2, 0.75
-#: A round serves seeds of about 1/ROUND of the unused documents, and has about so many answers.
-ROUND, ANSWERS = 4, 1_200_000
-SCHEMA = "lang string, shard long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_words long"
+#: Integer sums of DENSE impacts of so many bits stay below 2**24 and are exact in single precision.
+IMPACT_BITS, DENSE = 12, 4096
+#: Terms in a larger share of the documents are scored as a matrix product.
+DENSE_SHARE = 0.05
+#: Terms of the seeds in one block, and seeds in one product.
+BLOCK_TERMS, AT_ONCE = 3_000_000, 512
+#: The documents of a seed are packed in pieces of so many windows.
+CHUNK = 64
+SCHEMA = "lang string, seed long, chunk long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_words long"
 
 
 def bm25_weights(tf: np.ndarray, length: np.ndarray, idf: np.ndarray, average: float) -> np.ndarray:
-    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))).astype(np.float32)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def _inverted(terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The terms, the first posting of each and the end, the documents and the weights of the postings."""
-    owner = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    order = np.argsort(terms, kind="stable")
-    vocabulary, first = np.unique(terms[order], return_index=True)
-    return vocabulary, np.append(first, len(terms)), owner[order], weights[order]
+def inverse_frequency(df: np.ndarray, rows: int) -> np.ndarray:
+    return np.log1p((rows - df + 0.5) / (df + 0.5))
 
 
-def _scores(t: np.ndarray, first: np.ndarray, posting: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Sums of single-precision weights in double precision: their order does not matter."""
-    lo, hi = first[t], first[t + 1]
-    span = hi - lo
-    at = np.repeat(lo - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(int(span.sum()))
-    return np.bincount(posting[at], weights=weight[at], minlength=n)
+def impacts(weights: np.ndarray, rows: int) -> np.ndarray:
+    """Weights as integers from 1 to 2**IMPACT_BITS - 1; the largest weight that a corpus of so many rows allows is the largest."""
+    most = inverse_frequency(np.float64(1), max(rows, 1)) * (K1 + 1)
+    return np.clip(np.rint(weights * (((1 << IMPACT_BITS) - 1) / most)), 1, (1 << IMPACT_BITS) - 1)
 
 
-def _greedy(near: np.ndarray, rest: np.ndarray, left: int) -> list[int]:
-    """Those of near, the best first, that fit as they come."""
-    members: list[int] = []
-    near = near[rest[near] <= left]
-    while len(near):
-        k = int(np.searchsorted(np.cumsum(rest[near]), left, side="right"))
-        members += near[:k].tolist()
-        left -= int(rest[near[:k]].sum())
-        near = near[k:]
-        near = near[rest[near] <= left]
-    return members
-
+def _inverted(terms: np.ndarray, weights: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms, the first posting of each and the end, the documents and the weights of the postings."""
+    order = np.argsort(terms, kind="stable")
+    vocabulary, first = np.unique(terms[order], return_index=True)
+    return vocabulary, np.append(first, len(terms)), owner[order], weights[order]
 
-def _candidates(score: np.ndarray, rest: np.ndarray, left: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The documents of a shard that a window with so much left may take, the best first, and whether each is a mark.
 
-    Of the documents of every size a few times what a window may still have left for them is given. A mark is
-    left out, with all behind it that are no shorter: a window that has no room for it has none for these. The
-    whole answer, which needs no marks, leaves out only what cannot fit behind better ones that are no longer.
-    """
-    near = np.flatnonzero((score > 0) & (rest <= left))
-    near = every = near[np.argsort(-score[near], kind="stable")]
-    kept, level = near[:0], left
-    while len(near):
-        k = int(np.searchsorted(np.cumsum(rest[near]), left if whole else 3 * level, side="right")) + 1
-        kept, near = np.concatenate((kept, near[:k])), near[k:]
-        if whole:
-            sizes = np.sort(rest[kept])
-            before = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(sizes, rest[near], side="right")]
-            near = near[before + rest[near] <= left]
-        elif level > 1:
-            level = max(1, level // 4)
-            near = near[rest[near] <= level]
-        else:
-            break
-    marks = kept[:0]
-    if not whole:
-        taken = np.zeros(len(rest), bool)
-        taken[kept] = True
-        out = every[~taken[every]]
-        least = np.minimum.accumulate(rest[out])
-        marks = out[np.concatenate(([True], least[1:] < least[:-1]))] if len(out) else out
-    return np.concatenate((kept, marks)), np.arange(len(kept) + len(marks)) >= len(kept)
-
-
-def pack(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, ptr: np.ndarray, window: int) -> Iterator[tuple[list, list, list]]:
-    """Windows as (ids, starts, ends). Documents are in order of id; terms[ptr[d]:ptr[d+1]] are those of d.
-
-    A document longer than the window fills windows of its own; its last piece seeds or joins one as a
-    document does. Neighbours share a term with the seed; equal scores go by id.
-    """
-    n = len(ids)
-    rest = np.where(sizes > 0, (sizes - 1) % window + 1, 0)
-    for d in np.flatnonzero(sizes > window):
-        for a in range(0, int(sizes[d] - rest[d]), window):
-            yield [int(ids[d])], [a], [a + window]
-    vocabulary, first, posting, weight = _inverted(terms, weights, ptr)
-    place = np.searchsorted(vocabulary, terms)
-    unused = rest > 0
-    for seed in range(n):
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        members, left = [seed], window - int(rest[seed])
-        if left and unused.any():
-            score = _scores(place[ptr[seed] : ptr[seed + 1]], first, posting, weight, n)
-            near = np.flatnonzero(unused & (score > 0) & (rest <= left))
-            members += _greedy(near[np.argsort(-score[near], kind="stable")], rest, left)
-        unused[members] = False
-        yield [int(ids[d]) for d in members], [int(sizes[d] - rest[d]) for d in members], [int(sizes[d]) for d in members]
+def greedy_windows(rest: np.ndarray, window: int) -> Iterator[np.ndarray]:
+    """Members of window after window: of what is left, in order, all that fit as they come."""
+    waiting = np.arange(len(rest))
+    while len(waiting):
+        members, left, near = [], window, waiting
+        while len(near):
+            k = int(np.searchsorted(np.cumsum(rest[near]), left, side="right"))
+            members.append(near[:k])
+            left -= int(rest[near[:k]].sum())
+            near = near[k:]
+            near = near[rest[near] <= left]
+        members = np.concatenate(members)
+        yield members
+        waiting = waiting[~np.isin(waiting, members, assume_unique=True)]
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +91,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, count = np.unique(key, return_counts=True)
             at = np.searchsorted(key, np.arange(n + 1, dtype=U) << U(TERM_BITS))
             term = (key & U((1 << TERM_BITS) - 1)).astype("<u4")
-            tf = np.minimum(count, 65535).astype("<u2")
+            tie = np.concatenate((np.zeros(1, U), np.cumsum(mix(key & U((1 << TERM_BITS) - 1)) * count.astype(U))))
             yield pa.record_batch(
-                [batch.column(0).slice(words.row, n), batch.column(1).slice(words.row, n), pa.array(words.counts()), _binaries(term, at), _binaries(tf, at)],
-                ["doc_id", "lang", "n", "terms", "tfs"],
+                [batch.column(0).slice(words.row, n), batch.column(1).slice(words.row, n), pa.array(words.counts()), pa.array((tie[at[1:]] - tie[at[:-1]]).view(np.int64)), _binaries(term, at), _binaries(count.astype("<u4"), at)],
+                ["doc_id", "lang", "n", "tie", "terms", "tfs"],
             )
 
 
@@ -145,189 +103,175 @@ def _binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
-def _unpack(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _ragged(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed numbers of documents in one array, and the offsets."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), "<u4").astype(np.int64), np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int64)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << TERM_BITS, np.int64)
     for batch in batches:
-        total += np.bincount(_unpack(batch.column(0), "<u4"), minlength=1 << TERM_BITS)
+        total += np.bincount(_ragged(batch.column(0))[0], minlength=1 << TERM_BITS)
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at), pa.array(total[at])], ["term", "df"])
 
 
-def _pieces(member: np.ndarray, ids: np.ndarray, sizes: np.ndarray, window: int) -> Iterator[tuple[list, list, list]]:
-    """The windows that long documents fill alone, and the one of their last pieces."""
-    last = (sizes[member] - 1) // window * window
-    for d, end in zip(member.tolist(), last.tolist()):
-        for a in range(0, end, window):
-            yield [int(ids[d])], [a], [a + window]
-    yield ids[member].tolist(), last.tolist(), sizes[member].tolist()
-
+class Scorer:
+    """What a shard needs of the whole corpus, and the seeds of one block by language."""
+
+    def __init__(self, df: np.ndarray, rows: int, average: float, seeds: dict[str | None, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.idf, self.rows, self.average, self.seeds = inverse_frequency(df, rows), rows, average, seeds
+        often = np.flatnonzero(df > DENSE_SHARE * rows)
+        often = np.sort(often[np.lexsort((often, -df[often]))[:DENSE]])
+        self.dense = np.full(1 << TERM_BITS, -1, np.int16)
+        self.dense[often] = np.arange(len(often))
+        self.n_dense = len(often)
+
+    def best(self, lang: str | None, sizes: np.ndarray, terms: np.ndarray, tf: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each document of a shard the seed that scores it highest (of equal ones the smallest id), and the
+        score; 0 where no seed shares a term."""
+        n = len(sizes)
+        owner = np.repeat(np.arange(n), np.diff(ptr))
+        weight = impacts(bm25_weights(tf, sizes[owner], self.idf[terms], self.average), self.rows)
+        column = self.dense[terms]
+        common = column >= 0
+        matrix = np.zeros((self.n_dense, n), np.float32)
+        matrix[column[common], owner[common]] = weight[common]
+        vocabulary, first, posting, impact = _inverted(terms[~common], weight[~common], owner[~common])
+        ids, wanted, at = self.seeds[lang]
+        found, score = np.zeros(n, np.int64), np.zeros(n)
+        for lo in range(0, len(ids), AT_ONCE):
+            hi = min(lo + AT_ONCE, len(ids))
+            some = wanted[at[lo] : at[hi]]
+            seed = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+            length = np.sqrt(np.bincount(seed, self.idf[some] ** 2, minlength=hi - lo))
+            column = self.dense[some]
+            asked = np.zeros((hi - lo, self.n_dense), np.float32)
+            asked[seed[column >= 0], column[column >= 0]] = 1
+            some, seed = some[column < 0], seed[column < 0]
+            total = (asked @ matrix).astype(np.float64)
+            if len(vocabulary):
+                place = np.minimum(np.searchsorted(vocabulary, some), len(vocabulary) - 1)
+                there = vocabulary[place] == some
+                place, seed = place[there], seed[there]
+                span = first[place + 1] - first[place]
+                row = np.repeat(first[place] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+                total += np.bincount(np.repeat(seed, span) * n + posting[row], impact[row], minlength=(hi - lo) * n).reshape(hi - lo, n)
+            total /= length[:, None]
+            top = total.argmax(axis=0)
+            its = total[top, np.arange(n)]
+            better = its > score
+            found[better], score[better] = ids[lo + top[better]], its[better]
+        return found, score
+
+
+def _answers(handle, shard_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = handle.value
+        pool: dict[str | None, list[pa.Table]] = {}
+        size: dict[str | None, int] = {}
 
-def _windows(lang: str | None, shard: int, made: list[tuple[list, list, list]]) -> pa.Table:
-    k = len(made)
-    return pa.table(
-        {
-            "lang": pa.array([lang] * k, pa.string()),
-            "shard": pa.array([shard] * k, pa.int64()),
-            "window": pa.array(range(k), pa.int64()),
-            "doc_ids": pa.array([x[0] for x in made], pa.list_(pa.int64())),
-            "starts": pa.array([x[1] for x in made], pa.list_(pa.int64())),
-            "ends": pa.array([x[2] for x in made], pa.list_(pa.int64())),
-            "n_words": pa.array([sum(x[2]) - sum(x[1]) for x in made], pa.int64()),
-        }
-    )
+        def answered(lang: str | None) -> pa.RecordBatch:
+            shard = pa.concat_tables(pool.pop(lang)).combine_chunks()
+            size.pop(lang)
+            terms, ptr = _ragged(shard["terms"])
+            found, score = scorer.best(lang, np.asarray(shard["n"]), terms, _ragged(shard["tfs"])[0], ptr)
+            uid = shard["uid"].combine_chunks()
+            return pa.record_batch([uid.chunk(0) if isinstance(uid, pa.ChunkedArray) else uid, pa.array(found, mask=score == 0), pa.array(score)], ["uid", "seed", "score"])
 
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for lang in dict.fromkeys(langs):
+                if lang not in scorer.seeds:
+                    continue
+                its = pa.table(batch).filter(pa.array([x == lang for x in langs]))
+                pool.setdefault(lang, []).append(its)
+                size[lang] = size.get(lang, 0) + int(np.asarray(its["n"]).sum())
+                if size[lang] >= shard_words:
+                    yield answered(lang)
+        for lang in list(pool):
+            yield answered(lang)
 
-def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed terms of documents in one array, and the offsets."""
-    return _unpack(column, "<u4").astype(np.int64), np.concatenate(([0], np.cumsum([len(x) // 4 for x in column.to_pylist()]))).astype(np.int64)
+    return run
 
 
-def pack_by_retrieval(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, shard, window, doc_ids, starts, ends, n_words): the words starts[i] .. ends[i] of doc_ids[i]
+def nearest_seeds(docs: DataFrame, every: int = EVERY, shard_words: int = SHARD_WORDS, block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """(uid, doc_id, lang, n, tie, seed, score): for each document with words the seed of its language that
+    scores it highest. A seed has itself, at a score of 1e9; a document that shares no term with one has null."""
+    spark = docs.sparkSession
+    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text").mapInArrow(_index, "doc_id long, lang string, n long, tie long, terms binary, tfs binary").where("n > 0")
+    indexed = stash(plain.withColumn("uid", F.monotonically_increasing_id()), "terms")
+    is_seed = F.pmod("doc_id", F.lit(every)) == 0
+    known = indexed.agg(F.count("*"), F.sum("n"), F.sum(F.when(is_seed, F.octet_length("terms") / 4))).first()
+    rows, average = known[0], (known[1] or 1) / max(known[0], 1)
+    counted = indexed.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(1 << TERM_BITS, np.float32)
+    df[np.asarray(counted["term"])] = np.asarray(counted["df"])
+    blocks = max(1, int(-(-(known[2] or 0) // block_terms)))
+    read = indexed.select("uid", "lang", "n", "terms", "tfs")
+    passes = []
+    for k in range(blocks):
+        some = indexed.where(is_seed & (F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k)).select("doc_id", "lang", "terms").toArrow().sort_by("doc_id")
+        seeds, langs = {}, np.array([x or "" if x is None else f"={x}" for x in some["lang"].to_pylist()], object)
+        for key in dict.fromkeys(langs.tolist()):
+            its = some.take(pa.array(np.flatnonzero(langs == key)))
+            seeds[key[1:] if key else None] = (np.asarray(its["doc_id"]), *_ragged(its["terms"]))
+        handle = spark.sparkContext.broadcast(Scorer(df, rows, average, seeds))
+        passes.append(stash(read.mapInArrow(_answers(handle, shard_words), "uid long, seed long, score double"), f"answers-{k}"))
+        handle.destroy()
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    if blocks > 1:
+        found = found.where(F.col("seed").isNotNull()).groupBy("uid").agg(F.min(F.struct((-F.col("score")).alias("s"), "seed")).alias("m")).select("uid", "m.seed", (-F.col("m.s")).alias("score"))
+    found = indexed.where(~is_seed).select("uid", "doc_id", "lang", "n", "tie").join(found, "uid", "left")
+    itself = indexed.where(is_seed).select("uid", "doc_id", "lang", "n", "tie", F.col("doc_id").alias("seed"), F.lit(1e9).alias("score"))
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0))).unionByName(itself)
+
+
+def _fill(window: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        lang, seed, chunk = (group[c][0].as_py() for c in ("lang", "seed", "chunk"))
+        group = group.sort_by([("score", "descending"), ("doc_id", "ascending"), ("n", "ascending"), ("tie", "ascending"), ("uid", "ascending")])
+        ids, sizes = np.asarray(group["doc_id"]), np.asarray(group["n"])
+        last = (sizes - 1) // window * window
+        made = [([int(ids[d])], [a], [a + window]) for d in np.flatnonzero(last) for a in range(0, int(last[d]), window)]
+        made += [(ids[m].tolist(), last[m].tolist(), sizes[m].tolist()) for m in greedy_windows(sizes - last, window)]
+        k = len(made)
+        return pa.table(
+            {
+                "lang": pa.array([lang] * k, pa.string()),
+                "seed": pa.array([seed] * k, pa.int64()),
+                "chunk": pa.array([chunk] * k, pa.int64()),
+                "window": pa.array(range(k), pa.int64()),
+                "doc_ids": pa.array([x[0] for x in made], pa.list_(pa.int64())),
+                "starts": pa.array([x[1] for x in made], pa.list_(pa.int64())),
+                "ends": pa.array([x[2] for x in made], pa.list_(pa.int64())),
+                "n_words": pa.array([sum(x[2]) - sum(x[1]) for x in made], pa.int64()),
+            }
+        )
+
+    return run
+
+
+def pack_by_retrieval(docs: DataFrame, window: int = WINDOW, every: int = EVERY, shard_words: int = SHARD_WORDS, block_terms: int = BLOCK_TERMS, chunk: int = CHUNK) -> DataFrame:
+    """(lang, seed, chunk, window, doc_ids, starts, ends, n_words): the words starts[i] .. ends[i] of doc_ids[i]
     make up the window. Every word of every document is in exactly one window.
 
-    shard is 0 for windows that were made when the rest of a language fitted one shard, else the round.
+    A document longer than the window fills windows of its own; its last piece joins others as a document does.
+    The documents of a seed come by falling score, the seed first, and are cut into chunks of `chunk` windows'
+    words; in each, a window takes all that still fit, in that order. Documents that share no term with a seed
+    of their language, as where there is none, have the seed null and go by id.
 
     Rows with a null doc_id, and texts without words (null, empty, only marks), are in none. Rows that
     repeat a doc_id are packed as documents of their own. A null language is a language. Ties go to the
     smaller doc_id. Further columns are ignored.
     """
-    spark = docs.sparkSession
-    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "lang", "text").mapInArrow(_index, "doc_id long, lang string, n long, terms binary, tfs binary").where("n > 0")
-    indexed = stash(plain.withColumn("uid", F.monotonically_increasing_id()).withColumn("tie", F.xxhash64("terms", "tfs")), "terms")
-    langs = indexed.groupBy("lang").agg(F.sum("n").alias("words"), F.count("*").alias("rows"))
-    known = langs.toArrow().to_pylist()
-    rows, words = sum(x["rows"] for x in known), sum(x["words"] for x in known)
-    average = words / rows if rows else 1.0
-    counted = indexed.select("terms").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(1 << TERM_BITS, np.float32)
-    df[np.asarray(counted["term"])] = np.asarray(counted["df"])
-    held = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)).astype(np.float32))
-
-    def weighed(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Table]:
-        group = group.combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "n", "tie", "uid")])
-        terms, ptr = _ragged(group["terms"])
-        sizes, tf = np.asarray(group["n"]), _unpack(group["tfs"], "<u2").astype(np.float32)
-        return np.asarray(group["doc_id"]), sizes, terms, bm25_weights(tf, np.repeat(sizes, np.diff(ptr)), held.value[terms], average), ptr, group
-
-    def fill(key: tuple, group: pa.Table) -> pa.Table:
-        ids, sizes, terms, weights, ptr, _ = weighed(group)
-        return _windows(key[0].as_py(), 0, list(pack(ids, sizes, terms, weights, ptr, window)))
-
-    large = [x["lang"] for x in known if x["words"] > shard_words]
-    if not large:
-        return indexed.groupBy("lang").applyInArrow(fill, SCHEMA)
-    is_large = F.lit(False)
-    for lang in large:
-        is_large = is_large | F.col("lang").eqNullSafe(F.lit(lang))
-    read = indexed.where(is_large)
-    order = read.select("lang", "doc_id", "n", "tie", "uid").toArrow()
-    uid, ids, sizes = (np.asarray(order[c]) for c in ("uid", "doc_id", "n"))
-    by_id = np.lexsort((uid, np.asarray(order["tie"]), sizes, ids))
-    uid, ids, sizes = uid[by_id], ids[by_id], sizes[by_id]
-    code = np.array([large.index(x) for x in order["lang"].to_pylist()])[by_id]
-    del order, by_id
-    sought = np.argsort(uid)
-    rest = (sizes - 1) % window + 1
-    unused = np.ones(len(ids), bool)
-    shards, made, turn = max(read.rdd.getNumPartitions(), -(-int(sizes.sum()) // shard_words)), [], 0
-
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive, seeds = now.value
-        pool: dict[str | None, list[pa.Table]] = {}
-        size: dict[str | None, int] = {}
-
-        def score(lang: str | None) -> Iterator[pa.RecordBatch]:
-            _, sizes, terms, weights, ptr, group = weighed(pa.concat_tables(pool.pop(lang)))
-            size.pop(lang)
-            own, rest = np.asarray(group["uid"]), (sizes - 1) % window + 1
-            vocabulary, first, posting, weight = _inverted(terms, weights, ptr)
-            their, left, wanted, at = seeds[lang]
-            place = np.minimum(np.searchsorted(vocabulary, wanted), len(vocabulary) - 1)
-            there = vocabulary[place] == wanted
-            for k in range(len(their)):
-                part = slice(at[k], at[k + 1])
-                score = _scores(place[part][there[part]], first, posting, weight, len(own))
-                score[own == their[k]] = 0
-                near, mark = _candidates(score, rest, int(left[k]), not k)
-                if len(near):
-                    yield pa.record_batch([pa.array(np.full(len(near), their[k])), pa.array(own[near]), pa.array(score[near]), pa.array(mark)], ["seed", "uid", "score", "mark"])
-
-        for batch in batches:
-            found = np.asarray(batch.column("uid"))
-            at = np.minimum(np.searchsorted(alive, found), max(len(alive) - 1, 0))
-            some = pa.table(batch).filter(pa.array(alive[at] == found))
-            for lang in set(some["lang"].to_pylist()) & set(seeds):
-                its = some.filter(pa.array([x == lang for x in some["lang"].to_pylist()]))
-                pool.setdefault(lang, []).append(its)
-                size[lang] = size.get(lang, 0) + int(np.asarray(its["n"]).sum())
-                if size[lang] >= shard_words:
-                    yield from score(lang)
-        for lang in list(pool):
-            yield from score(lang)
-
-    while True:
-        turn += 1
-        queues = {}
-        for k, lang in enumerate(large):
-            free = np.flatnonzero(unused & (code == k))
-            total = int(rest[free].sum())
-            if int(sizes[free].sum()) > shard_words:
-                share = max(1, total // window)
-                queues[lang] = free[: max(1, min(share // ROUND, ANSWERS * total // ((3 * window * len(free) + 60 * total) * shards * len(large))))]
-        if not queues:
-            break
-        picked = np.concatenate(list(queues.values()))
-        chosen = np.sort(uid[picked])
-        near_ids = spark.sparkContext.broadcast(chosen)
-
-        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = np.asarray(batch.column(0))
-                at = np.minimum(np.searchsorted(near_ids.value, found), len(near_ids.value) - 1)
-                yield batch.filter(pa.array(near_ids.value[at] == found))
-
-        texts = read.select("uid", "terms").mapInArrow(asked, "uid long, terms binary").toArrow().sort_by("uid")
-        near_ids.destroy()
-        seeds = {}
-        for lang, queue in queues.items():
-            terms, ptr = _ragged(texts.take(pa.array(np.searchsorted(chosen, uid[queue])))["terms"])
-            seeds[lang] = (uid[queue], window - rest[queue], terms, ptr)
-        now = spark.sparkContext.broadcast((np.sort(uid[unused]), seeds))
-        got = read.select("uid", "lang", "doc_id", "n", "tie", "terms", "tfs").mapInArrow(answers, "seed long, uid long, score double, mark boolean").toArrow()
-        now.destroy()
-        seed, score, mark = (np.asarray(got[c]) for c in ("seed", "score", "mark"))
-        near = sought[np.searchsorted(uid, np.asarray(got["uid"]), sorter=sought)]
-        best = np.lexsort((near, -score, seed))
-        seed, near, mark = seed[best], near[best], mark[best]
-        for lang, queue in queues.items():
-            out = []
-            for d in queue.tolist():
-                if not unused[d]:
-                    continue
-                left = window - int(rest[d])
-                part = slice(*np.searchsorted(seed, [uid[d], uid[d] + 1]))
-                its, free = near[part], unused[near[part]] & ~mark[part]
-                members = _greedy(its[free], rest, left)
-                took = np.isin(its, members)
-                room = left - np.cumsum(rest[its] * took)
-                if (mark[part] & (rest[its] <= room)).any():
-                    break  # a shard has more that may fit: this is the first seed of the next round
-                members = [d, *members]
-                unused[members] = False
-                out += _pieces(np.array(members), ids, sizes, window)
-            made.append(_windows(lang, turn, out))
-    gone = spark.sparkContext.broadcast(np.sort(uid[~unused]))
-
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.asarray(batch.column(batch.schema.get_field_index("uid")))
-            at = np.minimum(np.searchsorted(gone.value, found), len(gone.value) - 1)
-            yield batch.filter(pa.array(gone.value[at] != found))
-
-    tail = indexed.mapInArrow(remaining, indexed.schema).groupBy("lang").applyInArrow(fill, SCHEMA)
-    return tail.unionByName(spark.createDataFrame(pa.concat_tables(made), SCHEMA))
+    keys = ("_lang", "_seed")
+    order = [F.col("score").desc(), *map(F.col, ("doc_id", "n", "tie", "uid"))]
+    keyed = nearest_seeds(docs, every, shard_words, block_terms).withColumn("_rest", F.pmod(F.col("n") - 1, F.lit(window)) + 1)
+    keyed = keyed.withColumn("_lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("_seed", F.coalesce(F.col("seed").cast("string"), F.lit("")))
+    # a seed may have any share of all documents
+    placed = prefix_sums(keyed, "_rest", "_words", order, keys).withColumn("chunk", F.floor(F.col("_words") / F.lit(chunk * window)).cast("long"))
+    return placed.select(*keys, "lang", "seed", "chunk", "doc_id", "n", "tie", "uid", "score").groupBy(*keys, "chunk").applyInArrow(_fill(window), SCHEMA)

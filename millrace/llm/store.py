@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
@@ -95,6 +95,20 @@ def own(name: str) -> str:
     return f"__millrace_{name}"
 
 
+def prefix_sums(df: DataFrame, value: str, out: str, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of value over the rows before each, in this order, for each group of the columns by, which
+    hold no nulls. Neither the table nor a group of any size is in one task: rows are summed in ranges, and the
+    sums of ranges, a row for each that a group is in, carry on from one to the next. Rows must not be equal in order.
+    """
+    part, ahead = own("range"), own("ahead")
+    ranged = stash(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(part, *by).agg(F.sum(value).alias(ahead))
+    earlier = F.sum(ahead).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(part, *by, F.coalesce(earlier, F.lit(0)).alias(ahead))
+    running = F.sum(value).over(Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(totals, [part, *by]).withColumn(out, F.col(ahead) + F.coalesce(running, F.lit(0))).drop(part, ahead)
+
+
 def replacing(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that an operator is about to add: a clashing input column is replaced."""
     clash = {n.lower() for n in names}
