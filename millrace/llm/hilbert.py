@@ -10,14 +10,16 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import broadcast_if_small, replacing, stash
+from millrace.llm.store import broadcast_if_small, own, prefix_sums, replacing, stash
 
 DIMENSIONS = ("lang", "source", "n_chars")
 BITS = 5
 TARGET_CHARS = 64_000_000
+#: Tasks that write shards; more shards than these are dealt to them in runs.
+PARTITIONS = 10_000
 
 
 def hilbert_index(point: tuple[int, ...], bits: int) -> int:
@@ -101,62 +103,81 @@ def curve_column(cells: list[Column], bits: int) -> Column:
 def _bins(docs: DataFrame, column: str, bits: int) -> DataFrame:
     """(value, bin): the share of rows with a smaller value, in steps of 2**-bits; null counts as smallest.
 
-    The window runs over one row for each distinct value, not over the rows of docs.
+    The sums run over one row for each distinct value, not over the rows of docs.
     """
     counts = docs.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    up_to = Window.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select(
-        "_v",
-        F.floor(F.coalesce(F.sum("_n").over(up_to), F.lit(0)) * (1 << bits) / F.sum("_n").over(total)).cast("int").alias("_bin"),
-    )
+    total = docs.count()
+    return prefix_sums(counts, "_n", "_before", [F.col("_v").asc_nulls_first()]).select("_v", F.floor(F.col("_before") * (1 << bits) / F.lit(total)).cast("int").alias("_bin"))
 
 
-def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, target_chars: int = TARGET_CHARS) -> DataFrame:
-    """docs with hilbert (the curve index of its cell) and shard; each shard is one partition, in curve order.
+def hilbert_shards(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, target_chars: int = TARGET_CHARS, partitions: int = PARTITIONS) -> DataFrame:
+    """docs with hilbert (the curve index of its cell) and shard; each shard lies whole in one partition, in
+    curve order, and up to `partitions` shards have one each; more are dealt to that many, in runs.
 
     Shards are numbered along the curve. A run of cells is cut where target_chars is reached; a cell with
     more is cut into that many shards by doc_id modulo their number (a null doc_id counts as 0). Null
     values of a dimension come before all others; null and empty texts have a size of 0. Repeated rows
-    share a cell. Columns of the names hilbert and shard are replaced; all others are kept.
+    share a cell. Columns of the names hilbert and shard are replaced; all others are kept, whatever their names.
     """
     docs = replacing(docs, ["hilbert", "shard"])
     # only the dimensions, the id and the size of the text: the text itself moves once, at the end
     cells = docs
-    bins = []
+    grid = [own(f"b{k}") for k in range(len(dimensions))]
     for k, name in enumerate(dimensions):
-        table = stash(_bins(docs, name, bits), f"bins-{k}")
-        bins.append(broadcast_if_small(table.select(F.col("_v").alias(f"_v{k}"), F.col("_bin").alias(f"_b{k}"))))
-        cells = cells.join(bins[-1], cells[name].eqNullSafe(F.col(f"_v{k}"))).drop(f"_v{k}")
+        value = own(f"v{k}")
+        table = stash(_bins(docs, name, bits).select(F.col("_v").alias(value), F.col("_bin").alias(grid[k])), f"bins-{k}")
+        cells = cells.join(broadcast_if_small(table), cells[name].eqNullSafe(F.col(value))).drop(value)
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    grid = [f"_b{k}" for k in range(len(dimensions))]
     # at most 2 ** (bits * dimensions) cells; the curve is followed once for each, not for each row
-    per_cell = cells.groupBy(*grid).agg(F.sum(size).alias("_size")).withColumn("hilbert", curve_column([F.col(g) for g in grid], bits))
-    before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
+    per_cell = cells.groupBy(*grid).agg(F.sum(size).alias("_size")).withColumn("_curve", curve_column([F.col(g) for g in grid], bits))
+    before = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
     parts = F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(target_chars)))
     # a large cell has shards of its own; the cells between two of them are cut by their running size
     planned = (
         per_cell.withColumn("_parts", parts.cast("long"))
         .withColumn("_large", (F.col("_parts") > 1).cast("int"))
         .withColumn("_stretch", F.sum("_large").over(before.rowsBetween(Window.unboundedPreceding, 0)) * 2 - F.col("_large"))
-        .withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.partitionBy("_stretch").orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_ahead", F.coalesce(F.sum("_size").over(Window.partitionBy("_stretch").orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_run", F.when(F.col("_large") == 1, F.lit(0)).otherwise(F.floor(F.col("_ahead") / F.lit(target_chars))).cast("long"))
     )
     runs = planned.groupBy("_stretch", "_run").agg(F.max("_parts").alias("_parts"))
     numbered = runs.select("_stretch", "_run", F.coalesce(F.sum("_parts").over(Window.orderBy("_stretch", "_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
-    table = stash(planned.join(numbered, ["_stretch", "_run"]).select(*[F.col(g).alias(f"_c{k}") for k, g in enumerate(grid)], "hilbert", "_parts", "_from"), "cells")
-    n_cells = table.count()
-    same = None
+    parts, first = own("parts"), own("from")
+    table = stash(planned.join(numbered, ["_stretch", "_run"]).select(*[F.col(g).alias(own(f"c{k}")) for k, g in enumerate(grid)], F.col("_curve").alias("hilbert"), F.col("_parts").alias(parts), F.col("_from").alias(first)), "cells")
+    same = F.lit(True)
     for k, g in enumerate(grid):
-        one = cells[g] == F.col(f"_c{k}")
-        same = one if same is None else same & one
+        same = same & (cells[g] == F.col(own(f"c{k}")))
     placed = (
         cells.join(broadcast_if_small(table), same)
-        .withColumn("shard", F.col("_from") + F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col("_parts")))
+        .withColumn("shard", F.col(first) + F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.col(parts)))
         .select(*docs.columns, "hilbert", "shard")
     )
-    shards = table.agg(F.max(F.col("_from") + F.col("_parts"))).first()[0] or 1
-    return placed.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "hilbert", "doc_id")
+    shards = int(table.agg(F.max(F.col(first) + F.col(parts))).first()[0] or 1)
+    tasks = min(shards, partitions)
+    return placed.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard", "hilbert", "doc_id")
+
+
+def write_shards(sharded: DataFrame, path: str, dimensions: tuple[str, ...] = DIMENSIONS) -> None:
+    """Write what hilbert_shards returned, a folder a shard, under path/shards, and the least and largest value of
+    each dimension in each shard under path/ranges."""
+    sharded.write.partitionBy("shard").parquet(f"{path}/shards")
+    spark = sharded.sparkSession
+    edges = [e for d in dimensions for e in (F.min(d).alias(f"min_{d}"), F.max(d).alias(f"max_{d}"), F.count_if(F.col(d).isNull()).alias(f"nulls_{d}"))]
+    spark.read.parquet(f"{path}/shards").groupBy("shard").agg(*edges, F.count("*").alias("rows")).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read_box(spark: SparkSession, path: str, **box: tuple) -> DataFrame:
+    """The rows whose dimensions lie in the given closed intervals; only shards that may hold such rows are read.
+
+    The folders are chosen by the table of ranges, in the plan: its rows are joined to the partition column, whose
+    values prune the scan.
+    """
+    inside, possible = F.lit(True), F.lit(True)
+    for name, (low, high) in box.items():
+        inside = inside & F.col(name).between(low, high)
+        possible = possible & (F.col(f"min_{name}") <= F.lit(high)) & (F.col(f"max_{name}") >= F.lit(low))
+    chosen = spark.read.parquet(f"{path}/ranges").where(possible).select("shard")
+    return spark.read.parquet(f"{path}/shards").join(broadcast_if_small(chosen), "shard", "left_semi").where(inside)
 
 
 def oracle(dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, target_chars: int = TARGET_CHARS) -> str:
