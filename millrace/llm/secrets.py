@@ -2,31 +2,44 @@
 
 A dynamic program over the value finds the cheapest segmentation into dictionary words (also capitalised,
 in leet spelling or reversed), dates, repeats, sequences, keyboard walks and spans tried by brute force.
-Costs are decimal logarithms of guesses and add up; each segment costs SEGMENT more.
+Costs are decimal logarithms of guesses and add up; each segment costs SEGMENT more, and a value that takes
+10 ** CEILING guesses or more counts as that many.
+
+The dictionary is WORDS and the DICTIONARY most frequent words of the corpus, counted over all of its texts
+except in credential contexts.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from heapq import heappop, heappush
 from math import log10
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
 
 SEGMENT = 0.3
 #: From here on a value is a secret; below it is a placeholder or prose.
 SECRET_FROM = 6.0
 STRONG_FROM = 10.0
+CEILING = 40.0
 MASK = "[SECRET]"
+#: Words taken from the corpus: those of LETTERS letters, by their number of occurrences.
+DICTIONARY, LETTERS = 50_000, (3, 24)
 _KEYS = r"passwords?|passwd|passphrase|passcode|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|client[_-]?secret|auth[_-]?key|credentials?|bearer"
-#: For RE2, to tell quickly which texts need the full pattern.
+#: For RE2 and Java, to tell quickly which texts need the full pattern.
 _QUICK = rf"(?i)(?:{_KEYS})"
-_CONTEXT = re.compile(rf"(?i)({_KEYS})[a-z0-9_-]{{0,24}}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"',;<>]+))")
+_KEY = re.compile(_QUICK)
+#: A name and what is set to it; the name is possessive, so that the search stays linear.
+_CONTEXT = r"(?i)(?<![a-z0-9_-])([a-z0-9_-]++)[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+(?:\"([^\"\n]++)\"|'([^'\n]++)'|([^\s\"',;<>]++))"
+_ASSIGNED = re.compile(_CONTEXT)
+#: Values that name a secret and do not hold it: templates, variables, attributes and calls.
+_REFERENCE = re.compile(r"\$\{?\w+\}?|\$\([^)]*\)|\{\{.*\}\}|\{\w*\}|%\w+%|%\(\w+\)s|[a-z_]+(?:\.[a-z_]+)+(?:[\[(].*)?|[a-z_]+(?:\.[a-z_]+)*[\[(].*", re.I | re.A)
 
 WORDS = (
     "password 123456 qwerty letmein welcome admin login master dragon monkey shadow sunshine princess football baseball superman batman "
@@ -43,7 +56,8 @@ WORDS = (
     "maggie pepper ginger cheese killer matrix mustang corvette ferrari porsche mercedes yankees cowboys lakers liverpool chelsea arsenal"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(WORDS))))}
-_LONGEST = max(map(len, RANK))
+#: The longest date, or word of the dictionary.
+_LONGEST = max(LETTERS[1], 10)
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "0": "o", "1": "i", "!": "i", "$": "s", "5": "s", "7": "t"})
 _ROWS = ["`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./"]
 _SHIFT = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -60,15 +74,15 @@ def brute_cost(c: str) -> float:
     return log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-def word_cost(s: str) -> float | None:
+def word_cost(s: str, ranks: dict[str, int] = RANK) -> float | None:
     """The cost of a dictionary word in any of its disguises."""
     low = s.lower()
     best = None
     for form, extra in ((low, 0.0), (low[::-1], log10(2)), (low.translate(_LEET), 0.6)):
-        if form in RANK:
+        if form in ranks:
             capitals = sum(c.isupper() for c in s)
             shape = 0.0 if not capitals else log10(2) if s[0].isupper() and capitals == 1 or capitals == len(s) else log10(2) * min(capitals, len(s) - capitals) + log10(2)
-            cost = log10(RANK[form] + 1) + extra + shape
+            cost = log10(ranks[form] + 1) + extra + shape
             best = cost if best is None else min(best, cost)
     return best
 
@@ -79,11 +93,11 @@ def _unshifted(s: str) -> str:
     return low.translate(_SHIFT) if len(low) == len(s) else s
 
 
-def pattern_costs(s: str, i: int, keys: str | None = None) -> Iterator[tuple[int, float]]:
-    """(end, cost) of the words, dates, sequences and keyboard walks that start at i; all ends of each."""
+def pattern_costs(s: str, i: int, keys: str | None = None, ranks: dict[str, int] = RANK, most: float = CEILING) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the words, dates, sequences and keyboard walks that start at i and cost most at most; all ends of each."""
     keys = _unshifted(s) if keys is None else keys
     for j in range(i + 2, min(len(s), i + _LONGEST) + 1):
-        if (cost := word_cost(s[i:j])) is not None:
+        if (cost := word_cost(s[i:j], ranks)) is not None:
             yield j, cost
     for j in range(i + 4, min(len(s), i + 10) + 1):
         if m := _DATE.fullmatch(s, i, j):
@@ -101,106 +115,201 @@ def pattern_costs(s: str, i: int, keys: str | None = None) -> Iterator[tuple[int
             turns += way != before
             before = way
             j += 1
+            if turns * log10(4.6) > most:
+                break
             if j - i >= 3:
                 yield j, log10(47) + log10(j - i) + turns * log10(4.6)
 
 
-def repeats(s: str) -> Iterator[tuple[int, int, int]]:
-    """(start, end, unit) of the runs in which a unit occurs at least twice, as long as they go.
+def _extent(s: str, i: int, unit: int) -> int:
+    """How far from i on characters equal those a unit further, that unit included."""
+    n = len(s) - unit
+    at, step = i, 64
+    while at < n and s[at : min(at + step, n)] == s[at + unit : min(at + step, n) + unit]:
+        at = min(at + step, n)
+        step *= 2
+    lo, hi = at, min(at + step, n)
+    while lo < hi:
+        middle = (lo + hi + 1) // 2
+        lo, hi = (middle, hi) if s[at:middle] == s[at + unit : middle + unit] else (lo, middle - 1)
+    return lo + unit - i
+
+
+def repeats(s: str, i: int) -> Iterator[tuple[int, int]]:
+    """(end, unit) of the repeats that start at i: whole numbers of a unit, two at least.
 
-    Units that repeat a shorter one only count up to the length of the longest word or date, which they may
-    be themselves (2020 in 20202020); longer ones are repeats of the shorter.
+    Ends that cannot matter are left out: those so far from the end of a run that no segment which begins there
+    reaches beyond it, and units longer than any word that repeat a shorter one.
     """
-    known: list[tuple[int, int, int]] = []
-    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for unit in range(1, len(s) // 2 + 1):
-        same = codes[:-unit] == codes[unit:]
-        if np.count_nonzero(same) < unit:
+    n = len(s)
+    run = 0  # the longest, and its unit
+    period = 1
+    for unit in range(1, min(_LONGEST, (n - i) // 2) + 1):
+        if s[i : i + unit] != s[i + unit : i + 2 * unit]:
+            continue
+        size = _extent(s, i, unit)
+        if size > run:
+            run, period = size, unit
+        for k in range(max(2, (size - _LONGEST - unit) // unit), size // unit + 1):
+            yield i + k * unit, unit
+    unit = _LONGEST + 1
+    if n - i < 2 * unit:
+        return
+    head = s[i : i + 8]
+    at = s.find(head, i + unit)
+    while 0 <= at and 2 * at - i <= n:
+        unit = at - i
+        # within a run only multiples of its period match, but near its end
+        if unit + 8 < run - period:
+            at = s.find(head, max(i + run - period - 8, at + 1))
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], same.astype(np.int8), [0]))))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            run = b - a
-            if run >= unit and (unit <= max(_LONGEST, 10) or not any(unit % d == 0 and x <= a and b + unit <= y for x, y, d in known)):
-                known.append((a, b + unit, unit))
-                size = (run + unit) // unit * unit
-                for start in range(a, a + (run + unit) % unit + 1):
-                    yield start, start + size, unit
+        if s[i:at] == s[at : at + unit]:
+            size = _extent(s, i, unit)
+            if size > run:
+                run, period = size, unit
+            for k in range(max(2, (size - _LONGEST - unit) // unit), size // unit + 1):
+                yield i + k * unit, unit
+        at = s.find(head, at + 1)
+
+
+class Guesses:
+    """Guess costs by one dictionary; those of short values are kept."""
+
+    def __init__(self, ranks: dict[str, int] = RANK) -> None:
+        self.ranks, self.known = ranks, {}
+
+    def cost(self, s: str) -> float:
+        """Decimal logarithm of the guesses that the cheapest segmentation of s takes, CEILING at most."""
+        if (known := self.known.get(s)) is not None:
+            return known
+        # the cheapest way to each place: by whole segments, or in a span tried by brute force
+        n, keys = len(s), _unshifted(s)
+        ways: list[dict[int, float]] = [{0: 0.0}, {}]
+        heap = [(0.0, 0, 0)]
+        out = CEILING
+
+        def offer(cost: float, at: int, spelled: int) -> None:
+            if cost < ways[spelled].get(at, CEILING):
+                ways[spelled][at] = cost
+                heappush(heap, (cost, at, spelled))
+
+        while heap:
+            cost, at, spelled = heappop(heap)
+            if at == n:
+                out = cost
+                break
+            if cost > ways[spelled][at]:
+                continue
+            if spelled:
+                offer(cost + brute_cost(s[at]), at + 1, 1)
+                offer(cost, at, 0)
+                continue
+            offer(cost + SEGMENT, at, 1)
+            for end, more in pattern_costs(s, at, keys, self.ranks, CEILING - cost):
+                offer(cost + more + SEGMENT, end, 0)
+            for end, unit in repeats(s, at):
+                # a unit has a segment at least
+                if cost + SEGMENT + log10((end - at) // unit) < CEILING:
+                    offer(cost + self.cost(s[at : at + unit]) + log10((end - at) // unit) + SEGMENT, end, 0)
+        if n <= 64:
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            self.known[s] = out
+        return out
 
 
-@lru_cache(maxsize=100_000)
 def guess_cost(s: str) -> float:
-    """Decimal logarithm of the guesses that the cheapest segmentation of s takes."""
-    n = len(s)
-    best = [0.0] + [float("inf")] * n
-    into: dict[int, list[tuple[int, float]]] = {}
-    for a, b, unit in repeats(s):
-        into.setdefault(a, []).append((b, guess_cost(s[a : a + unit]) + log10((b - a) // unit)))
-    keys = _unshifted(s)
-    brute_from = [float("inf")] * (n + 1)  # the last segment is a span tried by brute force
-    for i in range(n):
-        here = min(best[i], brute_from[i])
-        best[i] = here
-        for j, cost in [*pattern_costs(s, i, keys), *into.get(i, ())]:
-            best[j] = min(best[j], here + cost + SEGMENT)
-        brute_from[i + 1] = min(brute_from[i], here + SEGMENT) + brute_cost(s[i])
-    return min(best[n], brute_from[n])
-
-
-def findings(text: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, context, cost) of each credential value in a text."""
-    for m in _CONTEXT.finditer(text):
-        group = next(g for g in (2, 3, 4) if m[g] is not None)
-        yield m.start(group), m.end(group), m[1], guess_cost(m[group])
+    return Guesses().cost(s)
+
+
+def findings(text: str, guesses: Guesses) -> Iterator[tuple[int, int, str, float, bool]]:
+    """(start, end, context, cost, whether it is a mere reference) of each credential value in a text."""
+    for m in _ASSIGNED.finditer(text):
+        if key := _KEY.search(m[1]):
+            group = next(g for g in (2, 3, 4) if m[g] is not None)
+            yield m.start(group), m.end(group), key[0], guesses.cost(m[group]), _REFERENCE.fullmatch(m[group]) is not None
+
+
+def ranked_words(docs: DataFrame, size: int = DICTIONARY, vocabulary: str | None = None) -> dict[str, int]:
+    """The dictionary: WORDS, then the `size` most frequent words of the texts outside credential contexts, small
+    letters throughout; equally frequent ones by their letters.
+
+    vocabulary: a file of a public tokenizer (a base64 token and its rank a line), whose words rank by it too.
+    """
+    text = F.when(F.col("text").rlike(_QUICK), F.regexp_replace("text", _CONTEXT, " ")).otherwise(F.col("text"))
+    words = docs.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(*LETTERS))
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
+    ranks = dict(RANK)
+    for k, row in enumerate(counted.select("w").toArrow().column(0).to_pylist()):
+        ranks[row] = min(ranks.get(row, k + 1), k + 1)
+    if vocabulary:
+        with open(vocabulary, "rb") as lines:
+            for line in lines:
+                token, rank = line.split()
+                word = base64.b64decode(token).decode("utf-8", "replace").strip().lower()
+                if word.isalpha() and LETTERS[0] <= len(word) <= LETTERS[1]:
+                    ranks[word] = min(ranks.get(word, int(rank) + 1), int(rank) + 1)
+    return ranks
 
 
 def _suspects(column: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(column, _QUICK), False)))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, start, end, context, value, log10_guesses, verdict) of each value in a credential context.
 
-    start and end count characters of the text. verdict: strong from 10 ** 10 guesses, secret from
-    10 ** 6, else placeholder. Null and empty texts have none; a null doc_id is reported as such; repeated
-    rows are reported each. Further columns are ignored.
+    start and end count characters of the text. verdict: reference for a template, variable, attribute or call;
+    else strong from 10 ** 10 guesses, secret from 10 ** 6, and placeholder. ranks: the dictionary, by default
+    `ranked_words` of docs. Null and empty texts have none; a null doc_id is reported as such; repeated
+    rows are reported each; a value may have any length. Further columns are ignored.
     """
+    held = docs.sparkSession.sparkContext.broadcast(ranked_words(docs) if ranks is None else ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "context", "value", "log10_guesses", "verdict"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+        guesses = None
         for batch in batches:
             rows = []
             for k in _suspects(batch.column(1)):
+                guesses = guesses or Guesses(held.value)
                 text, doc = batch.column(1)[int(k)].as_py(), batch.column(0)[int(k)].as_py()
-                for a, b, context, cost in findings(text):
-                    rows.append((doc, a, b, context.lower(), text[a:b], cost, "strong" if cost >= STRONG_FROM else "secret" if cost >= SECRET_FROM else "placeholder"))
+                for a, b, context, cost, reference in findings(text, guesses):
+                    rows.append((doc, a, b, context.lower(), text[a:b], cost, "reference" if reference else "strong" if cost >= STRONG_FROM else "secret" if cost >= SECRET_FROM else "placeholder"))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, context string, value string, log10_guesses double, verdict string")
 
 
-def masked(text: str, secret_from: float = SECRET_FROM) -> str:
+def masked(text: str, guesses: Guesses, secret_from: float = SECRET_FROM) -> str:
     out, last = [], 0
-    for a, b, _, cost in findings(text):
-        if cost >= secret_from:
+    for a, b, _, cost, reference in findings(text, guesses):
+        if cost >= secret_from and not reference:
             out += [text[last:a], MASK]
             last = b
     return "".join([*out, text[last:]]) if out else text
 
 
-def mask_secrets(docs: DataFrame, secret_from: float = SECRET_FROM) -> DataFrame:
+def mask_secrets(docs: DataFrame, secret_from: float = SECRET_FROM, ranks: dict[str, int] | None = None) -> DataFrame:
     """docs with every secret value replaced by [SECRET], all rows and columns kept; n_chars, where there is
-    one, is counted anew for the texts that change."""
+    one, is counted anew for the texts that change. References are left as they are.
+
+    Null and empty texts, a null doc_id and repeated rows stay as they are; an extra column of any name is kept.
+    """
     place = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(ranked_words(docs) if ranks is None else ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesses = None
         for batch in batches:
             column = batch.column(place)
             suspects = _suspects(column)
             if len(suspects):
+                guesses = guesses or Guesses(held.value)
                 chosen = np.zeros(len(column), bool)
                 chosen[suspects] = True
-                new = [masked(t, secret_from) for t in column.take(pa.array(suspects)).to_pylist()]
+                new = [masked(t, guesses, secret_from) for t in column.take(pa.array(suspects)).to_pylist()]
                 changed = pc.replace_with_mask(column, pa.array(chosen), pa.array(new, column.type))
                 columns = batch.columns
                 columns[place] = changed
