@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from collections import defaultdict
 from math import log2, log10
 
@@ -251,42 +252,70 @@ def test_packing_is_brute_force(spark, rows):
     assert len(set((i, a) for i, a, _ in pieces)) == len(pieces) - 1  # doc 5 is there twice
 
 
-def test_pack_follows_the_scores():
-    r = np.random.default_rng(8)
-    n = 40
-    sets = [np.sort(r.choice(60, r.integers(3, 15), replace=False)) for _ in range(n)]
-    sizes = r.integers(5, 60, n)
-    terms, counts = np.concatenate(sets), np.array([len(s) for s in sets])
-    ptr = np.concatenate(([0], np.cumsum(counts)))
-    weights = r.random(len(terms)).astype(np.float32)
-    used, want = set(), []
-    for seed in range(n):
-        if seed in used:
+def brute_packing(docs, window, every, chunk):
+    """Windows by language and seed: BM25 of all seeds against all documents, word by word."""
+    words = [(i, lang, K.words_of(t)) for i, t, lang, *_ in docs if K.words_of(t)]
+    rows, average = len(words), sum(len(w) for _, _, w in words) / len(words)
+    df = defaultdict(int)
+    for _, _, w in words:
+        for t in set(w):
+            df[t] += 1
+    idf = {t: float(packing.inverse_frequency(np.float64(n), rows)) for t, n in df.items()}
+    seeds = [(i, lang, set(w)) for i, lang, w in words if i % every == 0]
+    groups, exact, agree = defaultdict(list), 0, 0
+    for i, lang, w in words:
+        if i % every == 0:
+            groups[lang, i].append((-1e9, i, len(w)))
             continue
-        used.add(seed)
-        score = [sum(float(weights[ptr[d] + k]) for k, t in enumerate(sets[d]) if t in sets[seed]) for d in range(n)]
-        left, members = 100 - sizes[seed], [seed]
-        for d in sorted(set(range(n)) - used, key=lambda d: (-score[d], d)):
-            if score[d] > 0 and sizes[d] <= left:
-                left -= sizes[d]
-                members.append(d)
-        used.update(members)
-        want.append(members)
-    assert [m[0] for m in packing.pack(np.arange(n), sizes, terms, weights, ptr, 100)] == want
-
-
-def test_packing_does_not_depend_on_the_shards(spark):
+        weight = {t: float(packing.bm25_weights(np.float64(w.count(t)), np.float64(len(w)), np.float64(idf[t]), average)) for t in set(w)}
+        whole = {t: float(packing.impacts(np.float64(x), rows)) for t, x in weight.items()}
+        scores, plain = [], []
+        for s, its, terms in seeds:
+            if its == lang:
+                length = sum(idf[t] ** 2 for t in terms) ** 0.5
+                scores.append((-sum(whole[t] for t in terms & weight.keys()) / length, s))
+                plain.append((-sum(weight[t] for t in terms & weight.keys()) / length, s))
+        best = min(scores, default=(0, None))
+        groups[lang, best[1] if best[0] else None].append((best[0], i, len(w)))
+        exact += 1
+        agree += min(plain, default=(0, None))[1] == best[1]
+    out = []
+    for (lang, seed), members in groups.items():
+        chunks, total = defaultdict(list), 0
+        for _, i, n in sorted(members):
+            rest = (n - 1) % window + 1
+            chunks[total // (chunk * window)].append((i, n, rest))
+            total += rest
+        for c, waiting in chunks.items():
+            for i, n, rest in waiting:
+                out += [(lang or "", seed, c, [i], [a], [a + window]) for a in range(0, n - rest, window)]
+            while waiting:
+                left, members, later = window, [], []
+                for i, n, rest in waiting:
+                    if rest <= left:
+                        left -= rest
+                        members.append((i, n - rest, n))
+                    else:
+                        later.append((i, n, rest))
+                out.append((lang or "", seed, c, *map(list, zip(*members))))
+                waiting = later
+    return out, agree / exact
+
+
+def test_retrieval_packing_is_brute_force(spark):
     r = random.Random(4)
     words = [f"w{k}" for k in range(400)]
     topics = [r.sample(words, 60) for _ in range(8)]
-    docs = [(k, " ".join(r.choice(r.choice((topics[k % 8], words))) for _ in range(r.choice((5, 20, 60, 150, 500)))), r.choice(("en", "de", None)), "s", 0) for k in range(400)]
-    docs += [(k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]] + [(1000 + k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]]
-    table = spark.createDataFrame(docs, SCHEMA).repartition(5)
-
-    def windows(shard_words):
-        return sorted((r.lang or "", r.doc_ids, r.starts, r.ends, r.n_words) for r in packing.pack_by_retrieval(table, 300, shard_words).collect())
-
-    assert windows(3000) == windows(1_000_000)
+    docs = [(k, " ".join(r.choice(r.choice((topics[k % 8], words))) for _ in range(r.choice((5, 20, 60, 150, 500)))), r.choice(("en", "de", None)), "s", 0) for k in range(300)]
+    docs += [(k, "only here", "xx", "s", 0) for k in (1001, 1002)] + [(1003, "nothing shared", "en", "s", 0)]
+    docs += [(k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]] + [(2000 + k, t, lang, s, 0) for k, t, lang, s, _ in docs[:30]]
+    want, recall = brute_packing(docs, 300, 10, 4)
+    assert recall >= 0.9  # of integer impacts against unrounded scores
+    key = lambda x: (x[0], x[1] is None, x[1] or 0, *x[2:])
+    for partitions, shard_words, block_terms in ((5, 3000, 1_000_000), (2, 1_000_000, 700)):
+        table = spark.createDataFrame(docs, SCHEMA).repartition(partitions)
+        got = packing.pack_by_retrieval(table, 300, 10, shard_words, block_terms, 4).collect()
+        assert sorted(((r.lang or "", r.seed, r.chunk, r.doc_ids, r.starts, r.ends) for r in got), key=key) == sorted(want, key=key)
 
 
 def brute_cost(s):
@@ -298,30 +327,55 @@ def brute_cost(s):
             for u in range(1, (j - i) // 2 + 1):
                 if (j - i) % u == 0 and s[i : i + u] * ((j - i) // u) == s[i:j]:
                     costs[i, j] = min(costs.get((i, j), 99), brute_cost(s[i : i + u]) + log10((j - i) // u))
-
-    def rest(i):
-        if i == len(s):
-            return 0.0
-        return min(min(sum(map(secrets.brute_cost, s[i:j])), costs.get((i, j), 99)) + secrets.SEGMENT + rest(j) for j in range(i + 1, len(s) + 1))
-
-    return rest(0)
+    best = [0.0] + [99.0] * len(s)
+    for j in range(1, len(s) + 1):
+        best[j] = min(best[i] + secrets.SEGMENT + min(sum(map(secrets.brute_cost, s[i:j])), costs.get((i, j), 99)) for i in range(j))
+    return min(best[-1], secrets.CEILING)
 
 
 def test_guess_cost_is_the_minimum():
     r = random.Random(2)
-    for _ in range(60):
-        s = "".join(r.choice(["a", "12", "pass", "P4ss", "qwe", "2020", "x!", "abab"]) for _ in range(r.randint(1, 4)))[:10]
+    values = ["".join(r.choice(["a", "12", "pass", "P4ss", "qwe", "2020", "x!", "abab"]) for _ in range(r.randint(1, 4)))[:10] for _ in range(60)]
+    values += [r.choice(["password", "secret", "dog", "20"]) + r.choice("drgt0") * r.randint(1, 7) + r.choice(["", "dog", "xy"]) for _ in range(40)]
+    values += ["".join(r.choice("ab") for _ in range(r.randint(10, 40))) for _ in range(20)] + ["ab" * 40 + "c" + "ab" * 9, "abcdefghijklmnopqrstuvwxyz!?" * 3, ("q7Lk2mZ9x" * 4 + "#") * 2 + "q7"]
+    for s in values:
         assert abs(secrets.guess_cost(s) - brute_cost(s)) < 1e-9, s
 
 
+def test_long_values_are_quick():
+    began = time.perf_counter()
+    r = random.Random(5)
+    noise = "".join(r.choice("abcdefghij0123456789") for _ in range(1_000_000))
+    for value in ("ab" * 500_000, noise, "a" * 999_999 + "b", noise[:500_000] * 2, "password" * 100_000, "qw" * 300_000, ("ab" * 20 + "c") * 20_000):
+        assert 0 < secrets.guess_cost(value) <= secrets.CEILING
+    assert secrets.guess_cost(noise) == secrets.CEILING
+    assert list(secrets.findings("pass" * 250_000 + " x", secrets.Guesses())) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_secrets(spark):
     value = "9f8Zk2Lq7Xw1Tn5B"
     some = [(1, f'db_password = "{value}" end'), (2, "password: changeme"), (3, None), (4, ""), (None, f"api_key={value}"), (5, "the token of love"), (6, "é token: " + "ab" * 2000)]
+    some += [(7, f"password:      {value}"), (8, "token = os.environ['TOKEN'] secret: {{vault_token}} pwd=$PWD"), (9, "the elephant is an elephant; password: elephant")]
+    some += [(10, "a_password_that_has_a_very_long_name_indeed : " + value), (11, "pass = " + "k3" * 400_000 + value)]
     got = secrets.scan(frame(spark, some, True)).collect()
-    assert {(r.doc_id, r.verdict) for r in got} == {(1, "strong"), (2, "placeholder"), (None, "strong"), (6, "secret")}
+    assert {(r.doc_id, r.verdict) for r in got} == {(1, "strong"), (2, "placeholder"), (None, "strong"), (6, "secret"), (7, "strong"), (8, "reference"), (9, "placeholder"), (10, "strong"), (11, "strong")}
+    assert sum(r.verdict == "reference" for r in got) == 3
     assert all(t[r.start : r.end] == r.value for r in got for i, t in some if i == r.doc_id)
-    masked = {r.doc_id: r for r in secrets.mask_secrets(frame(spark, some, True)).collect()}
-    assert value not in masked[1].text and masked[1].n_chars == len(masked[1].text) and masked[2].text == some[1][1] and masked[3].text is None
+    df = frame(spark, some, True)
+    masked = {r.doc_id: r for r in secrets.mask_secrets(df).collect()}
+    assert value not in masked[1].text and masked[1].n_chars == len(masked[1].text) and masked[3].text is None
+    assert all(masked[i].text == dict(some)[i] for i in (2, 4, 5, 8, 9))
+    # every finding and mask, by the plain functions
+    guesses = secrets.Guesses(secrets.ranked_words(df))
+    assert sorted((r.doc_id or 0, r.start, r.end) for r in got) == sorted((i or 0, a, b) for i, t in some for a, b, *_ in secrets.findings(t or "", guesses))
+    assert all(r.text == (secrets.masked(dict(some)[i], guesses) if dict(some)[i] else dict(some)[i]) for i, r in masked.items())
+
+
+def test_dictionary_is_counted_over_all_texts(spark):
+    texts = ["Beta alpha beta", "gamma, beta; ALPHA", None, "", "password = zebrazebra zebra"]
+    ranks = secrets.ranked_words(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    assert (ranks["beta"], ranks["alpha"], ranks["gamma"], ranks["zebra"]) == (1, 2, 3, 4) and "zebrazebra" not in ranks
 
 
 @pytest.mark.parametrize(
@@ -404,6 +458,21 @@ def test_hilbert_shards(spark, rows):
     assert len(sizes) > 3 and [s for _, s in by_curve if sizes[s] <= 3000] == sorted(s for _, s in by_curve if sizes[s] <= 3000)
 
 
+def test_shards_are_pruned_by_their_ranges(spark, tmp_path):
+    r = random.Random(6)
+    docs = [(k, "x" * (n := r.randrange(1, 400)), r.choice(("en", "de", "fr", "es")), f"s{r.randrange(20):02}", n) for k in range(4000)]
+    sharded = hilbert.hilbert_shards(spark.createDataFrame(docs, SCHEMA), target_chars=20_000, partitions=5)
+    assert sharded.rdd.getNumPartitions() == 5
+    hilbert.write_shards(sharded, str(tmp_path / "out"))
+    box = {"lang": ("de", "de"), "n_chars": (10, 60)}
+    got = hilbert.read_box(spark, str(tmp_path / "out"), **box)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(i for i, _, lang, _, n in docs if lang == "de" and 10 <= n <= 60)
+    ranges = spark.read.parquet(str(tmp_path / "out" / "ranges")).collect()
+    hit = [x for x in ranges if x.min_lang <= "de" <= x.max_lang and x.min_n_chars <= 60 and x.max_n_chars >= 10]
+    assert len(ranges) > 30 and len(hit) < len(ranges) / 3
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_templates(spark):
     nav = "<nav class='m'><ul><li>Home page</li><li>About us</li></ul></nav>"
     pages = [(k, "http://Site.org/p", f"<html><body>{nav}<p>Own words {k}</p><footer>Fine print</footer></body></html>") for k in range(6)]
@@ -416,6 +485,59 @@ def test_templates(spark):
         assert got[12, "http://site.org/x"].html is None and got[13, "http://site.org/y"].html == "" and got[14, "http://site.org:80/z"].html == "<p>open <b>tags"
 
 
+def brute_templates(pages, min_pages, min_share):
+    """The cleaned pages: elements by a simple parser of well-formed markup, compared as text."""
+
+    def elements(html):
+        out, stack = [], []
+        for m in re.finditer(r"<(/?)(\w+)[^>]*>", html):
+            if not m[1]:
+                stack.append((m[2], m.start()))
+            else:
+                name, start = stack.pop()
+                assert name == m[2]
+                if name not in ("html", "body") and m.end() - start >= templates.MIN_CHARS:
+                    out.append((start, m.end(), re.sub(r"\s+", " ", html[start : m.end()])))
+        return out
+
+    count, total = defaultdict(int), defaultdict(int)
+    for host, html in pages:
+        total[host] += 1
+        for text in {e[2] for e in elements(html)}:
+            count[host, text] += 1
+    cleaned = []
+    for host, html in pages:
+        gone = [e for e in elements(html) if count[host, e[2]] >= min_pages and count[host, e[2]] >= min_share * total[host] and total[host] >= min_pages]
+        outer = [e for e in gone if not any(x[0] <= e[0] and e[1] <= x[1] and x != e for x in gone)]
+        for a, b, _ in sorted(outer, reverse=True):
+            html = html[:a] + html[b:]
+        cleaned.append((html, len(outer)))
+    return cleaned
+
+
+def test_templates_are_brute_force(spark):
+    r = random.Random(3)
+
+    def tree(depth):
+        name = r.choice(["div", "ul", "section", "b"])
+        inner = "".join(tree(depth - 1) for _ in range(r.randint(1, 3))) if depth else r.choice(["home page", "about us", f"own {r.randrange(40)}"])
+        return f"<{name} class='c{r.randrange(2)}'>{inner}</{name}>"
+
+    shared = [tree(r.randrange(3)) for _ in range(30)]
+    pages = [(f"h{k % 3}.org", "<html><body>" + "".join(r.choice(shared) if r.random() < 0.7 else tree(2) for _ in range(6)) + "</body></html>") for k in range(60)]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", t) for k, (h, t) in enumerate(pages)], "page_id long, url string, html string")
+    want = brute_templates(pages, 5, 0.1)
+    got = {x.page_id: (x.html, x.removed) for x in templates.remove_templates(df, 5, 0.1).collect()}
+    assert [got[k] for k in range(60)] == want and sum(n for _, n in want) > 60
+
+
+def test_broken_markup_is_read_in_linear_time():
+    began = time.perf_counter()
+    for text in ("<a " * 350_000, "<b>" * 300_000 + "</i>" * 200_000, '<a "' * 250_000, "<!" * 500_000, "</a " * 250_000, "<a '<a '" * 120_000 + ">", "<script>" * 120_000):
+        templates.subtrees(text)
+    assert time.perf_counter() - began < 30
+
+
 def labelled(n, seed):
     r = random.Random(seed)
     texts, labels = [], []
