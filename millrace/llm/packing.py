@@ -31,14 +31,14 @@ from millrace.llm.tokens import U, mix, tokenize
 WINDOW = 8192
 EVERY = 100
 TERM_BITS = 21
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 K1, B = 1.2, 0.75
 #: Integer sums of DENSE impacts of so many bits stay below 2**24 and are exact in single precision.
 IMPACT_BITS, DENSE = 12, 4096
 #: Terms in a larger share of the documents are scored as a matrix product.
 DENSE_SHARE = 0.05
-#: Terms of the seeds in one block, and seeds in one product.
-BLOCK_TERMS, AT_ONCE = 3_000_000, 512
+#: Terms of the seeds in one block, and scores of seeds and documents in one product.
+BLOCK_TERMS, AT_ONCE = 3_000_000, 500_000
 #: The documents of a seed are packed in pieces of so many windows.
 CHUNK = 64
 SCHEMA = "lang string, seed long, chunk long, window long, doc_ids array<long>, starts array<long>, ends array<long>, n_words long"
@@ -141,8 +141,9 @@ class Scorer:
         vocabulary, first, posting, impact = _inverted(terms[~common], weight[~common], owner[~common])
         ids, wanted, at = self.seeds[lang]
         found, score = np.zeros(n, np.int64), np.zeros(n)
-        for lo in range(0, len(ids), AT_ONCE):
-            hi = min(lo + AT_ONCE, len(ids))
+        step = max(8, AT_ONCE // n)
+        for lo in range(0, len(ids), step):
+            hi = min(lo + step, len(ids))
             some = wanted[at[lo] : at[hi]]
             seed = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
             length = np.sqrt(np.bincount(seed, self.idf[some] ** 2, minlength=hi - lo))
