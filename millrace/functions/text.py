@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Letters of a script as a Java character class. Letters outside every class count as Other.
 SCRIPTS = {
@@ -47,10 +47,19 @@ def unescape_nfc(text: pd.Series) -> pd.Series:
     return pd.Series(plain, dtype=object)
 
 
-@F.pandas_udf(LongType())
-def nfc_changes(text: pd.Series) -> pd.Series:
-    """1 where composition changes the text that entity resolution leaves."""
-    return pd.Series([0 if t is None or t.isascii() and "&" not in t else int(not unicodedata.is_normalized("NFC", html.unescape(t))) for t in text], dtype="int64")
+@F.pandas_udf(StructType([StructField("plain", StringType()), StructField("changed", LongType())]))
+def composed(text: pd.Series) -> pd.DataFrame:
+    """Entities resolved once, then composed; changed is 1 where composition changed what the entities left."""
+    plain, changed = [], []
+    for t in text:
+        if t is not None and not (t.isascii() and "&" not in t):
+            raw = html.unescape(t)
+            t = unicodedata.normalize("NFC", raw)
+            changed.append(int(t != raw))
+        else:
+            changed.append(0)
+        plain.append(t)
+    return pd.DataFrame({"plain": pd.Series(plain, dtype=object), "changed": pd.Series(changed, dtype="int64")})
 
 
 @F.pandas_udf(StringType())
@@ -73,16 +82,19 @@ def normalize(text: Column, composed: bool = False) -> Column:
     return tidy(text if composed else unescape_nfc(text))
 
 
-def normalization_counts(text: Column) -> Column:
-    """map of what normalisation does to a text; kinds that don't occur are left out."""
-    plain = unescape_nfc(F.coalesce(text, F.lit("")))
+def operation_counts(plain: Column, changed: Column, side: str) -> Column:
+    """map of what normalisation does to a text, with the side before each kind; kinds that don't occur are left out.
+
+    plain is the text with entities resolved and composed, changed whether composition changed it.
+    """
+    plain = F.coalesce(plain, F.lit(""))
     counts = {
-        "unicode_nfc_changed": nfc_changes(text),
+        "unicode_nfc_changed": changed,
         "indic_joiner_preserved": F.regexp_count(plain, F.lit(_JOINERS)),
         "replacement_character_removed": F.regexp_count(plain, F.lit("\\x{FFFD}")),
         "other_control_removed": F.regexp_count(plain, F.lit(_OTHER_CONTROL)),
     } | {f"removed_U+{c.zfill(4)}": F.regexp_count(plain, F.lit(f"\\x{{{c}}}")) for c in COUNTED}
-    return sparse_map(counts)
+    return sparse_map({f"{side}_{k}": c for k, c in counts.items()})
 
 
 def sparse_map(counts: dict[str, Column]) -> Column:
@@ -129,14 +141,16 @@ def mask_counts(text: Column) -> dict[str, Column]:
     return out
 
 
-def key_of(text: Column) -> Column:
-    """casefold_key in built-in functions: the same wherever lower case differs from folding by ß alone."""
+def key_of(text: Column, exact: bool = False) -> Column:
+    """casefold_key in built-in functions: the same wherever lower case differs from folding by ß alone. exact: the UDF."""
+    if exact:
+        return casefold_key(text)
     return F.replace(F.lower(F.regexp_replace(F.regexp_replace(text, "(?U)\\s+", " "), "^ | $", "")), F.lit("ß"), F.lit("ss"))
 
 
 def text_digest(language: Column, *texts: Column, exact: bool = False) -> Column:
     """SHA-256 over the language and the keys of the texts, separated by NUL."""
-    keys = [casefold_key(t) if exact else key_of(t) for t in texts]
+    keys = [key_of(t, exact) for t in texts]
     return F.sha2(F.concat_ws("\0", language, *keys), 256)
 
 
@@ -162,7 +176,7 @@ def placeholders(text: Column) -> Column:
     return F.sort_array(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)))
 
 
-def first_language(columns: list[Column], registry: dict[str, str]) -> Column:
-    """The first column that is not empty, in small letters; unknown where the registry lacks it."""
-    found = F.lower(F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit("")))
+def first_language(columns: list[Column], registry: dict[str, str], fixed: str | None = None) -> Column:
+    """The first column that is not empty, else the fixed language, in small letters; unknown where the registry lacks it."""
+    found = F.lower(F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(fixed or "")))
     return F.when(found.isin(list(registry)), found).otherwise(F.lit("unknown"))

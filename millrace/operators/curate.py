@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions import text as T
+from millrace.sources import io
 
 
 @dataclass(frozen=True)
@@ -23,6 +29,8 @@ class Limits:
     registry: dict[str, str] = field(default_factory=lambda: dict(T.INDIC))
     #: the texts are known to have no entities and to be composed: no Python is needed
     composed: bool = False
+    #: keys fold case for all of Unicode, in Python, and not by lower case and ß alone
+    exact_keys: bool = False
 
 
 def _named(rules: dict[str, Column]) -> Column:
@@ -30,16 +38,46 @@ def _named(rules: dict[str, Column]) -> Column:
     return F.array_sort(F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]), lambda x: x.isNotNull()))
 
 
-def evaluate_text(rows: DataFrame, limits: Limits, text: str = "text", languages: tuple[str, ...] = ("language",)) -> DataFrame:
-    """rows with their decision on one text: resolved, clean, masked, digest, ratio, mask counts, reasons, flags.
+LANGUAGES = ("_language", "language", "lang")
 
-    clean is normalised, masked is clean without personal data. Reasons reject a row, flags don't.
+
+def masked_text(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """rows with the masked text, and _n_email and so on: how often each mask was set.
+
+    Each mask is counted and set on what the one before left, so each pattern runs twice over a text, not once for
+    each mask behind it.
+    """
+    left = text
+    for k, (kind, (pattern, mask)) in enumerate(T.MASKS.items()):
+        after = out if k == len(T.MASKS) - 1 else f"_left_{k}"
+        rows = rows.withColumns({f"_n_{kind}": F.regexp_count(left, F.lit(pattern)), after: F.regexp_replace(left, pattern, mask)})
+        left = after
+    return rows.drop(*[f"_left_{k}" for k in range(len(T.MASKS) - 1)])
+
+
+def _side(rows: DataFrame, text: str, side: str, clean: str, masked: str, limits: Limits) -> DataFrame:
+    """rows with the normalised and the masked text, _masks_{side}, and the maps _ops_{side} and _pii_{side} of what was done."""
+    if limits.composed:
+        rows = rows.withColumns({"_plain": F.col(text), "_changed": F.lit(0).cast("long")})
+    else:
+        rows = rows.withColumn("_c", T.composed(F.col(text))).withColumns({"_plain": F.col("_c.plain"), "_changed": F.col("_c.changed")}).drop("_c")
+    rows = rows.withColumns({clean: T.tidy(F.col("_plain")), f"_ops_{side}": T.operation_counts(F.col("_plain"), F.col("_changed"), side)}).drop("_plain", "_changed")
+    rows = masked_text(rows, clean, masked)
+    counts = {kind: F.col(f"_n_{kind}") for kind in T.MASKS}
+    rows = rows.withColumns({f"_masks_{side}": sum(counts.values(), F.lit(0)), f"_pii_{side}": T.sparse_map({f"{side}_{k}": c for k, c in counts.items()})})
+    return rows.drop(*[f"_n_{kind}" for kind in T.MASKS])
+
+
+def evaluate_text(rows: DataFrame, limits: Limits, text: str = "text", languages: tuple[str, ...] = LANGUAGES, fixed: str | None = None) -> DataFrame:
+    """rows with their decision on one text: resolved, clean, masked, digest, ratio, normalization, masks, reasons, flags.
+
+    clean is normalised, masked is clean without personal data; normalization and masks are maps of counts, such as
+    text_email. Reasons reject a row, flags don't. The language is the first of these columns that says one.
     """
     known = [F.col(c) for c in languages if c in rows.columns]
-    base = rows.withColumn("resolved", T.first_language(known, limits.registry)).withColumn("clean", T.normalize(F.col(text), limits.composed))
+    base = _side(rows.withColumn("resolved", T.first_language(known, limits.registry, fixed)), text, "text", "clean", "masked", limits)
     clean = F.col("clean")
-    counts = T.mask_counts(clean)
-    base = base.withColumn("masked", T.mask_pii(clean)).withColumn("ratio", T.expected_ratio(clean, F.col("resolved"), limits.registry)).withColumns({f"masks_{k}": c for k, c in counts.items()})
+    base = base.withColumn("ratio", T.expected_ratio(clean, F.col("resolved"), limits.registry))
     mismatch = (T.letters(clean) >= 8) & (F.col("ratio") < limits.target_script)
     reasons = {
         "missing_or_nonstring_text": F.col(text).isNull(),
@@ -51,27 +89,28 @@ def evaluate_text(rows: DataFrame, limits: Limits, text: str = "text", languages
     flags = {
         "very_short_text": (clean != "") & (F.length(clean) < limits.min_chars),
         "html_markup_present": clean.rlike(T.MARKUP),
-        "structured_pii_masked": sum((F.col(f"masks_{k}") for k in T.MASKS), F.lit(0)) > 0,
+        "structured_pii_masked": F.col("_masks_text") > 0,
     }
-    (reasons if limits.strict_language else flags)["text_script_mismatch"] = mismatch
-    return base.withColumns({"digest": T.text_digest(F.col("resolved"), F.col("masked")), "ratio": F.bround("ratio", 4), "reasons": _named(reasons), "flags": _named(flags)})
+    (reasons if limits.strict_language else flags)["script_mismatch"] = mismatch
+    base = base.withColumns({"digest": T.text_digest(F.col("resolved"), F.col("masked"), exact=limits.exact_keys), "ratio": F.bround("ratio", 4), "reasons": _named(reasons), "flags": _named(flags)})
+    return base.withColumnsRenamed({"_ops_text": "normalization", "_pii_text": "masks"}).drop("_masks_text")
 
 
-def evaluate_pairs(rows: DataFrame, limits: Limits, source: str = "src", target: str = "tgt", languages: tuple[str, ...] = ("language",), score: str | None = None) -> DataFrame:
-    """rows with their decision on a pair of texts."""
+def evaluate_pairs(rows: DataFrame, limits: Limits, source: str = "src", target: str = "tgt", languages: tuple[str, ...] = LANGUAGES, score: str | None = None, fixed: str | None = None) -> DataFrame:
+    """rows with their decision on a pair of texts: as evaluate_text, with clean and masked texts of both sides and
+    the sides src and tgt in the maps."""
     known = [F.col(c) for c in languages if c in rows.columns]
-    base = rows.withColumn("resolved", T.first_language(known, limits.registry)).withColumns({"clean_src": T.normalize(F.col(source), limits.composed), "clean_tgt": T.normalize(F.col(target), limits.composed)})
+    base = rows.withColumn("resolved", T.first_language(known, limits.registry, fixed))
+    base = _side(_side(base, source, "src", "clean_src", "masked_src", limits), target, "tgt", "clean_tgt", "masked_tgt", limits)
     src, tgt = F.col("clean_src"), F.col("clean_tgt")
     both = F.concat(src, tgt)
-    masks_src, masks_tgt = (sum(T.mask_counts(c).values(), F.lit(0)) for c in (src, tgt))
     base = base.withColumns(
         {
-            "masked_src": T.mask_pii(src), "masked_tgt": T.mask_pii(tgt), "masks_src": masks_src, "masks_tgt": masks_tgt,
             "length_ratio": F.length(tgt) / F.greatest(F.length(src), F.lit(1)).cast("double"),
             "latin_ratio": T.script_ratio(src, "Latin"),
             "script_ratio": F.coalesce(T.expected_ratio(tgt, F.col("resolved"), limits.registry), F.lit(0.0)),
         }
-    )
+    )
     value = F.col(score).cast("string") if score else F.lit(None).cast("string")
     number = value.try_cast("double")
     reasons = {
@@ -87,39 +126,54 @@ def evaluate_pairs(rows: DataFrame, limits: Limits, source: str = "src", target:
     }
     flags = {
         "very_short_pair": (F.length(src) < limits.min_chars) | (F.length(tgt) < limits.min_chars),
-        "identical_source_target": (src != "") & (tgt != "") & (F.length(src) > 12) & (T.key_of(src) == T.key_of(tgt)),
+        "identical_source_target": (src != "") & (tgt != "") & (F.length(src) > 12) & (T.key_of(src, limits.exact_keys) == T.key_of(tgt, limits.exact_keys)),
         "html_markup_present": both.rlike(T.MARKUP),
         "placeholder_mismatch": T.placeholders(src) != T.placeholders(tgt),
         "invalid_semantic_score": value.isNotNull() & number.isNull(),
         "semantic_alignment_not_scored": value.isNull(),
-        "structured_pii_masked": (F.col("masks_src") > 0) | (F.col("masks_tgt") > 0),
-        "pii_alignment_asymmetry": (F.col("masks_src") > 0) != (F.col("masks_tgt") > 0),
+        "structured_pii_masked": (F.col("_masks_src") > 0) | (F.col("_masks_tgt") > 0),
+        "pii_alignment_asymmetry": (F.col("_masks_src") > 0) != (F.col("_masks_tgt") > 0),
     }
     by_script = {
         "source_not_predominantly_latin": (T.letters(src) >= 8) & (F.col("latin_ratio") < limits.source_script),
         "target_script_mismatch": (T.letters(tgt) >= 8) & (F.col("script_ratio") < limits.target_script),
     }
     (reasons if limits.strict_language else flags).update(by_script)
-    return base.withColumns({"digest": T.text_digest(F.col("resolved"), F.col("masked_src"), F.col("masked_tgt")), "reasons": _named(reasons), "flags": _named(flags)})
+    base = base.withColumns({"digest": T.text_digest(F.col("resolved"), F.col("masked_src"), F.col("masked_tgt"), exact=limits.exact_keys), "reasons": _named(reasons), "flags": _named(flags)})
+    # the keys of the two maps differ by their side
+    maps = {out: F.map_concat(f"_{kind}_src", f"_{kind}_tgt") for out, kind in (("normalization", "ops"), ("masks", "pii"))}
+    return base.withColumns(maps).drop(*[f"_{kind}_{side}" for kind in ("ops", "pii", "masks") for side in ("src", "tgt")])
 
 
 def _with_name(column: str, name: str, test: Column) -> Column:
     return F.when(test, F.array_sort(F.array_distinct(F.concat(column, F.array(F.lit(name)))))).otherwise(F.col(column))
 
 
+#: Held-out grams, as 8 bytes each, that are sent to every executor; more are joined by a shuffle of hashes.
+HELDOUT_BROADCAST = 1_000_000
+
+
 def grams_of(rows: DataFrame, key: str, texts: list[str], n: int = 13) -> DataFrame:
-    """(key, gram): the distinct word grams of the texts of each row, as 64-bit hashes beside the words."""
+    """(key, gram): the distinct word grams of the texts of each row."""
     grams = T.word_grams(F.col(texts[0]), n)
     for t in texts[1:]:
         grams = F.array_union(grams, T.word_grams(F.col(t), n))
-    return rows.select(key, F.explode(grams).alias("gram")).withColumn("gram_hash", F.xxhash64("gram"))
+    return rows.select(key, F.explode(grams).alias("gram"))
 
 
-def heldout_rows(rows: DataFrame, heldout: DataFrame, key: str, texts: list[str], heldout_text: str = "text", n: int = 13) -> DataFrame:
-    """The keys of the rows that share a gram with the held-out texts. The join is on the hash, confirmed on the words."""
+def heldout_rows(rows: DataFrame, heldout: DataFrame, key: str, texts: list[str], heldout_text: str = "text", n: int = 13, broadcast_up_to: int = HELDOUT_BROADCAST) -> DataFrame:
+    """The keys of the rows that share a gram with the held-out texts.
+
+    Rows are first matched by the 64-bit hashes of their grams, which never leave the scan while the held-out ones
+    are few, and are 16 bytes a gram in the shuffle beyond; the rows that match are confirmed on the words.
+    """
     lines = heldout.where(F.trim(F.coalesce(heldout_text, F.lit(""))) != "")
-    wanted = lines.select(F.explode(T.word_grams(F.col(heldout_text), n)).alias("gram")).distinct().withColumn("gram_hash", F.xxhash64("gram"))
-    return grams_of(rows, key, texts, n).join(wanted, ["gram_hash", "gram"], "left_semi").select(key).distinct()
+    wanted = lines.select(F.explode(T.word_grams(F.col(heldout_text), n)).alias("gram")).distinct()
+    hashes = wanted.select(F.xxhash64("gram").alias("_hash")).distinct()
+    if hashes.count() <= broadcast_up_to:
+        hashes = F.broadcast(hashes)
+    some = grams_of(rows, key, texts, n).select(key, F.xxhash64("gram").alias("_hash")).join(hashes, "_hash", "left_semi").select(key).distinct()
+    return grams_of(rows.join(some, key, "left_semi"), key, texts, n).join(wanted, "gram", "left_semi").select(key).distinct()
 
 
 def flag_heldout(decided: DataFrame, overlap: DataFrame, key: str) -> DataFrame:
@@ -130,20 +184,25 @@ def flag_heldout(decided: DataFrame, overlap: DataFrame, key: str) -> DataFrame:
 def flag_duplicates(decided: DataFrame, ordinal: str, name: str = "exact_text_duplicate") -> DataFrame:
     """Adds the duplicate reason to all but the first of the rows of a digest that no other reason rejects.
 
-    Rejected rows don't count, and rows of one digest meet in one place only if they are kept: the digests
-    of empty text, a hot key otherwise, never do.
+    Rejected rows don't count. The first row of a digest is an aggregate, so that the rows of a frequent one are
+    combined before the shuffle; only the digests of several rows are joined back.
     """
     kept = F.size("reasons") == 0
-    salted = F.when(kept, F.col("digest")).otherwise(F.concat(F.lit("-"), F.col(ordinal).cast("string")))
-    rank = F.row_number().over(Window.partitionBy(salted).orderBy(ordinal))
-    return decided.withColumn("_rank", rank).withColumn("reasons", _with_name("reasons", name, kept & (F.col("_rank") > 1))).drop("_rank")
+    first = decided.where(kept).groupBy(F.col("digest").alias("_d")).agg(F.min(ordinal).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = kept & F.coalesce(F.col(ordinal) > F.col("_first"), F.lit(False))
+    return decided.join(first, F.col("digest") == F.col("_d"), "left").withColumn("reasons", _with_name("reasons", name, again)).drop("_d", "_first")
 
 
-def flag_many_targets(decided: DataFrame, ordinal: str) -> DataFrame:
-    """Flags the pairs whose target differs from the first target of their source, among all rows."""
-    decided = decided.withColumns({"_src": T.key_of(F.col("masked_src")), "_tgt": T.key_of(F.col("masked_tgt"))})
-    first = F.first_value("_tgt").over(Window.partitionBy("resolved", "_src").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return decided.withColumn("_first", first).withColumn("flags", _with_name("flags", "source_has_multiple_targets", F.col("_tgt") != F.col("_first"))).drop("_src", "_tgt", "_first")
+def flag_many_targets(decided: DataFrame, ordinal: str, exact: bool = False) -> DataFrame:
+    """Flags the pairs whose target differs from the first target of their source, among all rows.
+
+    The first target is an aggregate, so that a frequent source is combined before the shuffle.
+    """
+    keys = {"_src": F.sha2(T.key_of(F.col("masked_src"), exact), 256), "_tgt": F.sha2(T.key_of(F.col("masked_tgt"), exact), 256)}
+    decided = decided.withColumns(keys)
+    first = decided.groupBy(F.col("resolved").alias("_r"), F.col("_src").alias("_s")).agg(F.min_by("_tgt", ordinal).alias("_first"), F.min("_tgt").alias("_low"), F.max("_tgt").alias("_high")).where("_low <> _high")
+    joined = decided.join(first.drop("_low", "_high"), (F.col("resolved") == F.col("_r")) & (F.col("_src") == F.col("_s")), "left")
+    return joined.withColumn("flags", _with_name("flags", "source_has_multiple_targets", F.coalesce(F.col("_tgt") != F.col("_first"), F.lit(False)))).drop("_src", "_tgt", "_r", "_s", "_first")
 
 
 def accepted(decided: DataFrame) -> DataFrame:
@@ -157,31 +216,142 @@ def rejected(decided: DataFrame) -> DataFrame:
 def audit(decided: DataFrame) -> DataFrame:
     """(metric, key, n): the counts of the manifest in long form, in one pass over the decisions."""
     kept = F.size("reasons") == 0
-    entries = F.concat(
-        F.array(F.struct(F.lit("counts").alias("metric"), F.lit("input_rows").alias("key"), F.lit(1).cast("long").alias("n"))),
-        F.array(F.struct(F.lit("counts").alias("metric"), F.when(kept, "cleaned_rows").otherwise("rejected_rows").alias("key"), F.lit(1).cast("long").alias("n"))),
-        F.array(F.struct(F.lit("language_rows").alias("metric"), F.col("resolved").alias("key"), F.lit(1).cast("long").alias("n"))),
-        F.transform("reasons", lambda r: F.struct(F.lit("rejection_reasons").alias("metric"), r.alias("key"), F.lit(1).cast("long").alias("n"))),
-        F.transform("flags", lambda r: F.struct(F.lit("review_flags").alias("metric"), r.alias("key"), F.lit(1).cast("long").alias("n"))),
-        *[F.array(F.struct(F.lit("structured_pii_masks").alias("metric"), F.lit(k).alias("key"), F.col(f"masks_{k}").cast("long").alias("n"))) for k in T.MASKS if f"masks_{k}" in decided.columns],
-    )
-    return decided.select(F.explode(entries).alias("e")).groupBy("e.metric", "e.key").agg(F.sum("e.n").alias("n")).where("n > 0")
 
+    def one(metric: str, key: Column, n: Column | None = None) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), key.alias("key"), (F.lit(1) if n is None else n).cast("long").alias("n"))
 
-def corpus_digest(digests: DataFrame, column: str = "digest") -> str:
-    """SHA-256 over the sorted digests. They come to the driver one sorted partition at a time."""
-    import hashlib
+    entries = [
+        F.array(one("counts", F.lit("input_rows")), one("counts", F.when(kept, "cleaned_rows").otherwise("rejected_rows")), one("language_rows", F.col("resolved"))),
+        F.transform("reasons", lambda r: one("rejection_reasons", r)),
+        F.transform("flags", lambda r: one("review_flags", r)),
+    ]
+    if "normalization" in decided.columns:
+        entries.append(F.transform(F.map_entries("normalization"), lambda e: one("normalization_operations", e["key"], e["value"])))
+    if "masks" in decided.columns:
+        entries.append(F.transform(F.map_entries("masks"), lambda e: one("structured_pii_masks", e["key"], e["value"])))
+    return decided.select(F.explode(F.concat(*entries)).alias("e")).groupBy("e.metric", "e.key").agg(F.sum("e.n").alias("n")).where("n > 0")
+
+
+def ordered_digests(rows: DataFrame, by: str, order: list[str], text: str, separator: str = "") -> DataFrame:
+    """(by, sha256): SHA-256 over the texts of each group, in order, as one stream.
+
+    A group is sorted, which may spill, and passed through the hash in batches; it is never held in memory.
+    """
+    schema = rows.select(by).schema
+    name = schema[0].name
 
-    h = hashlib.sha256()
-    for row in digests.select(column).orderBy(column).toLocalIterator(prefetchPartitions=True):
-        h.update(row[0].encode())
-    return h.hexdigest()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, digest = None, None
 
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([group], kind), pa.array([digest.hexdigest()])], [name, "sha256"])
 
-def manifest(decided: DataFrame, mode: str, dataset: dict, cleaner: dict) -> dict:
-    """The audit document of a run."""
-    out: dict = {"schema_version": 3 if mode == "monolingual" else 2, "mode": mode, "dataset": dataset, "cleaner": cleaner}
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or key != group:
+                    if digest is not None:
+                        yield out()
+                    group, digest = key, hashlib.sha256()
+                elif separator:
+                    digest.update(separator.encode())
+                digest.update((value or "").encode())
+        if digest is not None:
+            yield out()
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).select(by, text).mapInArrow(run, StructType([schema[0], StructField("sha256", StringType())]))
+
+
+def corpus_digest(digests: DataFrame, column: str = "digest") -> str:
+    """SHA-256 over the sorted digests. The order makes this one stream: a task that sorts on disk, and no more memory."""
+    found = ordered_digests(digests.select(F.lit("").alias("_all"), column), "_all", [column], column).first()
+    return found["sha256"] if found else hashlib.sha256().hexdigest()
+
+
+def digest_tree(digests: DataFrame, column: str = "digest") -> str:
+    """SHA-256 over the hashes of 4096 ranges of the sorted digests, by their first digits: the same for the same
+    digests, and made side by side where `corpus_digest` is one stream."""
+    ranges = ordered_digests(digests.select(F.substring(column, 1, 3).alias("_range"), column), "_range", [column], column).orderBy("_range").collect()
+    return hashlib.sha256("".join(r["_range"] + r["sha256"] for r in ranges).encode()).hexdigest()
+
+
+def manifest(decided: DataFrame, pairs: bool = False, dataset: dict | None = None, score: str | None = None, limits: Limits | None = None, heldout: bool = False, files: tuple[str, str] = ("cleaned", "rejected"), fields: tuple[str, ...] = ()) -> dict:
+    """The audit document of a run. dataset: id, languages and license_note; fields: the text column or columns."""
+    fields = fields or (("src", "tgt") if pairs else ("text",))
+    wanted = "not applicable: monolingual mode" if not pairs else f"{score} >= {(limits or Limits()).score}" if score else "not executed: no score field"
+    out: dict = {
+        "schema_version": 2 if pairs else 3,
+        "mode": "bilingual_pair" if pairs else "monolingual",
+        "dataset": {"id": None, "languages": ["from_rows"], "license_note": None} | (dataset or {}) | dict(zip(("text_field", "src_field", "tgt_field"), (None, *fields) if pairs else (fields[0], None, None))),
+        "cleaner": {
+            "script_sha256": hashlib.sha256(Path(__file__).read_bytes()).hexdigest(),
+            "unicode_form": "NFC",
+            "preserved_codepoints": ["U+200C", "U+200D"],
+            "semantic_filter": wanted,
+            "near_dedup": "not executed: near duplicates are a job of their own",
+            "decontamination": "13-word grams of held-out texts" if heldout else "not executed: no held-out texts",
+        },
+        **{k: {} for k in ("counts", "language_rows", "rejection_reasons", "review_flags", "normalization_operations", "structured_pii_masks")},
+    }
     for row in audit(decided).orderBy("metric", "key").collect():  # a bounded number of names
-        out.setdefault(row["metric"], {})[row["key"]] = row["n"]
-    out["output"] = {"content_digest": corpus_digest(accepted(decided))}
+        out[row["metric"]][row["key"]] = row["n"]
+    out["output"] = {"cleaned_file": files[0], "rejected_file": files[1], "aggregate_content_sha256": corpus_digest(accepted(decided))}
     return out
+
+
+# ---- the cleaner as one run --------------------------------------------------------------------------------------
+
+
+def decide(rows: DataFrame, ordinal: str, limits: Limits, pairs: bool = False, heldout: DataFrame | None = None, score: str | None = None, fixed: str | None = None) -> DataFrame:
+    """rows with their final decisions: the rules, the held-out overlap, exact duplicates and, for pairs, sources of several targets.
+
+    ordinal numbers the rows in their order, from 0, and is unique: of equal texts the first that is kept stays.
+    """
+    decided = evaluate_pairs(rows, limits, score=score, fixed=fixed) if pairs else evaluate_text(rows, limits, fixed=fixed)
+    if heldout is not None:
+        overlap = heldout_rows(decided.select(ordinal, *(("clean_src", "clean_tgt") if pairs else ("clean",))), heldout, ordinal, ["clean_src", "clean_tgt"] if pairs else ["clean"])
+        decided = flag_heldout(decided, overlap, ordinal)
+    decided = flag_duplicates(decided, ordinal, "exact_pair_duplicate" if pairs else "exact_text_duplicate")
+    return flag_many_targets(decided, ordinal, limits.exact_keys) if pairs else decided
+
+
+def payload(decided: DataFrame, ordinal: str, pairs: bool = False, score: str | None = None) -> Column:
+    """What is written of a row: idx (its own, or the ordinal where rows have none), texts, language, data_source and
+    a struct cleaning with digest, flags and ratios. Fields are in the order of their names."""
+    known = {c.lower() for c in decided.columns}
+    if pairs:
+        ratios = F.struct(F.bround("latin_ratio", 4).alias("src_latin"), F.bround("script_ratio", 4).alias("tgt_expected"))
+        marks = [F.col("flags").alias("flags"), F.col("digest").alias("pair_sha256"), ratios.alias("script_ratios"), (F.col(score) if score else F.lit(None).cast("string")).alias("semantic_score")]
+        texts = {"src": F.col("masked_src"), "tgt": F.col("masked_tgt")}
+    else:
+        marks = [F.col("digest").alias("content_sha256"), F.col("flags").alias("flags"), F.struct(F.coalesce("ratio", F.lit(0.0)).alias("expected_script")).alias("script_ratios")]
+        texts = {"text": F.col("masked")}
+    fields = texts | {
+        "idx": F.col("idx") if "idx" in known else F.col(ordinal),
+        "language": F.col("resolved"),
+        "data_source": F.col("data_source") if "data_source" in known else F.lit(None).cast("string"),
+        "cleaning": F.struct(*marks),
+    }
+    return F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+
+
+def run_cleaner(rows: DataFrame, ordinal: str, path: str, limits: Limits | None = None, pairs: bool = False, heldout: DataFrame | None = None, score: str | None = None, fixed: str | None = None, limit: int | None = None, dataset: dict | None = None, overwrite: bool = False) -> dict:
+    """Clean a corpus: path/decisions (Parquet), path/cleaned and path/rejected (canonical JSON lines, rejected ones
+    with their reasons) and path/audit_manifest, which is also returned.
+
+    The rules run once; what follows reads the decisions. limit: the first rows only, in order.
+    """
+    limits = limits or Limits()
+    if limit is not None:
+        rows = rows.orderBy(ordinal).limit(limit)
+    decided = decide(rows, ordinal, limits, pairs, heldout, score, fixed)
+    mode = "overwrite" if overwrite else "errorifexists"
+    kept = decided.select(F.col(ordinal).alias("ordinal"), "resolved", "digest", "reasons", "flags", "normalization", "masks", payload(decided, ordinal, pairs, score).alias("payload"))
+    kept.write.mode(mode).parquet(f"{path}/decisions")
+    found = rows.sparkSession.read.parquet(f"{path}/decisions")
+    accepted(found).select(io.json_of(F.col("payload"), found.schema["payload"].dataType).alias("value")).write.mode(mode).text(f"{path}/cleaned")
+    out = rejected(found).select(F.struct("reasons", F.col("payload").alias("row")).alias("r"))
+    out.select(io.json_of(F.col("r"), out.schema["r"].dataType).alias("value")).write.mode(mode).text(f"{path}/rejected")
+    report = manifest(found, pairs, dataset, score, limits, heldout is not None)
+    io.write_document(rows.sparkSession, report, f"{path}/audit_manifest", overwrite)
+    return report

@@ -33,10 +33,14 @@ def word_stats(docs: DataFrame, language: str = "lang", text: str = "text", toke
 
     Distinct words are counted exactly, by word first, so a frequent word is combined before the shuffle.
     """
-    counts = docs.select(language, T.words(F.col(text)).alias("_w"), F.length(text).alias("_c"), *([tokens.alias("_t")] if tokens is not None else []))
-    sums = counts.groupBy(language).agg(F.sum(F.size("_w")).cast("long").alias("words"), F.sum("_c").cast("long").alias("chars"), *([F.sum("_t").cast("long").alias("tokens")] if tokens is not None else []))
-    distinct = counts.select(language, F.explode("_w").alias("_w")).groupBy(language, "_w").agg(F.lit(1).alias("_o")).groupBy(language).agg(F.count("*").alias("unique_words"))
-    out = sums.join(distinct, language, "left").withColumn("unique_words", F.coalesce("unique_words", F.lit(0).cast("long")))
+    per_text = [F.length(text).alias("_c"), *([tokens.alias("_t")] if tokens is not None else [])]
+    # a first row without a word stands for the text itself, so that one pass gives all
+    rows = docs.select(language, F.array_insert(T.words(F.col(text)), 1, F.lit(None).cast("string")).alias("_w"), *per_text).select(language, F.posexplode("_w").alias("_i", "_w"), *[c for c in (("_c", "_t") if tokens is not None else ("_c",))])
+    whole = lambda c: F.sum(F.when(F.col("_i") == 0, F.col(c))).alias(c)
+    by_word = rows.groupBy(language, "_w").agg(F.count("*").alias("_n"), *[whole(c) for c in (("_c", "_t") if tokens is not None else ("_c",))])
+    is_word = F.col("_w").isNotNull()
+    sums = [F.coalesce(F.sum(F.when(is_word, F.col("_n"))), F.lit(0)).cast("long").alias("words"), F.sum("_c").cast("long").alias("chars"), F.count("_w").alias("unique_words")]
+    out = by_word.groupBy(language).agg(*sums, *([F.sum("_t").cast("long").alias("tokens")] if tokens is not None else []))
     return out.withColumn("ratio", F.col("tokens") / F.col("words")) if tokens is not None else out
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.curate import ordered_digests
+from millrace.operators.ranges import ROWS, ranks_within, sums_before
+
 
 @dataclass(frozen=True)
 class Pool:
@@ -28,23 +31,9 @@ class Pool:
         return (self.target_tokens - self.eval_tokens) // self.block_size
 
 
-def token_offsets(docs: DataFrame, order: str, n_tokens: str, groups: int = 64) -> DataFrame:
-    """docs with start: the tokens of all documents before it in the given order.
-
-    A prefix sum in two levels: ranges of the order are summed, the few sums are accumulated, and a window
-    runs within each range, so that no partition holds all rows. order must be unique and a whole number.
-    """
-    span = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if span["lo"] is None:
-        return docs.withColumn("start", F.lit(None).cast("long"))
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // groups))
-    ranged = docs.withColumn("_range", F.floor((F.col(order) - F.lit(span["lo"])) / F.lit(width)))
-    sums = ranged.groupBy("_range").agg(F.sum(n_tokens).alias("_sum"))
-    # at most `groups` rows
-    ahead = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sums.select(F.col("_range").alias("_r"), ahead.alias("_base"))
-    within = F.coalesce(F.sum(n_tokens).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_within", within).join(F.broadcast(bases), F.col("_range") == F.col("_r")).withColumn("start", (F.col("_base") + F.col("_within")).cast("long")).drop("_range", "_r", "_base", "_within")
+def token_offsets(docs: DataFrame, order: str, n_tokens: str, rows: int = ROWS) -> DataFrame:
+    """docs with start: the tokens of all documents before it in the given order, which is unique."""
+    return sums_before(docs, order, n_tokens, "start", rows).withColumn("start", F.col("start").cast("long"))
 
 
 def accept(offsets: DataFrame, n_tokens: str, target: int) -> DataFrame:
@@ -52,29 +41,48 @@ def accept(offsets: DataFrame, n_tokens: str, target: int) -> DataFrame:
     return offsets.withColumn("accepted", F.greatest(F.least(F.lit(target) - F.col("start"), F.col(n_tokens)), F.lit(0)).cast("long"))
 
 
-def token_stream(offsets: DataFrame, tokens: str, n_tokens: str, pool: Pool) -> DataFrame:
-    """(position, token) of the accepted tokens."""
+def slices(offsets: DataFrame, tokens: str, n_tokens: str, pool: Pool) -> DataFrame:
+    """(block_id, position, part): the accepted tokens of each document, cut at the edges of blocks: a row for each
+    document and block, not for each token."""
     some = accept(offsets, n_tokens, pool.target_tokens).where("accepted > 0")
-    return some.select("start", F.posexplode(F.slice(tokens, F.lit(1), F.col("accepted").cast("int"))).alias("_i", "token")).select((F.col("start") + F.col("_i")).alias("position"), "token")
+    size, start, end = F.lit(pool.block_size), F.col("start"), F.col("start") + F.col("accepted")
+    first, last = F.floor(start / size), F.floor((end - 1) / size)
+
+    def cut(block: Column) -> Column:
+        lo, hi = F.greatest(block * size, start), F.least((block + 1) * size, end)
+        return F.struct(block.alias("block_id"), lo.alias("position"), F.slice(tokens, (lo - start + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    return some.select(F.explode(F.transform(F.sequence(first, last), cut)).alias("s")).select("s.*")
 
 
-def blocks(stream: DataFrame, pool: Pool) -> DataFrame:
-    """(block_id, shard_id, split, token_ids): each block is one group of block_size tokens, put in order."""
-    placed = stream.withColumn("block_id", F.floor(F.col("position") / F.lit(pool.block_size)))
-    held = placed.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("position", "token"))).alias("_t"))
+def blocks(parts: DataFrame, pool: Pool) -> DataFrame:
+    """(block_id, shard_id, split, token_ids): each block is put together from its slices, in order."""
+    held = parts.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("_p"))
     return held.select(
         "block_id",
         F.floor(F.col("block_id") / F.lit(pool.shard_sequences)).alias("shard_id"),
         F.when(F.col("block_id") < pool.train_blocks, "train").otherwise("eval").alias("split"),
-        F.transform("_t", lambda x: x["token"]).alias("token_ids"),
+        F.flatten(F.transform("_p", lambda x: x["part"])).alias("token_ids"),
     )
 
 
 def shard_totals(packed: DataFrame) -> DataFrame:
-    """(shard_id, sequences, tokens, sha256): the digest is over the tokens of the shard's blocks in order, as text."""
-    per = packed.select("shard_id", "block_id", F.size("token_ids").alias("_n"), F.concat_ws(",", F.transform("token_ids", lambda x: x.cast("string"))).alias("_t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_id", "_t"))), lambda x: x["_t"]), ",")
-    return per.groupBy("shard_id").agg(F.count("*").alias("sequences"), F.sum("_n").cast("long").alias("tokens"), F.sha2(joined, 256).alias("sha256"))
+    """(shard_id, sequences, tokens, sha256): the digest is over the tokens of the shard's blocks in order, as text.
+
+    A shard's blocks pass through the hash as a stream; no row holds more than a block.
+    """
+    rows = packed.select("shard_id", "block_id", F.concat_ws(",", F.transform("token_ids", lambda x: x.cast("string"))).alias("_t"))
+    totals = packed.groupBy("shard_id").agg(F.count("*").alias("sequences"), F.sum(F.size("token_ids")).cast("long").alias("tokens"))
+    return totals.join(ordered_digests(rows, "shard_id", ["block_id"], "_t", ","), "shard_id")
+
+
+def shards_of(cumulative: DataFrame, sequences: DataFrame) -> DataFrame:
+    """sequences (seq) with the shard that holds each and its place there, for shards (shard_id, sequences) of any sizes."""
+    ends = F.sum("sequences").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, 0))
+    # a row for each shard
+    table = cumulative.select("shard_id", (ends - F.col("sequences")).alias("_from"), ends.alias("_to"))
+    joined = sequences.join(F.broadcast(table), (F.col("seq") >= F.col("_from")) & (F.col("seq") < F.col("_to")))
+    return joined.withColumn("place", F.col("seq") - F.col("_from")).drop("_from", "_to")
 
 
 def check_filled(packed: DataFrame, pool: Pool) -> int:
@@ -86,13 +94,22 @@ def check_filled(packed: DataFrame, pool: Pool) -> int:
 
 
 def interleave(docs: DataFrame, split: str, key: str, seed: int = 0) -> DataFrame:
-    """docs with turn: splits take turns in an order drawn for each round, and drop out as they end.
+    """docs with place, from 1: splits take turns in an order drawn for each round, and drop out as they end.
 
-    Each split is shuffled by a hash of the seed and the key; equal keys hash alike and go by the key.
+    Each split is shuffled by a hash of the seed and the key; equal keys hash alike and go by the key. A place is
+    counted from the sizes of the splits, of which there are few: rows of earlier rounds, then earlier turns of its own.
     """
-    hashed = F.md5(F.concat_ws("|", F.lit(seed), split, F.col(key).cast("string")))
-    ranked = docs.withColumn("_round", F.row_number().over(Window.partitionBy(split).orderBy(hashed, key)))
-    return ranked.withColumn("turn", F.struct("_round", F.md5(F.concat_ws("|", F.lit(seed), split, F.col("_round").cast("string"))).alias("_h")))
+    hashed = docs.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), split, F.col(key).cast("string"))))
+    ranked = ranks_within(hashed, split, "_hash", key, "_round").drop("_hash")
+    sizes = {r[0]: r[1] for r in docs.groupBy(split).count().collect()}  # a row for each split
+    turn = lambda name: F.md5(F.concat_ws("|", F.lit(seed), name, F.col("_round").cast("string")))
+    earlier, ahead = F.lit(0).cast("long"), F.lit(0).cast("long")
+    mine = F.struct(turn(F.col(split)).alias("h"), F.col(split).alias("s"))
+    for name, n in sizes.items():
+        earlier = earlier + F.least(F.lit(n), F.col("_round") - 1)
+        theirs = F.struct(turn(F.lit(name)).alias("h"), F.lit(name).alias("s"))
+        ahead = ahead + F.when((F.col("_round") <= n) & (theirs < mine), 1).otherwise(0)
+    return ranked.withColumn("place", (earlier + ahead + 1).cast("long")).drop("_round")
 
 
 def shuffled(docs: DataFrame, key: str, seed: int) -> DataFrame:

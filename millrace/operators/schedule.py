@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SOURCES = ("fineweb", "indic")
+#: Third seeds of the generators of patterns and permutations.
+PATTERN, PERMUTATION = 0x5037, 0xA771
 
 
 @dataclass(frozen=True)
@@ -150,14 +152,14 @@ def local_draws(spark: SparkSession, plan: Plan, steps: tuple[int, int], ranks:
 
 
 def exact_patterns(counts: DataFrame, seed: int) -> DataFrame:
-    """(step, pattern): the order of source numbers in each step, by the seeded numpy generator of that step."""
+    """(step, pattern): the order of source numbers in each step, by the numpy generator seeded with seed, step and PATTERN."""
 
     def run(batches):
         for frame in batches:
             rows = []
             for step, first, second in frame[["step", "fineweb", "indic"]].itertuples(index=False):
                 pattern = np.repeat(np.array([0, 1], np.int8), [first, second])
-                np.random.default_rng(np.random.SeedSequence([seed, int(step)])).shuffle(pattern)
+                np.random.default_rng(np.random.SeedSequence([seed, int(step), PATTERN])).shuffle(pattern)
                 rows.append((int(step), pattern.astype(int).tolist()))
             import pandas as pd
 
@@ -179,7 +181,7 @@ def permutation_constants(size: int, seed: int, passes: int) -> list[tuple[int,
         raise ValueError("a pool must have two blocks at least")
     out = []
     for number in range(passes):
-        words = np.random.SeedSequence([seed, number, 0xA771]).generate_state(2, dtype=np.uint64)
+        words = np.random.SeedSequence([seed, number, PERMUTATION]).generate_state(2, dtype=np.uint64)
         a = int(words[0] % np.uint64(size)) or 1
         while gcd(a, size) > 1:
             a = (a + 1) % size or 1
@@ -187,10 +189,21 @@ def permutation_constants(size: int, seed: int, passes: int) -> list[tuple[int,
     return out
 
 
-def permuted(draws: DataFrame, size: int, seed: int, last_ordinal: int, ordinal: str = "draw_ordinal") -> DataFrame:
-    """draws with pass and block_id: within a pass every block is drawn once."""
+def even_constants(size: int, passes: int) -> list[tuple[int, int, int]]:
+    """(pass, a, b) without a generator: a is the first number from a share of the size that is coprime to it."""
+    out = []
+    for number in range(passes):
+        a = size * (number + 1) // (passes + 1) + 1
+        while gcd(a, size) > 1:
+            a += 1
+        out.append((number, a, size * (number + 1) // 3 % size))
+    return out
+
+
+def permuted(draws: DataFrame, size: int, seed: int, last_ordinal: int, ordinal: str = "draw_ordinal", constants: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """draws with pass and block_id: within a pass every block is drawn once. constants: in place of those of the seed."""
     spark = draws.sparkSession
-    table = spark.createDataFrame(permutation_constants(size, seed, last_ordinal // size + 1), "pass long, _a long, _b long")
+    table = spark.createDataFrame(constants or permutation_constants(size, seed, last_ordinal // size + 1), "pass long, _a long, _b long")
     o = F.col(ordinal)
     return draws.withColumn("pass", F.floor(o / F.lit(size))).join(F.broadcast(table), "pass").withColumn("block_id", F.pmod(F.col("_a") * F.pmod(o, F.lit(size)) + F.col("_b"), F.lit(size))).drop("_a", "_b")
 
@@ -218,3 +231,23 @@ def boundary_steps(plan: Plan) -> list[int]:
     """The steps beside a change of the mixture, which are always logged and evaluated."""
     edges = {plan.shift, plan.start, plan.end}
     return sorted({e + d for e in edges for d in (-1, 0, 1) if 0 <= e + d < plan.steps})
+
+
+def metric_records(spark: SparkSession, plan: Plan, blocks: tuple[int, int], log_every: int, eval_every: int) -> DataFrame:
+    """What a run's log says of each step besides model values: (step, tokens, phase, transition_mode, fineweb_share,
+    indic_share, fineweb_step_tokens, indic_step_tokens, max_source_pass_seen, logged, evaluated).
+
+    step counts finished steps, from 1. blocks: the training sequences of the two pools; the pass is the highest
+    that either has been drawn in, from 0. Steps beside a change of the mixture are always logged and evaluated.
+    """
+    done = F.col("step") + 1
+    counts = step_counts(spark, plan).join(phases(spark, plan), "step")
+    after = draw_bases(spark, plan).groupBy("step").agg(*[F.max(F.when(F.col("source") == s, F.col("base"))).alias(f"_{s}") for s in SOURCES])
+    passes = F.greatest(*[F.floor(F.greatest(F.col(f"_{s}") + F.col(s) - 1, F.lit(0)) / F.lit(n)) for s, n in zip(SOURCES, blocks)])
+    beside = F.col("step").isin(boundary_steps(plan))
+    every = lambda n: (done % n == 0) if n > 0 else F.lit(False)
+    return counts.join(after, "step").select(
+        done.alias("step"), (done * plan.batch * plan.block_size).alias("tokens"), "phase", F.lit(plan.mode).alias("transition_mode"),
+        *[(F.col(s) / F.lit(plan.batch)).alias(f"{s}_share") for s in SOURCES], *[(F.col(s) * plan.block_size).alias(f"{s}_step_tokens") for s in SOURCES],
+        passes.alias("max_source_pass_seen"), (every(log_every) | beside | (done == plan.steps)).alias("logged"), (every(eval_every) | beside).alias("evaluated"),
+    )

@@ -94,3 +94,29 @@ def abort_gates(series: DataFrame, step: str, grad: str, width: int, by: list[st
     rows = rows.withColumn("_high", high).withColumn("_block", F.sum(F.when(high, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     run = F.sum(F.when(F.col("_high"), 1).otherwise(0)).over(Window.partitionBy(*by, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("warns", run >= 10).withColumn("stops", F.coalesce(F.col(grad) > 4 * F.col("rolling_median"), F.lit(False))).select(*by, step, "rolling_median", "warns", "stops")
+
+
+def loss_gate(series: DataFrame, step: str, loss: str, baseline: str, by: list[str], limit: float = LOSS_LIMIT, run: int = 50) -> DataFrame:
+    """(by, step, stops): the loss has been above limit times its baseline for `run` steps."""
+    order = Window.partitionBy(*by).orderBy(step)
+    high = F.coalesce(F.col(loss) > limit * F.col(baseline), F.lit(False))
+    rows = series.withColumn("_high", high).withColumn("_block", F.sum(F.when(high, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.sum(F.when(F.col("_high"), 1).otherwise(0)).over(Window.partitionBy(*by, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("stops", length >= run).select(*by, step, "stops")
+
+
+def arms(modes: list[str]) -> tuple[int, int]:
+    """The places of the hard and the linear arm of two; an error where they are not one of each."""
+    if sorted(modes) != ["hard", "linear"]:
+        raise ValueError("a comparison takes one hard arm and one linear arm")
+    return modes.index("hard"), modes.index("linear")
+
+
+def comparison(hard: DataFrame, linear: DataFrame, mismatches: DataFrame, material: float = MATERIAL) -> dict:
+    """The document of a comparison: two summaries of one row each, what their configurations differ in, the decision."""
+    differ = sorted(r["key"] for r in mismatches.collect())  # a row for each key of a configuration
+    found = compare(hard, linear, not differ, material).first()
+    return {
+        "hard": hard.first().asDict(), "linear": linear.first().asDict(), "matched_configuration": not differ, "configuration_mismatches": differ,
+        "linear_gradient_peak_reduction": found["grad_reduction"], "linear_loss_peak_reduction": found["loss_reduction"], "material_reduction_threshold": material, "warm_transition_preferred": found["linear_preferred"],
+    }

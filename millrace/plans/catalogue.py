@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -14,16 +14,42 @@ from millrace.operators import curriculum as U
 from millrace.operators import fertility as L
 from millrace.operators import packing as P
 from millrace.operators import schedule as S
+from millrace.operators import pools as O
+from millrace.operators import ranges as R
 from millrace.operators import stability as W
+from millrace.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-LIMITS = C.Limits(registry=T.LATIN, composed=True)
+LIMITS = C.Limits(registry=T.LATIN)
 PLAN = S.Plan(20_000_000_000, 10_000_000_000, 640, 200)
 LINEAR = S.Plan(20_000_000_000, 10_000_000_000, 640, 200, transition_tokens=256_000_000, mode="linear")
 SMALL = S.Plan(20_000, 10_000, 10, 100, transition_tokens=4_000, mode="linear")
-POOL = P.Pool(block_size=64, target_tokens=192_000, eval_tokens=12_800, shard_sequences=500)
+TARGET, BLOCK, EVAL, SHARD = 192_000, 64, 12_800, 500
+
+#: Rows that the tables lack: for each rule and normalisation one that it meets and one that it just misses.
+TEXTS = [
+    (None, "en"), ("", "en"), ("aaaaaaaaaaaa twelve in a row", "en"), ("aaaaaaaaaaa eleven in a row", "en"), ("decomposed cafe\u0301 and man\u0303ana here", "es"), ("zero\u200bwidth and\ufeff marks \u202eright to left", "en"),
+    ("joined \u0915\u094d\u200d\u0937 text here", "en"), ("Кириллица вместо латиницы здесь", "en"), ("a &amp;lt;b&amp;gt; &copy; 2024 &quot;quoted&quot; &middot; once", "en"), ("<b>bold</b> markup in a text", "de"),
+    ("mail a.b+c@d-e.co.uk or 10.0.0.255 or +91 98765 43210 or https://x.y/z?a=1 now", "fr"), ("x", "en"), ("The same text once", "en"), ("the same  TEXT once", "en"), ("y" * 5001, "en"), ("known text, unknown language", "xx"), ("no language at all here", None),
+    ("capital language code", "EN"), ("tabs\t and  blanks \r\n lines\n\n\n\nend\x01", "en"), ("bad \ufffd char and soft\u00adhyphen", "en"), ("Strasse oder Straße", "de"), ("STRASSE ODER STRASSE", "de"),
+]
+SYNTHETIC = [(1_000_000_000 + k, text, lang, "synthetic") for k, (text, lang) in enumerate(TEXTS)]
+PAIRS = [
+    ("Hello there my friend", "Hola mi amigo de siempre", "en", "0.9"), ("aaaaaa", "aaaaaa and more", "en", "abc"), ("Hello {name} %s", "Hola {name}", "en", None), ("short", "word " * 20, "en", "0.7"),
+    ("Good long text here", "good  LONG text here", "en", "0.1"), ("Mail a@b.co here please", "Correo aqui por favor", "en", "NaN"), ("plain latin words", "Кириллица вместо латиницы", "zz", "0.8"), (None, "alone", "en", "0.75"), ("alone", None, "en", "0.69"),
+    ("Кириллица вместо латиницы", "plain latin words again", "en", "1"), ("same source", "first target", "en", "0.9"), ("Same  source", "second target", "en", "0.9"), ("same source", "First  target", "en", "0.9"), ("x", "<i>y</i>", "en", "0.9"),
+    ("both have a@b.co", "ambos c@d.org", "en", "0.9"), ("z" * 5001, "long source", "en", "0.9"), ("cafe\u0301 \u200b", "&copy; caf\u00e9 \ufffd", "en", "0.9"), ("", "", "en", ""), ("joiner \u200d kept", "and \u202a removed \x07", None, "0.9"),
+]
+SYNTHETIC_PAIRS = [(1_000_000_000 + k, *x) for k, x in enumerate(PAIRS)]
+
+
+def _values(rows: list[tuple]) -> str:
+    """Rows as an SQL VALUES list."""
+    one = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "VALUES " + ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
+
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -42,8 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- the texts as the cleaner sees them, in SQL ------------------------------------------------------------------
 
+#: Entities of the tables resolved once; &amp; comes last.
+_RAW = "replace(replace(replace(replace(coalesce({0}, ''), '&quot;', '\x22'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+_PLAIN = f"nfc_normalize({_RAW})"
 _TIDY = (
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce({0}, '')), '[\x00-\x08\x0B-\x1F\x7F-\x9F\x{{AD}}\x{{200B}}\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FEFF}}\x{{FFFD}}]', '', 'g'), "
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _PLAIN + r", '[\x00-\x08\x0B-\x1F\x7F-\x9F\x{{AD}}\x{{200B}}\x{{200E}}\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{206F}}\x{{FEFF}}\x{{FFFD}}]', '', 'g'), "
     r"'[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 )
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
@@ -64,17 +93,49 @@ _RUN = "(?:" + "|".join(rf"\x{{{c:x}}}{{12}}" for c in [*range(0x21, 0x7F), *ran
 _RUNS = f"runs AS (SELECT doc_id FROM clean WHERE regexp_matches(c, '{_RUN}'))"
 _LATIN = r"length(regexp_replace({0}, '[^A-Za-z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{24F}}]', '', 'g'))"
 _LETTERS = r"length(regexp_replace({0}, '\P{{L}}', '', 'g'))"
-_SRC = "src AS (SELECT * FROM documents)"
-_DECIDED = (
-    f"{_SRC}, {_MASKED}, {_RUNS}, "
-    f"counted AS (SELECT masked.*, {_LETTERS.format('c')} AS letters, {_LATIN.format('c')} AS latin, masked.doc_id IN (SELECT doc_id FROM runs) AS running FROM masked), "
-    "ruled AS (SELECT *, CASE WHEN lower(lang) IN ('en', 'fr', 'de', 'es') THEN lower(lang) ELSE 'unknown' END AS resolved, "
-    "list_sort(list_filter([CASE WHEN text IS NULL THEN 'missing_or_nonstring_text' END, CASE WHEN c = '' THEN 'empty_text' END, CASE WHEN length(c) > 5000 THEN 'extreme_text_length' END, "
-    "CASE WHEN running THEN 'repeated_character_run' END], lambda x: x IS NOT NULL)) AS reasons, "
-    "list_sort(list_filter([CASE WHEN c <> '' AND length(c) < 2 THEN 'very_short_text' END, CASE WHEN regexp_matches(c, '<[^>]{1,120}>') THEN 'html_markup_present' END, "
-    "CASE WHEN n_email + n_ipv4 + n_phone + n_url > 0 THEN 'structured_pii_masked' END, CASE WHEN letters >= 8 AND latin < 0.35 * letters THEN 'text_script_mismatch' END], lambda x: x IS NOT NULL)) AS flags FROM counted), "
-    f"decided AS (SELECT *, sha256(resolved || chr(0) || {_KEY.format('m')}) AS digest FROM ruled)"
-)
+_SRC = f"src AS (SELECT doc_id, text, lang, source FROM documents UNION ALL SELECT * FROM ({_values(SYNTHETIC)}) v(doc_id, text, lang, source))"
+#: What normalisation does, as patterns over the composed text.
+_OPS = {
+    "indic_joiner_preserved": r"[\x{200C}\x{200D}]", "replacement_character_removed": r"\x{FFFD}", "other_control_removed": r"[\x00-\x08\x0B-\x1F\x7F-\x9F\x{AD}\x{200E}\x{200F}\x{2060}-\x{2064}\x{206A}-\x{206F}]",
+} | {f"removed_U+{c.zfill(4)}": rf"\x{{{c}}}" for c in T.COUNTED}
+
+
+def _ops_sql(side: str, text: str, source: str) -> str:
+    """(metric, key, n) of what normalisation does to a column, in UNION ALL branches."""
+    raw, plain = _RAW.format(text), _PLAIN.format(text)
+    parts = [f"SELECT 'normalization_operations' AS metric, '{side}_unicode_nfc_changed' AS key, CASE WHEN {plain} <> {raw} THEN 1 ELSE 0 END AS n FROM {source}"]
+    parts += [f"SELECT 'normalization_operations', '{side}_{k}', len(regexp_extract_all({plain}, '{pattern}')) FROM {source}" for k, pattern in _OPS.items()]
+    return " UNION ALL ".join(parts)
+
+
+def _decided(src: str = _SRC) -> str:
+    return (
+        f"{src}, {_MASKED}, {_RUNS}, "
+        f"counted AS (SELECT masked.*, {_LETTERS.format('c')} AS letters, {_LATIN.format('c')} AS latin, masked.doc_id IN (SELECT doc_id FROM runs) AS running, "
+        "CASE WHEN lower(lang) IN ('en', 'fr', 'de', 'es') THEN lower(lang) ELSE 'unknown' END AS resolved FROM masked), "
+        "ruled AS (SELECT *, "
+        "list_sort(list_filter([CASE WHEN text IS NULL THEN 'missing_or_nonstring_text' END, CASE WHEN c = '' THEN 'empty_text' END, CASE WHEN length(c) > 5000 THEN 'extreme_text_length' END, "
+        "CASE WHEN resolved = 'unknown' THEN 'missing_or_unknown_language' END, CASE WHEN running THEN 'repeated_character_run' END], lambda x: x IS NOT NULL)) AS reasons, "
+        "list_sort(list_filter([CASE WHEN c <> '' AND length(c) < 2 THEN 'very_short_text' END, CASE WHEN regexp_matches(c, '<[^>]{1,120}>') THEN 'html_markup_present' END, "
+        "CASE WHEN n_email + n_ipv4 + n_phone + n_url > 0 THEN 'structured_pii_masked' END, CASE WHEN letters >= 8 AND latin < 0.35 * letters AND resolved <> 'unknown' THEN 'script_mismatch' END], lambda x: x IS NOT NULL)) AS flags FROM counted), "
+        f"decided AS (SELECT *, sha256(resolved || chr(0) || {_KEY.format('m')}) AS digest FROM ruled)"
+    )
+
+
+_DECIDED = _decided()
+
+
+def _audit_sql(final: str, duplicate: str, sides: dict[str, tuple[str, str]]) -> str:
+    """The manifest in long form over decided rows; sides: the text of each side and the prefix of its mask counts."""
+    ranked = f"final AS (SELECT *, CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY digest, len(reasons) = 0 ORDER BY {final}) > 1 THEN ['{duplicate}'] ELSE reasons END AS why FROM decided)"
+    masks = " UNION ALL ".join(f"SELECT 'structured_pii_masks', '{side}_{kind}', {prefix}{kind} FROM final" for side, (_, prefix) in sides.items() for kind in T.MASKS)
+    ops = " UNION ALL ".join(_ops_sql(side, text, "final") for side, (text, _) in sides.items())
+    return (
+        f"{ranked}, long AS (SELECT 'counts' AS metric, 'input_rows' AS key, 1 AS n FROM final UNION ALL SELECT 'counts', CASE WHEN len(why) = 0 THEN 'cleaned_rows' ELSE 'rejected_rows' END, 1 FROM final UNION ALL SELECT 'language_rows', resolved, 1 FROM final "
+        f"UNION ALL SELECT 'rejection_reasons', unnest(why), 1 FROM final UNION ALL SELECT 'review_flags', unnest(flags), 1 FROM final UNION ALL {masks} UNION ALL {ops}) SELECT metric, key, CAST(sum(n) AS BIGINT) AS n FROM long GROUP BY ALL HAVING sum(n) > 0"
+    )
+
+
 _GRAMS = (
     "{name}_w AS (SELECT {key}, list_filter(string_split(" + _KEY + ", ' '), lambda x: x <> '') AS w FROM {table}), "
     "{name} AS (SELECT DISTINCT {key}, CASE WHEN len(w) <= 13 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 12), ' ') END AS gram "
@@ -89,9 +150,13 @@ def _grams(name: str, key: str, column: str, source: str) -> str:
 _HELD = f"{_grams('held', 'item_id', 'text', 'benchmark')}, {_grams('doc', 'doc_id', 'c', 'clean')}, overlap AS (SELECT DISTINCT doc_id FROM doc WHERE gram IN (SELECT gram FROM held))"
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and the synthetic rows."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(SYNTHETIC, "doc_id long, text string, lang string, source string"))
+
+
 def decided_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return C.evaluate_text(docs.withColumnRenamed("lang", "language"), LIMITS)
+    return C.evaluate_text(_docs(spark, sf_dir), LIMITS)
 
 
 # ---- the cleaner -------------------------------------------------------------------------------------------------
@@ -114,26 +179,26 @@ def unknown_language_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SRC}, clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), n AS (SELECT doc_id, CAST({_LETTERS.format('c')} AS BIGINT) AS letters, {_LATIN.format('c')} AS latin FROM clean) SELECT doc_id, letters, CASE WHEN letters = 0 THEN 0.0 ELSE round_even(CAST(latin AS DOUBLE) / letters, 4) END AS latin_ratio FROM n")
 def script_ratio_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = T.normalize(F.col("text"), True)
-    d = table(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
+    c = T.normalize(F.col("text"))
+    d = _docs(spark, sf_dir).select("doc_id", c.alias("c"))
     return d.select("doc_id", T.letters(F.col("c")).cast("long").alias("letters"), F.bround(T.script_ratio(F.col("c"), "Latin"), 4).alias("latin_ratio"))
 
 
 @query(f"WITH {_SRC}, clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), {_RUNS} SELECT doc_id FROM runs")
 def repeated_char_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(T.normalize(F.col("text"), True).rlike(T.REPEATED_RUN)).select("doc_id")
+    return _docs(spark, sf_dir).where(T.normalize(F.col("text")).rlike(T.REPEATED_RUN)).select("doc_id")
 
 
 @query(f"WITH {_SRC}, {_MASKED} SELECT doc_id, m AS masked, n_email, n_ipv4, n_phone, n_url FROM masked WHERE n_email + n_ipv4 + n_phone + n_url > 0")
 def pii_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text"), True).alias("c"))
-    d = d.select("doc_id", T.mask_pii(F.col("c")).alias("masked"), *[n.cast("long").alias(f"n_{k}") for k, n in T.mask_counts(F.col("c")).items()])
-    return d.where("n_email + n_ipv4 + n_phone + n_url > 0")
+    d = _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("c"))
+    d = C.masked_text(d, "c", "masked")
+    return d.select("doc_id", "masked", *[F.col(f"_n_{k}").cast("long").alias(f"n_{k}") for k in T.MASKS]).where("n_email + n_ipv4 + n_phone + n_url > 0")
 
 
-@query(f"WITH {_SRC}, {_MASKED} SELECT doc_id, sha256(lang || chr(0) || {_KEY.format('m')}) AS digest FROM masked")
+@query(f"WITH {_SRC}, {_MASKED} SELECT doc_id, sha256(coalesce(lang || chr(0), '') || {_KEY.format('m')}) AS digest FROM masked")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.text_digest(F.col("lang"), T.mask_pii(T.normalize(F.col("text"), True))).alias("digest"))
+    return _docs(spark, sf_dir).select("doc_id", T.text_digest(F.col("lang"), T.mask_pii(T.normalize(F.col("text")))).alias("digest"))
 
 
 @query(f"WITH {_DECIDED} SELECT doc_id, resolved AS language FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id) AS r FROM decided WHERE len(reasons) = 0) WHERE r = 1")
@@ -144,13 +209,13 @@ def exact_dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SRC}, clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), {_HELD} SELECT doc_id FROM overlap")
 def heldout_overlap_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text"), True).alias("c"))
+    d = _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("c"))
     return C.heldout_rows(d, table(spark, sf_dir, "benchmark"), "doc_id", ["c"])
 
 
-@query(f"WITH {_SRC}, clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), {_HELD} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM overlap)")
+@query(f"WITH {_SRC}, clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), {_HELD} SELECT doc_id, lang FROM src WHERE doc_id NOT IN (SELECT doc_id FROM overlap)")
 def heldout_clean_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(heldout_overlap_docs(spark, sf_dir), "doc_id", "left_anti")
+    return _docs(spark, sf_dir).select("doc_id", "lang").join(heldout_overlap_docs(spark, sf_dir), "doc_id", "left_anti")
 
 
 @query(
@@ -165,23 +230,43 @@ def dedup_after_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"WITH {_SRC}, {_MASKED}, d AS (SELECT source, sha256(lang || chr(0) || {_KEY.format('m')}) AS digest FROM masked) SELECT source, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM d GROUP BY source")
+@query(f"WITH {_SRC}, {_MASKED}, d AS (SELECT source, sha256(coalesce(lang || chr(0), '') || {_KEY.format('m')}) AS digest FROM masked) SELECT source, sha256(string_agg(digest, '' ORDER BY digest)) AS digest FROM d GROUP BY source")
 def aggregate_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", T.text_digest(F.col("lang"), T.mask_pii(T.normalize(F.col("text"), True))).alias("digest"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ""), 256).alias("digest"))
+    d = _docs(spark, sf_dir).select("source", T.text_digest(F.col("lang"), T.mask_pii(T.normalize(F.col("text")))).alias("digest"))
+    return C.ordered_digests(d, "source", ["digest"], "digest").withColumnRenamed("sha256", "digest")
 
 
-@query(
-    f"WITH {_DECIDED}, final AS (SELECT *, CASE WHEN len(reasons) = 0 AND row_number() OVER (PARTITION BY digest, len(reasons) = 0 ORDER BY doc_id) > 1 THEN ['exact_text_duplicate'] ELSE reasons END AS why FROM decided), "
-    "long AS (SELECT 'counts' AS metric, 'input_rows' AS key, 1 AS n FROM final UNION ALL SELECT 'counts', CASE WHEN len(why) = 0 THEN 'cleaned_rows' ELSE 'rejected_rows' END, 1 FROM final UNION ALL SELECT 'language_rows', resolved, 1 FROM final "
-    "UNION ALL SELECT 'rejection_reasons', unnest(why), 1 FROM final UNION ALL SELECT 'review_flags', unnest(flags), 1 FROM final UNION ALL SELECT 'structured_pii_masks', 'email', n_email FROM final UNION ALL SELECT 'structured_pii_masks', 'ipv4', n_ipv4 FROM final "
-    "UNION ALL SELECT 'structured_pii_masks', 'phone', n_phone FROM final UNION ALL SELECT 'structured_pii_masks', 'url', n_url FROM final) SELECT metric, key, CAST(sum(n) AS BIGINT) AS n FROM long GROUP BY ALL HAVING sum(n) > 0"
-)
+_TEXT_SIDE = {"text": ("text", "n_")}
+
+
+@query(f"WITH {_DECIDED}, {_audit_sql('doc_id', 'exact_text_duplicate', _TEXT_SIDE)}")
 def audit_manifest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = ["doc_id", "resolved", "digest", "reasons", "flags", *[f"masks_{k}" for k in T.MASKS]]
+    keep = ["doc_id", "resolved", "digest", "reasons", "flags", "normalization", "masks"]
     return C.audit(C.flag_duplicates(decided_documents(spark, sf_dir).select(*keep), "doc_id"))
 
 
+@query(
+    f"WITH {_DECIDED}, {_HELD}, ok AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id) AS r FROM decided WHERE len(reasons) = 0 AND doc_id NOT IN (SELECT doc_id FROM overlap)) "
+    "SELECT doc_id AS idx, m AS text, resolved AS language, source AS data_source, digest AS content_sha256, array_to_string(flags, ',') AS flags, CASE WHEN letters = 0 THEN 0.0 ELSE round_even(CAST(latin AS DOUBLE) / letters, 4) END AS expected_script FROM ok WHERE r = 1"
+)
+def clean_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of the cleaner writes of the accepted rows; idx is the ordinal, since the rows have none of their own."""
+    rows = _docs(spark, sf_dir).withColumnRenamed("source", "data_source")
+    d = C.accepted(C.decide(rows, "doc_id", LIMITS, heldout=table(spark, sf_dir, "benchmark")))
+    d = d.select(C.payload(d, "doc_id").alias("p"))
+    return d.select("p.idx", "p.text", "p.language", "p.data_source", "p.cleaning.content_sha256", F.array_join("p.cleaning.flags", ",").alias("flags"), "p.cleaning.script_ratios.expected_script")
+
+
+@query(
+    f"WITH src AS (SELECT page_id AS doc_id, html AS text, 'en' AS lang, url AS source FROM pages), {_decided('x AS (SELECT 1)')} "
+    "SELECT doc_id AS page_id, digest, length(c) AS chars, array_to_string(reasons, ',') AS reasons, array_to_string(flags, ',') AS flags FROM decided"
+)
+def page_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaner over raw pages, which have the entities and the markup that documents lack."""
+    d = C.evaluate_text(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"), F.lit("en").alias("lang")), LIMITS)
+    return d.select("page_id", "digest", F.length("clean").cast("long").alias("chars"), F.array_join("reasons", ",").alias("reasons"), F.array_join("flags", ",").alias("flags"))
+
+
 _PAIRS = "SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'"
 
 
@@ -189,27 +274,54 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations")
     a = t.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     b = t.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
-    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "src", "tgt", F.lit("en").alias("language"))
+    pairs = a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "src", "tgt", F.lit("en").alias("language"), F.lit(None).cast("string").alias("score"))
+    return pairs.unionByName(spark.createDataFrame(SYNTHETIC_PAIRS, "pair_id long, src string, tgt string, language string, score string"))
 
 
 _PH = r"list_sort(regexp_extract_all({0}, '\{{\w*\}}|%\d*\$?[A-Za-z]|&[A-Za-z][0-9A-Za-z]+;'))"
 
 
-@query(
-    f"WITH p AS ({_PAIRS}), c AS (SELECT pair_id, {_TIDY.format('src')} AS s, {_TIDY.format('tgt')} AS t FROM p), r AS (SELECT *, CAST(length(t) AS DOUBLE) / greatest(1, length(s)) AS ratio FROM c) "
-    "SELECT pair_id, round_even(ratio, 4) AS length_ratio, "
-    "array_to_string(list_sort(list_filter([CASE WHEN s = '' THEN 'empty_src' END, CASE WHEN t = '' THEN 'empty_tgt' END, CASE WHEN length(s) > 5000 OR length(t) > 5000 THEN 'extreme_sentence_length' END, CASE WHEN s <> '' AND t <> '' AND NOT (ratio BETWEEN 0.125 AND 8.0) THEN 'extreme_length_ratio' END], lambda x: x IS NOT NULL)), ',') AS reasons, "
-    f"array_to_string(list_sort(list_filter([CASE WHEN length(s) < 2 OR length(t) < 2 THEN 'very_short_pair' END, CASE WHEN s <> '' AND t <> '' AND length(s) > 12 AND {_KEY.format('s')} = {_KEY.format('t')} THEN 'identical_source_target' END, "
+def _both(what: str, alias: str) -> str:
+    return ", ".join(f"{what.replace('{x}', side)} AS {alias.replace('{x}', side)}" for side in "st")
+
+
+def _set(pattern: str, mask: str, column: str) -> str:
+    return f"regexp_replace({column}, '{pattern}', '{mask}', 'g')"
+
+
+def _found(pattern: str, column: str) -> str:
+    return f"CAST(len(regexp_extract_all({column}, '{pattern}')) AS BIGINT)"
+
+
+_PAIR_DECIDED = (
+    f"p AS (SELECT *, 'en' AS language, NULL AS score FROM ({_PAIRS}) UNION ALL SELECT * FROM ({_values(SYNTHETIC_PAIRS)}) v(pair_id, src, tgt, language, score)), "
+    f"c AS (SELECT *, {_TIDY.format('src')} AS s, {_TIDY.format('tgt')} AS t FROM p), "
+    f"q1 AS (SELECT *, {_both(_set(_EMAIL, '[EMAIL]', '{x}'), '{x}1')}, {_both(_found(_EMAIL, '{x}'), '{x}_email')} FROM c), q2 AS (SELECT *, {_both(_set(_IP, '[IP_ADDRESS]', '{x}1'), '{x}2')}, {_both(_found(_IP, '{x}1'), '{x}_ipv4')} FROM q1), "
+    f"q3 AS (SELECT *, {_both(_set(_PHONE, '[PHONE]', '{x}2'), '{x}3')}, {_both(_found(_PHONE, '{x}2'), '{x}_phone')} FROM q2), q4 AS (SELECT *, {_both(_set(_URL, '[URL]', '{x}3'), '{x}4')}, {_both(_found(_URL, '{x}3'), '{x}_url')} FROM q3), "
+    f"r AS (SELECT *, CASE WHEN lower(language) IN ('en', 'fr', 'de', 'es') THEN lower(language) ELSE 'unknown' END AS resolved, CAST(length(t) AS DOUBLE) / greatest(1, length(s)) AS ratio, {_both(_LETTERS.format('{x}'), '{x}l')}, {_both(_LATIN.format('{x}'), '{x}r')}, "
+    "s_email + s_ipv4 + s_phone + s_url AS sm, t_email + t_ipv4 + t_phone + t_url AS tm, try_cast(score AS DOUBLE) AS number FROM q4), "
+    "ruled AS (SELECT *, list_sort(list_filter([CASE WHEN src IS NULL THEN 'missing_or_nonstring_src' END, CASE WHEN tgt IS NULL THEN 'missing_or_nonstring_tgt' END, CASE WHEN s = '' THEN 'empty_src' END, CASE WHEN t = '' THEN 'empty_tgt' END, "
+    "CASE WHEN resolved = 'unknown' THEN 'missing_or_unknown_language' END, CASE WHEN length(s) > 5000 OR length(t) > 5000 THEN 'extreme_sentence_length' END, CASE WHEN s <> '' AND t <> '' AND NOT (ratio BETWEEN 0.125 AND 8.0) THEN 'extreme_length_ratio' END, "
+    f"CASE WHEN regexp_matches(s || t, '{_RUN}') THEN 'repeated_character_run' END, CASE WHEN number < 0.7 THEN 'low_semantic_alignment_score' END], lambda x: x IS NOT NULL)) AS reasons, "
+    f"list_sort(list_filter([CASE WHEN length(s) < 2 OR length(t) < 2 THEN 'very_short_pair' END, CASE WHEN s <> '' AND t <> '' AND length(s) > 12 AND {_KEY.format('s')} = {_KEY.format('t')} THEN 'identical_source_target' END, "
     f"CASE WHEN regexp_matches(s || t, '<[^>]{{1,120}}>') THEN 'html_markup_present' END, CASE WHEN {_PH.format('s')} <> {_PH.format('t')} THEN 'placeholder_mismatch' END, "
-    f"CASE WHEN {_LETTERS.format('s')} >= 8 AND {_LATIN.format('s')} < 0.55 * {_LETTERS.format('s')} THEN 'source_not_predominantly_latin' END, CASE WHEN {_LETTERS.format('t')} >= 8 AND {_LATIN.format('t')} < 0.35 * {_LETTERS.format('t')} THEN 'target_script_mismatch' END, "
-    "'semantic_alignment_not_scored'], lambda x: x IS NOT NULL)), ',') AS flags FROM r"
+    "CASE WHEN score IS NOT NULL AND number IS NULL THEN 'invalid_semantic_score' END, CASE WHEN score IS NULL THEN 'semantic_alignment_not_scored' END, CASE WHEN sm + tm > 0 THEN 'structured_pii_masked' END, CASE WHEN (sm > 0) <> (tm > 0) THEN 'pii_alignment_asymmetry' END, "
+    "CASE WHEN sl >= 8 AND sr < 0.55 * sl THEN 'source_not_predominantly_latin' END, CASE WHEN tl >= 8 AND (resolved = 'unknown' OR tr < 0.35 * tl) THEN 'target_script_mismatch' END], lambda x: x IS NOT NULL)) AS plain_flags, "
+    f"{_KEY.format('s4')} AS sk, {_KEY.format('t4')} AS tk FROM r), "
+    "decided AS (SELECT *, sha256(resolved || chr(0) || sk || chr(0) || tk) AS digest, CASE WHEN tk <> first_value(tk) OVER (PARTITION BY resolved, sk ORDER BY pair_id) THEN list_sort(list_append(plain_flags, 'source_has_multiple_targets')) ELSE plain_flags END AS flags FROM ruled)"
 )
+
+
+@query(f"WITH {_PAIR_DECIDED} SELECT pair_id, round_even(ratio, 4) AS length_ratio, array_to_string(reasons, ',') AS reasons, array_to_string(plain_flags, ',') AS flags FROM decided")
 def pair_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.evaluate_pairs(_pairs(spark, sf_dir), LIMITS)
-    checked = ["extreme_sentence_length", "extreme_length_ratio", "empty_src", "empty_tgt"]
-    soft = ["very_short_pair", "identical_source_target", "html_markup_present", "placeholder_mismatch", "source_not_predominantly_latin", "target_script_mismatch", "semantic_alignment_not_scored"]
-    keep = lambda c, names: F.array_join(F.filter(c, lambda x: x.isin(names)), ",")
-    return d.select("pair_id", F.bround("length_ratio", 4).alias("length_ratio"), keep("reasons", checked).alias("reasons"), keep("flags", soft).alias("flags"))
+    d = C.evaluate_pairs(_pairs(spark, sf_dir), LIMITS, score="score")
+    return d.select("pair_id", F.bround("length_ratio", 4).alias("length_ratio"), F.array_join("reasons", ",").alias("reasons"), F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"WITH {_PAIR_DECIDED}, {_audit_sql('pair_id', 'exact_pair_duplicate', {'src': ('src', 's_'), 'tgt': ('tgt', 't_')})}")
+def audit_pairs_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a run over pairs."""
+    return C.audit(C.decide(_pairs(spark, sf_dir), "pair_id", LIMITS, pairs=True, score="score"))
 
 
 @query("SELECT o_orderkey AS ordinal, o_custkey AS source, o_orderpriority AS target, coalesce(o_orderpriority <> first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), FALSE) AS many FROM orders")
@@ -228,16 +340,17 @@ def semantic_score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("event_type", F.when(none, "semantic_alignment_not_scored").when(low, "low_semantic_alignment_score").otherwise("passed").alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 100")
+@query(f"WITH src AS (SELECT doc_id, text, lang, source FROM documents ORDER BY doc_id LIMIT 100), {_decided('x AS (SELECT 1)')}, {_audit_sql('doc_id', 'exact_text_duplicate', _TEXT_SIDE)}")
 def first_n_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first-rows option of an audit run: the limit is the feature."""
-    return table(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", "lang", "n_chars")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").orderBy("doc_id").limit(100)
+    return C.audit(C.decide(rows, "doc_id", LIMITS))
 
 
-@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS value FROM documents")
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"meta\":{\"n_chars\":' || n_chars || ',\"none\":null,\"source\":\"' || source || '\"}}' AS value FROM documents")
 def canonical_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.struct("doc_id", "lang", "source")
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("value"))
+    d = table(spark, sf_dir, "documents").select(F.struct(F.struct("source", F.lit(None).cast("string").alias("none"), "n_chars").alias("meta"), "lang", "doc_id").alias("r"))
+    return d.select("r.doc_id", io.json_of(F.col("r"), d.schema["r"].dataType).alias("value"))
 
 
 # ---- schedules ---------------------------------------------------------------------------------------------------
@@ -281,14 +394,27 @@ def affine_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.permuted(spark.range(3027).withColumnRenamed("id", "draw_ordinal"), 1009, 42, 3026)
 
 
+_LINEAR_C = f"c AS (SELECT i AS step, CAST(CASE WHEN i < 77125 THEN 100 WHEN i >= 79125 THEN 160 ELSE {_CUM.format(k='(i - 77124)')} - {_CUM.format(k='(i - 77125)')} END AS BIGINT) AS f FROM range(156250) t(i))"
+
+
+@query(
+    f"WITH {_LINEAR_C}, d AS (SELECT step, f, sum(f) OVER (ORDER BY step) AS fd, sum(200 - f) OVER (ORDER BY step) AS nd, step IN (77124, 77125, 77126, 78124, 78125, 78126, 79124, 79125, 79126) AS beside FROM c) "
+    "SELECT step + 1 AS step, (step + 1) * 128000 AS tokens, CASE WHEN step < 77125 THEN 'pre_transition' WHEN step < 79125 THEN 'linear_transition' ELSE 'post_transition' END AS phase, 'linear' AS transition_mode, f / 200.0::DOUBLE AS fineweb_share, (200 - f) / 200.0::DOUBLE AS indic_share, "
+    "f * 640 AS fineweb_step_tokens, (200 - f) * 640 AS indic_step_tokens, CAST(greatest(greatest(fd - 1, 0) // 15625000, greatest(nd - 1, 0) // 4000000) AS BIGINT) AS max_source_pass_seen, "
+    "(step + 1) % 10 = 0 OR beside OR step = 156249 AS logged, (step + 1) % 500 = 0 OR beside AS evaluated FROM d"
+)
+def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.metric_records(spark, LINEAR, (15_625_000, 4_000_000), 10, 500)
+
+
 @query("SELECT phase, count(*) AS steps, min(i) AS first_step, max(i) AS last_step FROM (SELECT i, CASE WHEN i < 77125 THEN 'pre_transition' WHEN i < 79125 THEN 'linear_transition' ELSE 'post_transition' END AS phase FROM range(156250) t(i)) GROUP BY phase")
 def phase_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.phases(spark, LINEAR).groupBy("phase").agg(F.count("*").alias("steps"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 2000 THEN greatest(i, 1) / 2000.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * (0.5::DOUBLE * (1 + cos(pi() * least(greatest((i - 2000) / 154250.0::DOUBLE, 0), 1)))) END, 9) AS ratio FROM range(0, 156250, 50) t(i)")
+@query("SELECT i AS step, round(CASE WHEN i < 2000 THEN greatest(i, 1) / 2000.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * (0.5::DOUBLE * (1 + cos(pi() * least(greatest((i - 2000) / 154250.0::DOUBLE, 0), 1)))) END, 9) AS ratio FROM range(156250) t(i)")
 def learning_rate_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 156250, 50).select(F.col("id").alias("step"), F.round(S.learning_rate(F.col("id"), 156250, 2000, 0.1), 9).alias("ratio"))
+    return spark.range(156250).select(F.col("id").alias("step"), F.round(S.learning_rate(F.col("id"), 156250, 2000, 0.1), 9).alias("ratio"))
 
 
 @query(
@@ -302,59 +428,115 @@ def lane_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- packing -----------------------------------------------------------------------------------------------------
 
-_TOK = r"t AS (SELECT doc_id, source, lang, list_transform(regexp_extract_all(text, '\S+'), lambda x: CAST(length(x) AS INTEGER)) AS tokens FROM documents), n AS (SELECT *, CAST(len(tokens) AS BIGINT) AS n FROM t), o AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n), a AS (SELECT *, greatest(least(192000 - start, n), 0) AS accepted FROM o)"
+_TOK = (
+    r"t AS (SELECT doc_id, source, lang, list_transform(regexp_extract_all(text, '\S+'), lambda x: CAST(length(x) AS INTEGER)) AS tokens FROM documents), n AS (SELECT *, CAST(len(tokens) AS BIGINT) AS n FROM t), "
+    "o AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM n), w AS (SELECT {target} AS target FROM n), a AS (SELECT o.*, greatest(least(target - start, n), 0) AS accepted FROM o, w)"
+)
+_CUT, _WHOLE = _TOK.replace("{target}", f"max({TARGET})"), _TOK.replace("{target}", f"CAST(sum(n) // {BLOCK} * {BLOCK} AS BIGINT)")
 _STREAM = "s AS (SELECT start + i - 1 AS position, tokens[i] AS token FROM (SELECT start, tokens, unnest(range(1, accepted + 1)) AS i FROM a)), b AS (SELECT position // 64 AS block_id, array_to_string(list(token ORDER BY position), ',') AS tokens FROM s GROUP BY 1)"
+_TRAIN = f"sz AS (SELECT (target - {EVAL}) // {BLOCK} AS size FROM w)"
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _word_lengths(text: Column) -> Column:
     """Word lengths stand for token ids: any tokenizer's arrays are packed alike."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.transform(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)), lambda x: F.length(x)).alias("tokens"))
+    return F.transform(F.regexp_extract_all(text, F.lit("\\S+"), F.lit(0)), lambda x: F.length(x))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", _word_lengths(F.col("text")).alias("tokens"))
     return P.token_offsets(d.withColumn("n", F.size("tokens").cast("long")), "doc_id", "n")
 
 
-@query(f"WITH {_TOK} SELECT doc_id, n, start, CAST(accepted AS BIGINT) AS accepted FROM a")
+def _pool(tokens: DataFrame) -> P.Pool:
+    """All whole blocks that the documents fill."""
+    return P.Pool(BLOCK, (tokens.agg(F.sum("n")).first()[0] or 0) // BLOCK * BLOCK, EVAL, SHARD)
+
+
+@query(f"WITH {_CUT} SELECT doc_id, n, start, CAST(accepted AS BIGINT) AS accepted FROM a")
 def pack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.accept(_tokens(spark, sf_dir), "n", POOL.target_tokens).select("doc_id", "n", "start", "accepted")
+    """The exact cut-off at a target of tokens is the subject."""
+    return P.accept(_tokens(spark, sf_dir), "n", TARGET).select("doc_id", "n", "start", "accepted")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, P.Pool]:
+    tokens = _tokens(spark, sf_dir)
+    pool = _pool(tokens)
+    return P.blocks(P.slices(tokens, "tokens", "n", pool), pool), pool
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.blocks(P.token_stream(_tokens(spark, sf_dir), "tokens", "n", POOL), POOL)
+def _as_text(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query(f"WITH {_TOK}, {_STREAM} SELECT block_id, CAST(block_id // 500 AS BIGINT) AS shard_id, tokens FROM b")
+@query(f"WITH {_WHOLE}, {_STREAM} SELECT block_id, CAST(block_id // {SHARD} AS BIGINT) AS shard_id, tokens FROM b")
 def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).select("block_id", "shard_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",").alias("tokens"))
+    return _blocks(spark, sf_dir)[0].select("block_id", "shard_id", _as_text("token_ids").alias("tokens"))
 
 
-@query(f"WITH {_TOK}, {_STREAM} SELECT CAST(block_id // 500 AS BIGINT) AS shard_id, count(*) AS sequences, CAST(sum(len(string_split(tokens, ','))) AS BIGINT) AS tokens, sha256(string_agg(tokens, ',' ORDER BY block_id)) AS sha256 FROM b GROUP BY 1")
+@query(f"WITH {_WHOLE}, {_STREAM} SELECT CAST(block_id // {SHARD} AS BIGINT) AS shard_id, count(*) AS sequences, CAST(sum(len(string_split(tokens, ','))) AS BIGINT) AS tokens, sha256(string_agg(tokens, ',' ORDER BY block_id)) AS sha256 FROM b GROUP BY 1")
 def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.shard_totals(_blocks(spark, sf_dir))
+    return P.shard_totals(_blocks(spark, sf_dir)[0])
 
 
-@query(f"WITH {_TOK}, {_STREAM} SELECT CASE WHEN block_id < 2800 THEN 'train' ELSE 'eval' END AS split, count(*) AS blocks, min(block_id) AS first_block, max(block_id) AS last_block FROM b GROUP BY 1")
+@query(f"WITH {_WHOLE}, {_STREAM}, {_TRAIN} SELECT CASE WHEN block_id < size THEN 'train' ELSE 'eval' END AS split, count(*) AS blocks, min(block_id) AS first_block, max(block_id) AS last_block FROM b, sz GROUP BY 1")
 def train_eval_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark, sf_dir).groupBy("split").agg(F.count("*").alias("blocks"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"))
+    return _blocks(spark, sf_dir)[0].groupBy("split").agg(F.count("*").alias("blocks"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"))
 
 
-@query(f"WITH {_TOK} SELECT lang AS label, count(*) AS documents, CAST(sum(accepted) AS BIGINT) AS tokens FROM a WHERE accepted > 0 GROUP BY lang")
+@query(f"WITH {_WHOLE} SELECT lang AS label, count(*) AS documents, CAST(sum(accepted) AS BIGINT) AS tokens FROM a WHERE accepted > 0 GROUP BY lang")
 def pool_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = P.accept(_tokens(spark, sf_dir), "n", POOL.target_tokens).where("accepted > 0")
+    tokens = _tokens(spark, sf_dir)
+    d = P.accept(tokens, "n", _pool(tokens).target_tokens).where("accepted > 0")
     return d.groupBy(F.col("lang").alias("label")).agg(F.count("*").alias("documents"), F.sum("accepted").alias("tokens"))
 
 
+_ENDED = _WHOLE.replace("CAST(len(tokens) AS BIGINT) AS n FROM t)", r"CAST(len(tokens) + 1 AS BIGINT) AS n FROM t WHERE doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, '\S')))")
+
+
+@query(
+    f"WITH {_ENDED}, {_TRAIN}, u AS (SELECT * FROM a WHERE accepted > 0) SELECT 'documents_consumed' AS metric, '' AS key, count(*) AS n FROM u UNION ALL SELECT 'actual_tokens', '', CAST(sum(accepted) AS BIGINT) FROM u UNION ALL SELECT 'train_tokens', '', target - {EVAL} FROM w UNION ALL SELECT 'eval_tokens', '', {EVAL} "
+    f"UNION ALL SELECT 'train_sequences', '', size FROM sz UNION ALL SELECT 'total_sequences', '', target // {BLOCK} FROM w UNION ALL SELECT 'eval_sequences', '', {EVAL // BLOCK} UNION ALL SELECT 'per_split_documents', lang, count(*) FROM u GROUP BY lang UNION ALL SELECT 'per_split_tokens', lang, CAST(sum(accepted) AS BIGINT) FROM u GROUP BY lang"
+)
+def pool_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a pool's manifest, with an end token behind each document."""
+    words = O.Tokenizer("WordLengths", _word_lengths, {}, end_id=0)
+    offsets = P.token_offsets(O.tokenized(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), words), "doc_id", "n")
+    return O.pool_counts(offsets, _pool(offsets), "lang")
+
+
+@query(
+    "WITH v AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS id FROM (SELECT DISTINCT source FROM documents)) "
+    "SELECT sha256('{\"class\":\"Sources\",\"vocab\":[' || string_agg('[\"' || source || '\",' || id || ']', ',' ORDER BY id) || '],\"special_tokens\":{\"eos_token\":\"</s>\"},\"added_vocab\":[[\"</s>\",999]]}') AS sha256 FROM v"
+)
+def vocabulary_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary of sources, numbered by name; a vocabulary is small."""
+    found = table(spark, sf_dir, "documents").select(F.col("source").alias("piece")).distinct()
+    return O.vocabulary_fingerprint(R.average_ranks(found, "piece", "r").select((F.col("r") - 1).cast("long").alias("id"), "piece"), "Sources", {"eos_token": "</s>"}, {"</s>": 999})
+
+
 @query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7|' || lang || '|' || doc_id), doc_id) AS round FROM documents) SELECT doc_id, lang, row_number() OVER (ORDER BY round, md5('7|' || lang || '|' || round), lang) AS place FROM r")
 def split_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    d = P.interleave(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 7)
-    # places in one global order are the result here: ids and turns only
-    return d.select("doc_id", "lang", F.row_number().over(Window.orderBy("turn", "lang")).cast("long").alias("place"))
+    return P.interleave(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 7)
 
 
-@query(f"WITH {_TOK}, {_STREAM}, d AS (SELECT o AS draw_ordinal, (a * (o % 3000) + b) % 3000 AS block_id FROM range(6000) t(o) JOIN (VALUES {', '.join(str(x) for x in S.permutation_constants(3000, 7, 2))}) v(p, a, b) ON p = o // 3000) SELECT draw_ordinal, CAST(d.block_id AS BIGINT) AS block_id, b.tokens FROM d JOIN b ON b.block_id = d.block_id")
+@query(
+    f"WITH {_WHOLE}, {_STREAM}, {_TRAIN}, ab AS (SELECT p, size, size * (p + 1) // 3 % size AS b, (SELECT min(x) FROM (SELECT unnest(range(size * (p + 1) // 3 + 1, size * (p + 1) // 3 + 1000)) AS x) WHERE gcd(x, size) = 1) AS a FROM sz, range(2) t(p)), "
+    "d AS (SELECT o AS draw_ordinal, (a * (o % size) + ab.b) % size AS block_id FROM (SELECT unnest(range(2 * size)) AS o, size AS k FROM sz) JOIN ab ON p = o // k) SELECT draw_ordinal, CAST(d.block_id AS BIGINT) AS block_id, b.tokens FROM d JOIN b ON b.block_id = d.block_id"
+)
 def draw_block_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = S.permuted(spark.range(6000).withColumnRenamed("id", "draw_ordinal"), 3000, 7, 5999)
-    return P.fetch(draws, _blocks(spark, sf_dir)).select("draw_ordinal", "block_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",").alias("tokens"))
+    """Two passes over all training blocks."""
+    packed, pool = _blocks(spark, sf_dir)
+    size = pool.train_blocks
+    draws = S.permuted(spark.range(2 * size).withColumnRenamed("id", "draw_ordinal"), size, 7, 2 * size - 1, constants=S.even_constants(size, 2))
+    return P.fetch(draws, packed).select("draw_ordinal", "block_id", _as_text("token_ids").alias("tokens"))
+
+
+@query("WITH p AS (SELECT o_orderpriority AS shard_id, count(*) AS sequences FROM orders GROUP BY 1), c AS (SELECT shard_id, sum(sequences) OVER (ORDER BY shard_id) AS upto, sequences FROM p), q AS (SELECT o_orderkey AS seq FROM orders) SELECT seq, shard_id, CAST(seq - (upto - sequences) AS BIGINT) AS place FROM q JOIN c ON seq >= upto - sequences AND seq < upto")
+def shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of different sizes, and the one that holds each sequence."""
+    o = table(spark, sf_dir, "orders")
+    shards = o.groupBy(F.col("o_orderpriority").alias("shard_id")).agg(F.count("*").alias("sequences"))
+    return P.shards_of(shards, o.select(F.col("o_orderkey").alias("seq")))
 
 
 # ---- series ------------------------------------------------------------------------------------------------------
@@ -367,7 +549,7 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUMMARY = (
-    f"{_SERIES}, near AS (SELECT * FROM s WHERE step > 300 AND step <= 900), base AS (SELECT arm, median(CASE WHEN step <= 500 THEN grad END) AS bg, median(CASE WHEN step <= 500 THEN loss END) AS bl, max(CASE WHEN step > 500 THEN grad END) AS pg, max(CASE WHEN step > 500 THEN loss END) AS pl FROM near GROUP BY arm), "
+    f"{_SERIES}, near AS (SELECT * FROM s WHERE step > 200 AND step <= 900), base AS (SELECT arm, median(CASE WHEN step <= 500 THEN grad END) AS bg, median(CASE WHEN step <= 500 THEN loss END) AS bl, max(CASE WHEN step > 500 THEN grad END) AS pg, max(CASE WHEN step > 500 THEN loss END) AS pl FROM near GROUP BY arm), "
     "rec AS (SELECT arm, min(step) AS calm_at FROM near JOIN base USING (arm) WHERE step >= 600 AND grad <= 2.5 * bg AND loss <= 1.15 * bl GROUP BY arm), "
     "summary AS (SELECT base.*, pg / bg AS gm, pl / bl AS lm, CASE WHEN calm_at IS NOT NULL THEN greatest(calm_at - 600, 0) END AS recovery FROM base LEFT JOIN rec USING (arm))"
 )
@@ -375,13 +557,13 @@ _SUMMARY = (
 
 @query(f"WITH {_SUMMARY} SELECT arm, round(bg, 9) AS baseline_grad, round(bl, 9) AS baseline_loss, round(pg, 9) AS peak_grad, round(pl, 9) AS peak_loss, round(gm, 9) AS grad_multiplier, round(lm, 9) AS loss_multiplier, recovery AS recovery_steps FROM summary")
 def transition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.summarize(_series(spark, sf_dir).where("step > 300 and step <= 900"), 500, 600, 10_000, 300, ["arm"])
+    out = W.summarize(_series(spark, sf_dir), 500, 600, 10_000, 300, ["arm"])
     return out.select("arm", *[F.round(c, 9).alias(c) for c in ("baseline_grad", "baseline_loss", "peak_grad", "peak_loss", "grad_multiplier", "loss_multiplier")], "recovery_steps")
 
 
 @query(f"WITH {_SUMMARY} SELECT arm, coalesce(gm <= 2.5 AND lm <= 1.15 AND recovery <= 500, FALSE) AS passes FROM summary")
 def stability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.summarize(_series(spark, sf_dir).where("step > 300 and step <= 900"), 500, 600, 10_000, 300, ["arm"]).select("arm", "passes")
+    return W.summarize(_series(spark, sf_dir), 500, 600, 10_000, 300, ["arm"]).select("arm", "passes")
 
 
 @query(f"WITH {_SERIES} SELECT step, arm, loss, grad FROM s WHERE step > 300 AND step <= 800")
@@ -394,7 +576,7 @@ def transition_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT round(1 - l.gm / h.gm, 9) AS grad_reduction, round(1 - l.lm / h.lm, 9) AS loss_reduction, (NOT h.passes AND l.passes) OR 1 - l.gm / h.gm >= 0.1 OR 1 - l.lm / h.lm >= 0.1 AS linear_preferred FROM h, l"
 )
 def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.summarize(_series(spark, sf_dir).where("step > 300 and step <= 900"), 500, 600, 10_000, 300, ["arm"])
+    out = W.summarize(_series(spark, sf_dir), 500, 600, 10_000, 300, ["arm"])
     return W.compare(out.where("arm = 0"), out.where("arm = 1"), True).select(F.round("grad_reduction", 9).alias("grad_reduction"), F.round("loss_reduction", 9).alias("loss_reduction"), "linear_preferred")
 
 
@@ -436,6 +618,15 @@ def rolling_abort_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.abort_gates(s, "event_id", "g", 50, ["event_type"]).withColumn("rolling_median", F.round("rolling_median", 9))
 
 
+@query(
+    "WITH s AS (SELECT event_type, event_id, coalesce(abs(value) > 1.15 * 4, FALSE) AS high FROM events), b AS (SELECT *, sum(CASE WHEN high THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS blk FROM s), "
+    "r AS (SELECT *, sum(CASE WHEN high THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, blk ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT event_type, event_id, run >= 5 AS stops FROM r"
+)
+def loss_abort_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "events").select("event_type", "event_id", F.abs("value").alias("loss"), F.lit(4.0).alias("baseline"))
+    return W.loss_gate(s, "event_id", "loss", "baseline", ["event_type"], run=5)
+
+
 # ---- fertility ---------------------------------------------------------------------------------------------------
 
 _WORDS = r"w AS (SELECT lang, regexp_extract_all(text, '\S+') AS w, length(text) AS c FROM documents)"
@@ -495,9 +686,17 @@ def tokenizer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.select_trial(L.search(counts, L.candidate_table(spark), L.VOCABULARY))
 
 
-@query(r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), u AS (SELECT doc_id, i, trim(regexp_replace(x[i], '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)), b AS (SELECT doc_id, i, regexp_replace(line, '^=+\s*|\s*=+$', '', 'g') AS line FROM u) SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') || chr(10) AS extract FROM b GROUP BY doc_id")
+_EXTRACT = "== Title ==\n one \n\n=== Part ===\ntwo\n== see also ==\nthree\n== Notes ==\nfour"
+
+
+@query(
+    rf"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values([(1_000_000_000, _EXTRACT)])}) v(doc_id, text)), l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM d), u AS (SELECT doc_id, i, trim(regexp_replace(x[i], '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)), "
+    rf"h AS (SELECT doc_id, min(i) AS stop FROM u WHERE regexp_matches(line, '(?i)^==\s*({L.APPENDICES})\s*==$') GROUP BY doc_id), b AS (SELECT doc_id, i, regexp_replace(line, '^=+\s*|\s*=+$', '', 'g') AS line FROM u LEFT JOIN h USING (doc_id) WHERE stop IS NULL OR i < stop) "
+    "SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') || chr(10) AS extract FROM b GROUP BY doc_id"
+)
 def extract_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", L.truncate_extract(F.col("text")).alias("extract"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(1_000_000_000, _EXTRACT)], "doc_id long, text string"))
+    return d.select("doc_id", L.truncate_extract(F.col("text")).alias("extract"))
 
 
 # ---- curriculum --------------------------------------------------------------------------------------------------
@@ -533,14 +732,133 @@ def source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.over_cap(table(spark, sf_dir, "documents"), "source", "n_chars", 0.05).withColumn("share", F.round("share", 9))
 
 
-@query(
-    "WITH r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 20 AS sure FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark)), "
-    "g AS (SELECT *, row_number() OVER (PARTITION BY sure ORDER BY n_chars DESC, doc_id) AS place FROM r) SELECT doc_id, lang FROM g WHERE sure OR place <= (SELECT floor(count(*) * 0.4) - count(*) FILTER (sure) FROM r)"
+_KEPT = (
+    f"src AS (SELECT doc_id, text, lang, source FROM documents), clean AS (SELECT *, {_TIDY.format('text')} AS c FROM src), {_HELD}, "
+    "r AS (SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 20 AS sure FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM overlap)), "
+    "g AS (SELECT *, row_number() OVER (PARTITION BY sure ORDER BY n_chars DESC, doc_id) AS place FROM r), kept AS (SELECT doc_id, lang, n_chars FROM g WHERE sure OR place <= (SELECT floor(count(*) * 0.4) - count(*) FILTER (sure) FROM r))"
 )
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    clean = docs.select("doc_id", T.normalize(F.col("text")).alias("c"))
+    never = C.heldout_rows(clean, table(spark, sf_dir, "benchmark"), "doc_id", ["c"])
+    return U.select_best(docs.select("doc_id", "lang", "n_chars"), "doc_id", "n_chars", "lang", 0.4, 20, never)
+
+
+@query(f"WITH {_KEPT} SELECT doc_id, lang FROM kept")
 def selector_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    never = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return U.select_best(docs, "doc_id", "n_chars", "lang", 0.4, 20, never).select("doc_id", "lang")
+    """Documents that hold benchmark passages are no candidates."""
+    return _selected(spark, sf_dir).select("doc_id", "lang")
+
+
+@query(f"WITH {_KEPT}, x AS (SELECT lang, sum(n_chars) / (SELECT sum(n_chars) FROM documents)::DOUBLE AS a FROM documents GROUP BY lang), y AS (SELECT lang, sum(n_chars) / (SELECT sum(n_chars) FROM kept)::DOUBLE AS b FROM kept GROUP BY lang) SELECT lang AS lane, round(coalesce(b, 0) - coalesce(a, 0), 9) AS drift, abs(coalesce(b, 0) - coalesce(a, 0)) <= 0.01 + 1e-12 AS within FROM x FULL JOIN y USING (lang)")
+def selector_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = lambda d: U.label_shares(d, "lang", "n_chars", {"en": 1.0}).select(F.col("label").alias("lane"), "share")
+    return U.lane_drift(share(table(spark, sf_dir, "documents")), share(_selected(spark, sf_dir))).withColumn("drift", F.round("drift", 9))
+
+
+_TIERS = {"verified": 0.40, "unverified": 0.10, "translated": 0.25, "synthetic": 0.25}
+_TIER_OF = {"en": "verified", "fr": "unverified", "de": "translated", "es": "synthetic"}
+
+
+def _case(column: str, names: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" + ("::DOUBLE" if isinstance(v, float) else "") for k, v in names.items()) + " END"
+
+
+def _mapped(column: str, names: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col(column)]
+
+
+@query(f"WITH p AS (SELECT {_case('lang', _TIER_OF)} AS tier, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents GROUP BY 1) SELECT tier, tokens, round(tokens / (SELECT sum(tokens) FROM p)::DOUBLE, 9) AS share, {_case('tier', _TIERS)} AS target FROM p")
+def tier_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(_mapped("lang", _TIER_OF).alias("tier"), F.col("n_chars").alias("tokens"))
+    return U.tier_accounting(rows, _TIERS).withColumn("share", F.round("share", 9))
+
+
+@query("WITH p AS (SELECT source AS teacher, sum(n_chars) AS t FROM documents WHERE lang = 'es' GROUP BY 1) SELECT teacher, round(t / (SELECT sum(t) FROM p)::DOUBLE, 9) AS share, t / (SELECT sum(t) FROM p)::DOUBLE <= 0.25 AS within FROM p")
+def teacher_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("source").alias("teacher"), F.col("n_chars").alias("tokens"))
+    return U.teacher_gate(rows).withColumn("share", F.round("share", 9))
+
+
+@query("SELECT lang AS language, round(sum(CASE WHEN l.doc_id IS NOT NULL THEN n_chars ELSE 0 END) / sum(n_chars)::DOUBLE, 9) AS audited, sum(CASE WHEN l.doc_id IS NOT NULL THEN n_chars ELSE 0 END) / sum(n_chars)::DOUBLE >= 0.05 AS met FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang")
+def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("seen", F.lit(True))
+    rows = table(spark, sf_dir, "documents").join(seen, "doc_id", "left").select(F.col("lang").alias("language"), F.col("n_chars").alias("tokens"), F.col("seen").isNotNull().alias("audited"))
+    return U.audit_gate(rows).withColumn("audited", F.round("audited", 9))
+
+
+_RESERVE = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+
+
+@query(f"WITH k AS (SELECT lang AS component, n_chars, coalesce(quality = 1, FALSE) AS ok FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE source NOT IN ('src3', 'src7')), p AS (SELECT component, CAST(sum(n_chars) AS BIGINT) AS tokens, sum(CASE WHEN ok THEN n_chars ELSE 0 END) AS v FROM k GROUP BY 1) SELECT component, tokens, round(tokens / (SELECT sum(tokens) FROM p)::DOUBLE, 9) AS share, {_case('component', _RESERVE)} AS target, round((SELECT sum(v) / sum(tokens)::DOUBLE FROM p), 9) AS verified_share, (SELECT sum(v) / sum(tokens)::DOUBLE FROM p) >= 0.7 AS verified_enough FROM p")
+def anneal_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(F.col("lang").alias("component"), F.col("n_chars").alias("tokens"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("verified"), F.col("source").alias("status"))
+    out = U.anneal_reserve(rows, _RESERVE, ["src3", "src7"])
+    return out.withColumns({c: F.round(c, 9) for c in ("share", "verified_share")})
+
+
+_DIFFICULTY = {"D0": 0.25, "D1": 0.35, "D2": 0.30, "D3": 0.10}
+_SUBLANES = {"user": 0.3, "assistant": 0.6, "system": 0.1}
+
+
+@query(rf"WITH b AS (SELECT CASE WHEN n <= 100 THEN 'D0' WHEN n <= 400 THEN 'D1' WHEN n <= 1600 THEN 'D2' ELSE 'D3' END AS label, n FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents)), p AS (SELECT label, CAST(sum(n) AS BIGINT) AS weight FROM b GROUP BY 1) SELECT label, weight, round(weight / (SELECT sum(weight) FROM p)::DOUBLE, 9) AS share, {_case('label', _DIFFICULTY)} AS target, round(weight / (SELECT sum(weight) FROM p)::DOUBLE - {_case('label', _DIFFICULTY)}, 9) AS gap FROM p")
+def difficulty_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.size(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)))
+    rows = table(spark, sf_dir, "documents").select(U.band(n, {"D0": 100, "D1": 400, "D2": 1600}, "D3").alias("band"), n.alias("n"))
+    return U.label_shares(rows, "band", "n", _DIFFICULTY).withColumns({c: F.round(c, 9) for c in ("share", "gap")})
+
+
+@query(f"WITH p AS (SELECT role AS label, CAST(sum(length(text)) AS BIGINT) AS weight FROM conversations GROUP BY 1) SELECT label, weight, round(weight / (SELECT sum(weight) FROM p)::DOUBLE, 9) AS share, {_case('label', _SUBLANES)} AS target, round(weight / (SELECT sum(weight) FROM p)::DOUBLE - {_case('label', _SUBLANES)}, 9) AS gap FROM p")
+def agent_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("role", F.length("text").alias("n"))
+    return U.label_shares(rows, "role", "n", _SUBLANES).withColumns({c: F.round(c, 9) for c in ("share", "gap")})
+
+
+@query(r"SELECT count(*) AS traces, count(*) FILTER (n > 8192) AS over, round(count(*) FILTER (n > 8192) / count(*)::DOUBLE, 9) AS share, count(*) FILTER (n > 8192) / count(*)::DOUBLE <= 0.02 AS within FROM (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents)")
+def effort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.long_share(table(spark, sf_dir, "documents"), F.size(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)))).withColumn("share", F.round("share", 9))
+
+
+@query("SELECT source AS lane, round(sum(n_chars) / 100000.0::DOUBLE, 9) AS ratio, sum(n_chars) / 100000.0::DOUBLE >= 1.5 OR source = 'src1' AS admitted FROM documents GROUP BY source")
+def pool_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lanes = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("lane")).agg(F.sum("n_chars").alias("candidates"), F.lit(100_000).alias("required")).withColumn("declared", F.col("lane") == "src1")
+    return U.pool_ratio(lanes).withColumn("ratio", F.round("ratio", 9))
+
+
+_PILLARS = [("coding", 60.0, 61.5), ("agentic", 40.0, 40.4), ("reasoning", 50.0, 49.0), ("indic", 30.0, 30.9), ("long", 20.0, 20.1)]
+
+
+@query(f"SELECT pillar, round(a - b, 9) AS drop, round(least(1.5::DOUBLE, a * 0.03::DOUBLE), 9) AS \"limit\", a - b <= least(1.5::DOUBLE, a * 0.03::DOUBLE) AS within FROM ({_values(_PILLARS)}) v(pillar, x, y), LATERAL (SELECT x::DOUBLE AS a, y::DOUBLE AS b)")
+def regression_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.regressions(spark.createDataFrame(_PILLARS, "pillar string, before double, after double")).withColumns({c: F.round(c, 9) for c in ("drop", "limit")})
+
+
+@query(f"SELECT round(avg(y::DOUBLE / x::DOUBLE - 1), 9) AS mean_gain, count(*) FILTER (y > x) AS better, avg(y::DOUBLE / x::DOUBLE - 1) >= 0.01 AND count(*) FILTER (y > x) >= 4 AS accepted FROM ({_values(_PILLARS)}) v(pillar, x, y)")
+def budget_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.accept_budget(spark.createDataFrame(_PILLARS, "pillar string, before double, after double")).withColumn("mean_gain", F.round("mean_gain", 9))
+
+
+_INVENTORY = [("indic", 96.0, 85.0), ("general", 600.0, 5000.0), ("math", 168.0, 90.5)]
+
+
+@query(f"SELECT lane, greatest(t::DOUBLE - a::DOUBLE, 0) AS missing FROM ({_values(_INVENTORY)}) v(lane, t, a)")
+def inventory_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.shortfall(spark.createDataFrame(_INVENTORY, "lane string, target double, available double"))
+
+
+@query("WITH p AS (SELECT source, sum(n_chars) AS u, sum(n_chars) * (1 + CAST(substr(source, 4) AS BIGINT) % 5) AS d, source IN ('src3', 'src8') AS exempt FROM documents GROUP BY source) SELECT source, round(d / u::DOUBLE, 9) AS passes FROM p WHERE d / u::DOUBLE > CASE WHEN exempt THEN 4 ELSE 2 END")
+def source_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("unique"))
+    per = per.withColumn("drawn", F.col("unique") * (1 + F.substring("source", 4, 9).cast("long") % 5)).withColumn("exempt", F.col("source").isin("src3", "src8"))
+    return U.passes_over_cap(per).withColumn("passes", F.round("passes", 9))
+
+
+@query("WITH l AS (SELECT doc_id, lang, CASE " + " ".join(f"WHEN regexp_matches(text, '{pattern}') THEN '{name}'" for name, pattern in U.LICENCES.items()) + " END AS licence FROM documents) SELECT lang, licence, count(*) AS n FROM l GROUP BY ALL")
+def licences_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang", U.licence_of(F.col("text")).alias("licence")).agg(F.count("*").alias("n"))
 
 
 _LANES = [("web", 700.0, 60.0, 8.0, 768.0, 0.32), ("code", 400.0, 70.0, 10.0, 480.0, 0.20), ("math", 900.0, 150.0, 102.0, 1152.0, 0.48)]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -18,3 +19,25 @@ def attach(spark: SparkSession) -> SparkSession:
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([root, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder: for a narrow table that several jobs read."""
+    folder = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
 
 #: language -> split of the monolingual collection
 MONOLINGUAL_SPLITS = {
@@ -16,29 +16,49 @@ MONOLINGUAL_SPLITS = {
 }
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Rows of a directory of JSON lines with _input_file, _input_line and ordinal; blank lines are passed over.
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of JSON lines files, counted from 1 in each file.
 
-    Lines are numbered within each file in the order of the file, so a file is read by one task; values of the
-    two columns that the data itself has win.
+    Files are read in splits: lines are numbered within a split, and splits by the lines of those before them.
     """
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_path"), "value")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,json}").text(path)
+    lines = texts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "_split").agg(F.count("*").alias("_n")).select("file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy("file", "_split").orderBy("_at"))
+    return lines.withColumn("_within", within).join(splits, ["file", "_split"]).select("file", (F.col("_ahead") + F.col("_within")).alias("line"), "value")
+
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for file, text in frame.itertuples(index=False):
-                rows = [(file, n, line) for n, line in enumerate(text.split("\n"), 1) if line.strip()]
-                for k in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[k : k + 10_000], columns=["file", "line", "value"])
+def read_json_lines(spark: SparkSession, path: str, schema: StructType | str, malformed: str = "fail") -> DataFrame:
+    """Rows of a directory of JSON lines with _input_file, _input_line and ordinal; blank lines are passed over.
 
-    lines = texts.mapInPandas(split, "file string, line long, value string")
+    Values of the two columns that the data itself has win. A line that is no JSON object is an error; with
+    malformed="keep" it is a row of nulls with its text in the column _malformed.
+    """
+    if malformed not in ("fail", "keep"):
+        raise ValueError("malformed lines fail or are kept")
+    lines = _numbered_lines(spark, path).where(F.col("value").rlike("\\S"))
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    parsed = lines.select("file", "line", F.from_json("value", wanted).alias("r"))
+    bad = StructField("_malformed", StringType())
+    parsed = lines.select("file", "line", F.from_json("value", StructType([*wanted.fields, bad]), {"columnNameOfCorruptRecord": "_malformed"}).alias("r"))
     own = {f.name for f in wanted.fields}
     columns = [F.col(f"r.`{f.name}`") for f in wanted.fields if f.name not in ("_input_file", "_input_line")]
     file = F.coalesce(F.col("r._input_file"), F.col("file")) if "_input_file" in own else F.col("file")
     line = F.coalesce(F.col("r._input_line").cast("long"), F.col("line")) if "_input_line" in own else F.col("line")
-    return parsed.select(*columns, file.alias("_input_file"), line.alias("_input_line"), F.struct(F.col("file").alias("path"), F.col("line")).alias("ordinal"))
+    rows = parsed.select(*columns, file.alias("_input_file"), line.alias("_input_line"), F.struct(F.col("file").alias("path"), F.col("line")).alias("ordinal"), F.col("r._malformed").alias("_malformed"))
+    if malformed == "keep":
+        return rows
+    wrong = F.raise_error(F.concat(F.lit("not a JSON object: "), "ordinal.path", F.lit(" line "), F.col("ordinal.line").cast("string")))
+    return rows.withColumn("ordinal", F.when(F.col("_malformed").isNull(), F.col("ordinal")).otherwise(wrong)).drop("_malformed")
+
+
+def numbered(rows: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """rows with number, from 0 in the order of their files' paths and lines: rows are counted within each file, and
+    files, a row each, before one another."""
+    before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(F.col(f"{ordinal}.path").alias("_path")).agg(F.count("*").alias("_n")).select("_path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy(f"{ordinal}.path").orderBy(f"{ordinal}.line")) - 1
+    return rows.withColumn("_within", within).join(files, F.col(f"{ordinal}.path") == F.col("_path")).withColumn("number", F.col("_ahead") + F.col("_within")).drop("_path", "_ahead", "_within")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +72,38 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_input_file", F.col("_metadata.file_path"))
 
 
+def read_local(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of all JSON lines, CSV and Parquet files below a directory, by name of their columns; other files are passed
+    over. A column that files hold in several types takes the type of the schema."""
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    present = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.lower(F.regexp_extract("path", "[.]([^.]+)$", 1)).alias("kind")).distinct()
+    kinds = {r["kind"] for r in present.collect()}  # a row for each kind of file
+    parts = []
+    if kinds & {"jsonl", "json"}:
+        parts.append(read_json_lines(spark, path, wanted).drop("ordinal"))
+    if "csv" in kinds:
+        parts.append(read_csv(spark, path))
+    if kinds & {"parquet", "pq"}:
+        parts.append(read_parquet(spark, path))
+    if not parts:
+        raise ValueError(f"no readable file below {path}")
+    types = {f.name: f.dataType for f in wanted.fields}
+    out = None
+    for part in parts:
+        part = part.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in part.columns])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def snapshot(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """The table at path; fetched and written there first where it is not, or to be refreshed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    if refresh or not there:
+        fetch().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_languages(spark: SparkSession, root: str, languages: list[str], monolingual: bool = False) -> DataFrame:
     """The parts of a local collection, one directory for each language (or its split), tagged _language."""
     unknown = [x for x in languages if monolingual and x not in MONOLINGUAL_SPLITS]
@@ -95,9 +147,26 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows
 
 
+def _sorted(c: Column, kind: DataType) -> Column:
+    """A value with the fields of its structs and the keys of its maps in the order of their names, at every depth."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_sorted(c[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return c
+
+
+def json_of(c: Column, kind: DataType) -> Column:
+    """A struct as compact JSON with sorted keys at every depth, nulls included."""
+    return F.to_json(_sorted(c, kind), {"ignoreNullFields": "false"})
+
+
 def canonical_json(df: DataFrame) -> DataFrame:
     """(value): each row as compact JSON with sorted keys, nulls included."""
-    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(json_of(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema).alias("value"))
 
 
 def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -105,6 +174,25 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     canonical_json(df).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
+def write_document(spark: SparkSession, document: dict, path: str, overwrite: bool = False) -> None:
+    """One indented JSON document with sorted keys: manifests, summaries and comparisons."""
+    text = json.dumps(document, ensure_ascii=False, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path, wholetext=True).where("value <> ''").first()["value"])
+
+
+def write_tokenizer(spark: SparkSession, metrics: dict, vocabulary: DataFrame, path: str, overwrite: bool = False) -> None:
+    """path/metrics (a document), path/tokens_json and path/tokens_tsv for a vocabulary (id, piece, score)."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    write_document(spark, metrics, f"{path}/metrics", overwrite)
+    rows = vocabulary.select("id", F.col("piece").alias("token"), "score").orderBy("id")
+    canonical_json(rows).write.mode(mode).text(f"{path}/tokens_json")
+    rows.select(F.concat_ws("\t", F.col("id").cast("string"), "token", F.format_string("%.8f", "score")).alias("value")).write.mode(mode).text(f"{path}/tokens_tsv")
+
+
 def write_split(decided: DataFrame, path: str, overwrite: bool = False) -> None:
     """Accepted and rejected rows, each once, from one pass: partitioned by their fate."""
     fate = F.when(F.size("reasons") == 0, "accepted").otherwise("rejected")

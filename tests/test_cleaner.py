@@ -1,11 +1,15 @@
 """The cleaner's semantics on hand-written rows."""
 
+import hashlib
+import json
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import curate as C
+from millrace.sources import io
 
 
 def one(spark, text, column):
@@ -24,8 +28,9 @@ def test_normalisation(spark):
 
 
 def test_normalisation_counts(spark):
-    got = one(spark, "é​​‍�\x01", T.normalization_counts(F.col("text")))
-    assert got == {"unicode_nfc_changed": 1, "removed_U+200B": 2, "indic_joiner_preserved": 1, "replacement_character_removed": 1, "other_control_removed": 1}
+    c = T.composed(F.col("text"))
+    got = one(spark, "e\u0301\u200b\u200b\u200d\ufffd\x01", T.operation_counts(c["plain"], c["changed"], "src"))
+    assert got == {"src_unicode_nfc_changed": 1, "src_removed_U+200B": 2, "src_indic_joiner_preserved": 1, "src_replacement_character_removed": 1, "src_other_control_removed": 1}
 
 
 def test_scripts(spark):
@@ -42,9 +47,8 @@ def test_masks_in_order(spark):
     assert mask("see https://x.y/z?a=1 now") == "see [URL] now"
     assert mask("on 2020 01 31 12") == "on [PHONE]"
     assert mask("९८७६५४३२१०") == "[PHONE]"
-    counts = T.mask_counts(F.col("text"))
-    got = spark.createDataFrame([("http://10.0.0.1/a a@b.co",)], "text string").select(*[c.alias(k) for k, c in counts.items()]).first()
-    assert (got.email, got.ipv4, got.url) == (1, 1, 1)
+    got = C.masked_text(spark.createDataFrame([("http://10.0.0.1/a a@b.co",)], "text string"), "text", "out").first()
+    assert (got._n_email, got._n_ipv4, got._n_phone, got._n_url) == (1, 1, 0, 1) and got.out == "[URL] [EMAIL]"
 
 
 def test_keys_and_grams(spark):
@@ -67,7 +71,7 @@ def test_mono_rules(spark):
     assert got[2][0] == ["empty_text", "missing_or_nonstring_text"]
     assert got[3] == ([], ["very_short_text"]) and got[4][0] == ["extreme_text_length", "repeated_character_run"]
     assert got[5] == ([], ["html_markup_present"]) and got[6][0] == ["missing_or_unknown_language"]
-    assert got[7] == ([], ["text_script_mismatch"]) and got[8] == ([], ["structured_pii_masked"])
+    assert got[7] == ([], ["script_mismatch"]) and got[8] == ([], ["structured_pii_masked"])
 
 
 def test_pair_rules(spark):
@@ -103,12 +107,66 @@ def test_heldout(spark):
     held = spark.createDataFrame([(item,), ("  ",), (" ".join(f"v{k}" for k in range(20)),)], "text string")
     rows = spark.createDataFrame([(0, item.upper()), (1, "x " + item), (2, "x " + " ".join(f"v{k}" for k in range(3, 17))), (3, "")], "id long, text string")
     assert {r.id for r in C.heldout_rows(rows, held, "id", ["text"]).collect()} == {0, 2}
+    assert {r.id for r in C.heldout_rows(rows, held, "id", ["text"], broadcast_up_to=0).collect()} == {0, 2}
 
 
 def test_manifest(spark):
     rows = [(0, "good text", "en"), (1, "good  text", "en"), (2, "", "en"), (3, "a@b.co", "fr")]
-    d = C.evaluate_text(spark.createDataFrame(rows, "id long, text string, language string"), C.Limits(registry=T.LATIN))
-    m = C.manifest(C.flag_duplicates(d, "id"), "monolingual", {}, {})
-    assert m["counts"] == {"input_rows": 4, "cleaned_rows": 2, "rejected_rows": 2}
-    assert m["rejection_reasons"] == {"empty_text": 1, "exact_text_duplicate": 1} and m["structured_pii_masks"] == {"email": 1}
-    assert len(m["output"]["content_digest"]) == 64
+    d = C.decide(spark.createDataFrame(rows, "id long, text string, language string"), "id", C.Limits(registry=T.LATIN))
+    m = C.manifest(d, dataset={"id": "mine"})
+    assert m["counts"] == {"input_rows": 4, "cleaned_rows": 2, "rejected_rows": 2} and m["schema_version"] == 3
+    assert m["rejection_reasons"] == {"empty_text": 1, "exact_text_duplicate": 1} and m["structured_pii_masks"] == {"text_email": 1}
+    digests = sorted(r.digest for r in C.accepted(d).collect())
+    assert m["output"]["aggregate_content_sha256"] == hashlib.sha256("".join(digests).encode()).hexdigest()
+    assert m["dataset"] == {"id": "mine", "languages": ["from_rows"], "license_note": None, "text_field": "text", "src_field": None, "tgt_field": None}
+    tree = C.digest_tree(d)
+    assert tree == C.digest_tree(d.repartition(3)) and tree != C.digest_tree(d.where("id > 0").withColumn("digest", F.md5("digest")))
+    assert C.corpus_digest(d.where("false")) == hashlib.sha256().hexdigest()
+
+
+def test_language_columns_in_order(spark):
+    rows = [("hi", "en", "fr"), (None, "EN", "fr"), ("", None, "fr"), (None, None, None)]
+    df = spark.createDataFrame([(k, "some plain words", *r) for k, r in enumerate(rows)], "id long, text string, _language string, language string, lang string")
+    assert [r.resolved for r in C.evaluate_text(df, C.Limits(registry=T.LATIN)).orderBy("id").collect()] == ["unknown", "en", "fr", "unknown"]
+    assert [r.resolved for r in C.evaluate_text(df, C.Limits(registry=T.LATIN), fixed="DE").orderBy("id").collect()] == ["unknown", "en", "fr", "de"]
+
+
+def test_exact_keys_fold_all_of_unicode(spark):
+    df = spark.createDataFrame([(0, "ΣΑΣ ὈΔΥΣΣΕΎΣ", "en"), (1, "σασ ὀδυσσεύσ", "en")], "id long, text string, language string")
+    digests = {r.digest for r in C.evaluate_text(df, C.Limits(registry=T.LATIN, exact_keys=True)).collect()}
+    assert len(digests) == 1
+
+
+def test_strict_languages_reject(spark):
+    df = spark.createDataFrame([(0, "Кириллица вместо латиницы", "en")], "id long, text string, language string")
+    assert C.evaluate_text(df, C.Limits(registry=T.LATIN, strict_language=True)).first().reasons == ["script_mismatch"]
+
+
+def test_cleaner_run(spark, tmp_path):
+    rows = [(0, "Good text here", "en", "web", None), (1, "good  TEXT here", "en", "web", 71), (2, None, "en", "web", 72), (3, "mail a@b.co caf\u00e9 please", "fr", None, 73)]
+    df = spark.createDataFrame(rows, "n long, text string, language string, data_source string, idx long")
+    held = spark.createDataFrame([("nothing like it",)], "text string")
+    m = C.run_cleaner(df, "n", str(tmp_path / "a"), C.Limits(registry=T.LATIN), heldout=held)
+    assert m["counts"] == {"input_rows": 4, "cleaned_rows": 2, "rejected_rows": 2} and m["cleaner"]["decontamination"].startswith("13-word")
+    kept = sorted(r.value for r in spark.read.text(str(tmp_path / "a" / "cleaned")).collect())
+    digest = hashlib.sha256(b"en\0good text here").hexdigest()
+    assert kept[0] == '{"cleaning":{"content_sha256":"' + digest + '","flags":[],"script_ratios":{"expected_script":1.0}},"data_source":"web","idx":null,"language":"en","text":"Good text here"}'
+    assert '"data_source":null,"idx":73,"language":"fr","text":"mail [EMAIL] caf\u00e9 please"' in kept[1]
+    gone = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "a" / "rejected")).collect()]
+    assert {(g["row"]["idx"], tuple(g["reasons"])) for g in gone} == {(71, ("exact_text_duplicate",)), (72, ("empty_text", "missing_or_nonstring_text"))}
+    assert io.read_document(spark, str(tmp_path / "a" / "audit_manifest")) == m
+    with pytest.raises(Exception):
+        C.run_cleaner(df, "n", str(tmp_path / "a"), C.Limits(registry=T.LATIN))
+    bare = C.run_cleaner(df.drop("idx", "data_source"), "n", str(tmp_path / "b"), C.Limits(registry=T.LATIN), limit=2)
+    assert bare["counts"] == {"input_rows": 2, "cleaned_rows": 1, "rejected_rows": 1}
+    assert '"idx":0' in spark.read.text(str(tmp_path / "b" / "cleaned")).first().value
+
+
+def test_cleaner_run_over_pairs(spark, tmp_path):
+    rows = [(0, "Hello my friend", "Hola mi amigo", "es", 0.9), (1, "hello MY friend", "Otra cosa distinta", "es", 0.8), (2, "Hello my friend", "hola mi amigo", "es", 0.9), (3, "low score pair", "par de baja nota", "es", 0.1)]
+    df = spark.createDataFrame(rows, "n long, src string, tgt string, language string, score double")
+    m = C.run_cleaner(df, "n", str(tmp_path / "p"), C.Limits(registry=T.LATIN), pairs=True, score="score")
+    assert m["mode"] == "bilingual_pair" and m["cleaner"]["semantic_filter"] == "score >= 0.7" and m["dataset"]["tgt_field"] == "tgt"
+    assert m["rejection_reasons"] == {"exact_pair_duplicate": 1, "low_semantic_alignment_score": 1} and m["review_flags"] == {"source_has_multiple_targets": 1}
+    kept = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "p" / "cleaned")).collect()]
+    assert {k["idx"] for k in kept} == {0, 1} and all(set(k["cleaning"]) == {"flags", "pair_sha256", "script_ratios", "semantic_score"} for k in kept)
