@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_retrieval_packing": op10_retrieval_packing,
 }
 
-ORACLES: dict[str, str] = {"op2_hilbert_shards": hilbert.oracle(), "hilbert_cut_runs": hilbert.oracle(target_chars=20_000), "op4_jaccard_join": jaccard.oracle()}
+ORACLES: dict[str, str] = {"op2_hilbert_shards": hilbert.oracle(), "hilbert_cut_runs": hilbert.oracle(target_chars=20_000), "op4_jaccard_join": jaccard.oracle(), "op9_suffix_repeats": suffixes.oracle()}

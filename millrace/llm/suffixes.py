@@ -6,6 +6,9 @@ only are dropped. Each remaining anchor is sent, with the words around it, to th
 the suffixes whose first LENGTH words it is the anchor of are sorted there: each suffix in one place. The suffix sort is a
 mergesort whose comparisons find the common extension of two suffixes by binary search on prefix
 polynomial hashes; neighbours with a common extension of LENGTH words are compared word by word.
+
+An anchor of more than CROWD occurrences is no shard: its suffixes are grouped over all tasks by a 128-bit
+hash of their first LENGTH words, which finds the same passages.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.store import broadcast_if_small, stash
-from millrace.llm.tokens import U, grams, mix, tokenize
+from millrace.llm.tokens import FOLD, U, WORD, Words, grams, mix, tokenize
 
 LENGTH = 50
+CROWD = 1_000
 _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -149,46 +153,55 @@ def _prepare(length: int, gram: int):
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the (anchor, doc_id, at) of a partition, those whose anchor is in two documents at least."""
-    held = [[np.asarray(c) for c in b.columns] for b in batches]
-    if not held:
-        return
-    anchor, doc, at = (np.concatenate(c) for c in zip(*held))
-    held.clear()
-    order = np.argsort(anchor)
-    same = anchor[order][1:] == anchor[order][:-1]
-    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    anchor, doc, at = anchor[order], doc[order], at[order]
-    if not len(anchor):
-        return
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    keep = np.repeat(several, np.diff(np.append(first, len(anchor))))
-    for i in range(0, int(keep.sum()), 100_000):
-        some = np.flatnonzero(keep)[i : i + 100_000]
-        yield pa.record_batch([pa.array(doc[some]), pa.array(at[some])], ["doc_id", "at"])
+def _anchored(words: Words, length: int, gram: int, lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per document with anchors in the list: its number, whether each of its anchors is in the list, their places, the
+    first and last window of each, their hashes, and the number of characters up to each byte."""
+    g, at = grams(words, gram)
+    first = np.searchsorted(at, words.ptr[:-1])
+    for d in np.flatnonzero(words.counts() >= length).tolist():
+        if not lists[words.row + d].is_valid:
+            continue
+        a, b = int(words.ptr[d]), int(words.ptr[d + 1])
+        owner = winnow(g[first[d] : first[d] + b - a - gram + 1], length - gram + 1)
+        # the windows of an anchor are consecutive
+        places, lo = np.unique(owner, return_index=True)
+        hi = np.append(lo[1:], len(owner)) - 1
+        shared = np.isin(places, np.asarray(lists[words.row + d].values))
+        chars = np.cumsum((words.data[words.docs[d] : words.docs[d + 1]] & 0xC0) != 0x80)
+        yield d, shared, places, lo, hi, g[first[d] + places].view(np.int64), chars
+
+
+def _windows(length: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each suffix of a crowded anchor, two hashes of its first words, and where they stand."""
+        for batch in batches:
+            for words in tokenize(batch.column(1)):
+                sums = [SuffixSort(h, length) for h in (words.hash, mix(words.hash ^ U(0x9FB21C651E98DF25)))]
+                docs, rows = [], []
+                for d, shared, _, lo, hi, _, chars in _anchored(words, length, gram, batch.column(2)):
+                    spans = hi[shared] - lo[shared] + 1
+                    if not len(spans):
+                        continue
+                    start = int(words.ptr[d]) + np.repeat(lo[shared] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+                    before = words.docs[d]
+                    size = np.full(len(start), length)
+                    rows.append([*(mix(s.hash(start, size)).view(np.int64) for s in sums), chars[words.start[start] - before] - 1, chars[words.end[start + length - 1] - before - 1]])
+                    docs.append(np.full(len(start), words.row + d))
+                if rows:
+                    h, h2, start, end = (np.concatenate(c) for c in zip(*rows))
+                    yield pa.record_batch([pa.array(h), pa.array(h2), batch.column(0).take(pa.array(np.concatenate(docs))), pa.array(start), pa.array(end)], ["h", "h2", "doc_id", "start", "end"])
+
+    return run
 
 
 def _contexts(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each shared anchor of a text, the words that the suffixes it is the anchor of reach."""
         for batch in batches:
-            lists = batch.column(2)
             for words in tokenize(batch.column(1)):
                 rows = []
-                g, at = grams(words, gram)
-                first = np.searchsorted(at, words.ptr[:-1])
-                for d in np.flatnonzero(words.counts() >= length).tolist():
-                    a, b = int(words.ptr[d]), int(words.ptr[d + 1])
-                    owner = winnow(g[first[d] : first[d] + b - a - gram + 1], length - gram + 1)
-                    # the windows of an anchor are consecutive
-                    places, lo = np.unique(owner, return_index=True)
-                    hi = np.append(lo[1:], len(owner)) - 1
-                    shared = np.isin(places, np.asarray(lists[words.row + d].values))
-                    lo_byte = int(words.docs[d])
-                    chars = np.cumsum((words.data[lo_byte : words.docs[d + 1]] & 0xC0) != 0x80)
-                    hashes = g[first[d] + places].view(np.int64)
+                for d, shared, places, lo, hi, hashes, chars in _anchored(words, length, gram, batch.column(2)):
+                    a, lo_byte = int(words.ptr[d]), int(words.docs[d])
                     for k in np.flatnonzero(shared).tolist():
                         x, y = int(words.start[a + lo[k]]), int(words.end[a + hi[k] + length - 1])
                         rows.append((int(hashes[k]), words.row + d, int(places[k] - lo[k]), int(places[k] - hi[k]), int(chars[x - lo_byte]) - 1, words.data[x:y].tobytes().decode()))
@@ -291,13 +304,20 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     member = stash(member, "members")
     firsts = member.where("doc_id = _first").select("doc_id", "text_key")
     spread = prepared.join(firsts, ["doc_id", "text_key"], "left_semi").select("doc_id", F.explode(F.arrays_zip("anchor", "at")).alias("_a")).select(F.col("_a.anchor").alias("anchor"), "doc_id", F.col("_a.at").alias("at"))
-    shared = spread.repartition("anchor").mapInArrow(_shared_anchors, "doc_id long, at long")
-    wanted = stash(shared.groupBy("doc_id").agg(F.collect_set("at").alias("_at")), "shared")
+    # anchors of two documents at least; counted before they are shuffled
+    several = spread.groupBy("anchor").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
+    anchors = stash(several.select("anchor", (F.col("_n") > CROWD).alias("_crowd")), "shared-anchors")
+    shared = spread.join(broadcast_if_small(anchors), "anchor")
+    wanted = stash(shared.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("_crowd"), F.col("at"))).alias("_at"), F.collect_set(F.when(F.col("_crowd"), F.col("at"))).alias("_crowded")), "shared")
     texts = docs.join(broadcast_if_small(wanted), "doc_id")
-    contexts = texts.select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, most long, least long, base long, context string")
+    contexts = texts.where(F.size("_at") > 0).select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, most long, least long, base long, context string")
     found = contexts.repartition("anchor").mapInArrow(_sort_shard(length, gram), "doc_id long, start long, end long")
     # what the first of equal texts repeats, and the whole of them, holds for all
     others = member.where("doc_id <> _first").select("_first", F.col("doc_id").alias("_copy"))
+    if anchors.where("_crowd").limit(1).count():
+        windows = stash(texts.where(F.size("_crowded") > 0).select("doc_id", "text", "_crowded").mapInArrow(_windows(length, gram), "h long, h2 long, doc_id long, start long, end long"), "windows")
+        again = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo <> _hi").select("h", "h2")
+        found = found.unionByName(windows.join(again, ["h", "h2"], "left_semi").select("doc_id", "start", "end"))
     found = stash(found, "found")
     copied = found.join(others, found["doc_id"] == others["_first"]).select(F.col("_copy").alias("doc_id"), "start", "end")
     whole = member.where("_first <> _last").select("doc_id", F.col("begin").alias("start"), "end")
@@ -306,3 +326,24 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ahead = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("_new", F.when(F.col("start") <= ahead, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
+
+
+def oracle(length: int = LENGTH) -> str:
+    """DuckDB SQL for `repeated_passages` over documents: all windows of so many words, those of two documents, islands."""
+    capitals = "".join(map(chr, FOLD))
+    inside = WORD.pattern[:-1]
+    outside = inside.replace("[", "[^", 1)
+    return f"""
+WITH t AS (SELECT DISTINCT doc_id, translate(text, '{capitals}', '{capitals.translate(FOLD)}') AS f FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT doc_id, regexp_extract_all(f, '{inside}+') AS w, regexp_extract_all(f, '{outside}+') AS s, regexp_matches(f, '^{inside}') AS at_once FROM t),
+l AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: length(x))) AS n,
+    unnest(list_resize(list_transform(CASE WHEN at_once THEN list_prepend('', s) ELSE s END, lambda x: length(x)), len(w))) AS gap
+  FROM a WHERE len(w) >= {length}),
+p AS (SELECT doc_id, i, n, sum(gap) OVER x + sum(n) OVER x - n AS start FROM l WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {length - 1}), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {length - 2})) AS i FROM a WHERE len(w) >= {length})),
+many AS (SELECT g FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+h AS (SELECT g.doc_id, x.start, y.start + y.n AS stop FROM g JOIN many USING (g) JOIN p x ON x.doc_id = g.doc_id AND x.i = g.i JOIN p y ON y.doc_id = g.doc_id AND y.i = g.i + {length - 1}),
+o AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end" FROM q GROUP BY doc_id, island"""
