@@ -121,12 +121,13 @@ class Network:
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the texts, each padded to whole cells past its last window, and the first cell of each."""
-    cells = [max(1, -(-len(t) // HOP)) for t in texts]
+    """Codes of the texts and the first cell of each. Each fills whole cells behind WIDTH codes of padding, so that the
+    last windows of the text before it read none of its bytes."""
+    cells = [-(-(WIDTH + len(t)) // HOP) for t in texts]
     first = np.concatenate(([0], np.cumsum(cells)))
     out = np.full(int(first[-1]) * HOP, 256, np.int16)
     for t, c in zip(texts, first):
-        out[c * HOP : c * HOP + len(t)] = np.frombuffer(t, np.uint8)
+        out[c * HOP + WIDTH : c * HOP + WIDTH + len(t)] = np.frombuffer(t, np.uint8)
     return out, first
 
 
@@ -152,16 +153,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: in
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network | None:
     """A network trained on at most per_class labelled documents of each class, chosen by a hash of doc_id.
 
-    None where one of the two classes has no document with a text. Null ids and labels are left out.
+    None where one of the two classes has no document with a text. Null ids and labels are left out, and
+    documents that are labelled both good and bad; a label that is repeated counts once. Of the rows that repeat a
+    doc_id the text that comes first in order is taken.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     share = {x["quality"]: x["n"] for x in known.groupBy("quality").agg(F.count("*").alias("n")).toArrow().to_pylist()}
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).toArrow() for q in (0, 1)]
     table = pa.concat_tables(picked)
     rows = spark.createDataFrame(table.to_pandas() if table.num_rows else [], "doc_id long, quality int")
     # no more than 2 * per_class rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("length(text) > 0").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("length(text) > 0").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
     label = np.array(texts["quality"].to_pylist(), np.float32)
     if not (0 in label and 1 in label):
         return None
@@ -207,7 +210,11 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: Network | None, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of docs, with all their columns, whose quality is at least keep_from; decided in one pass."""
+    """The rows of docs, with all their columns, whose quality is at least keep_from; decided in one pass.
+
+    Null and empty texts have quality 0 and go. Null doc_ids and repeated rows are decided by their text, and without
+    a network every text stays.
+    """
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
