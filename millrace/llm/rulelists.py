@@ -146,15 +146,17 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 11) -> list[Rul
 def fit_rules(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[Rule]:
     """Rules learned from at most per_class labelled documents of each class, chosen by a hash of doc_id.
 
-    Null ids and labels are left out. Without documents of both classes there are no rules.
+    Null ids and labels are left out, and documents that are labelled both good and bad; a label that is repeated
+    counts once. Of the rows that repeat a doc_id the text that comes first in order is taken. Without documents of
+    both classes there are no rules.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     picked = pa.concat_tables([known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).toArrow() for q in (0, 1)])
     rows = spark.createDataFrame(picked.to_pandas() if picked.num_rows else [], "doc_id long, quality int")
     # no more than 2 * per_class rows
-    sample = statistics(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id", "left_semi")).join(F.broadcast(rows), "doc_id").toArrow()
-    sample = sample.sort_by([("doc_id", "ascending"), *[(s, "ascending") for s in STATISTICS]])
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = statistics(texts).join(F.broadcast(rows), "doc_id").toArrow().sort_by("doc_id")
     bad = np.asarray(sample["quality"]) == 0
     if not bad.any() or bad.all():
         return []
