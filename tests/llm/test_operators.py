@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import unicodedata
 from collections import defaultdict
 from math import log2, log10
 
@@ -42,7 +43,7 @@ def frame(spark, rows, extra=False):
     data = [(i, t, None if i == 7 else "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in rows]
     df = spark.createDataFrame(data, SCHEMA)
     if extra:  # names that operators use themselves
-        for name in ("shard", "hilbert", "a", "b", "_key", "_doc", "quality", "set_key", "rule"):
+        for name in ("shard", "hilbert", "a", "b", "_key", "_doc", "quality", "set_key", "rule", "_b0", "_v0", "_parts", "_from", "_bad", "_gone", "_of", "_hashes", "_w", "_t", "_first", "_group", "h", "seed", "n"):
             df = df.selectExpr("*", f"'own' as {name}")
     return df
 
@@ -200,7 +201,9 @@ def test_contamination_finds_reordered_passages(spark, rows):
     assert left.count() == len(some) - 2
 
 
-def test_repeats_are_brute_force(spark, rows):
+@pytest.mark.parametrize("crowd", [1000, 2])
+def test_repeats_are_brute_force(spark, rows, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
     shared = prose(77, 70)
     some = rows + [(600, prose(1000, 40) + " " + shared + " tail é"), (601, "é " + shared.upper() + " " + prose(1001, 20)), (602, " ".join(["same"] * 200)), (603, " ".join(["same"] * 180))]
     found, seen = {}, defaultdict(set)
@@ -422,6 +425,37 @@ def test_every_disguise_passes_the_filter(spark):
     assert found(spark, DISGUISES) == [deobfuscate.detect(t) for t in DISGUISES]
 
 
+def test_random_disguises_are_found(spark):
+    r = random.Random(9)
+    alike = {"a": "аɑ", "e": "е", "o": "оο", "i": "іı", "c": "с", "p": "рρ", "x": "х"}
+    spelled = dict(zip("0123456789", "zero one two three four five six seven eight nine".split()))
+
+    def strange(word):
+        return "".join(r.choice(alike[c]) if c in alike and r.random() < 0.4 else c + ("\u200b" if r.random() < 0.15 else "") for c in word)
+
+    texts, want = [], []
+    for _ in range(120):
+        before = " ".join(r.choice(["plain", "words", "stand", "here", "naïve"]) for _ in range(r.randint(1, 6))) + ": "
+        if r.random() < 0.5:
+            name, host = r.choice(["jane", "pope", "cox"]), r.choice(["example", "site"])
+            at, dot = r.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "(.)"), (" at ", " dot ")])
+            value, written = f"{name}@{host}.com", f"{strange(name)}{at}{strange(host)}{dot}com"
+        else:
+            value = "".join(r.choice("23456789") for _ in range(10))
+            written = r.choice([" ", "\u00a0"]).join(strange(spelled[d]) for d in value)
+        texts.append(before + written + "; end")
+        want.append((value, written))
+    for text, spans, (value, written) in zip(texts, found(spark, texts), want):
+        assert [(v, text[a:b].strip(" \u200b")) for _, a, b, v in spans] == [(value, written.strip("\u200b"))], text
+
+
+def test_long_texts_are_searched_quickly():
+    began = time.perf_counter()
+    for text in ("one " * 250_000, "a@" * 400_000, "1" * 1_000_000, "1 " * 500_000, "a at b dot " * 90_000, "[at]" * 250_000, "a." * 500_000 + " at x dot y", "x" * 1_000_000 + " at y dot com"):
+        deobfuscate.detect(text)
+    assert time.perf_counter() - began < 60
+
+
 def test_combined_disguises_are_found(spark):
     plain = "call five five five one two three four five six seven ok"
     texts = [plain.translate(str.maketrans("eio", "еіо")), plain.replace("fi", "f\u200bi").replace("ne", "n\u200be"), plain.replace(" ", "\u00a0"), "pay four 1 " + "one 1 " * 7, "write to jоhn [аt] exаmple [dоt] com"]
@@ -477,7 +511,7 @@ def test_templates(spark):
     nav = "<nav class='m'><ul><li>Home page</li><li>About us</li></ul></nav>"
     pages = [(k, "http://Site.org/p", f"<html><body>{nav}<p>Own words {k}</p><footer>Fine print</footer></body></html>") for k in range(6)]
     pages += [(10, "http://other.org", f"<body>{nav}</body>"), (11, None, f"<body>{nav}</body>"), (12, "http://site.org/x", None), (13, "http://site.org/y", ""), (14, "http://site.org:80/z", "<p>open <b>tags"), (0, "http://site.org/p", pages[0][2])]
-    df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, removed string")
+    df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, removed string").selectExpr("*", *[f"'own' as {c}" for c in ("_of", "_hashes", "_host", "_hash", "_pages")])
     for limit in (1000, 0):  # broadcast, then joined
         got = {(r.page_id, r.url): r for r in templates.remove_templates(df, 5, 0.5, limit).collect()}
         assert got[1, "http://Site.org/p"].html == "<html><body><p>Own words 1</p></body></html>" and got[1, "http://Site.org/p"].removed == 2
@@ -577,6 +611,26 @@ def test_network_gradients_and_accuracy():
     assert ((p[:-2] >= 0.5) == (z == 1)).mean() > 0.95 and p[-1] == p[-2] == 0
 
 
+def test_network_is_brute_force():
+    r = np.random.default_rng(5)
+    net = bytecnn.Network.fresh(4)
+    texts = [bytes(r.integers(32, 127, n).astype(np.uint8)) for n in (1, 7, 128, 129, 300, 700)]
+    got = bytecnn.score_column(net, pa.array([t.decode() for t in texts]))
+    for text, p in zip(texts, got):
+        cells = -(-(len(text) + bytecnn.WIDTH) // bytecnn.HOP)
+        codes = [*[256] * bytecnn.WIDTH, *text, *[256] * (cells * bytecnn.HOP - len(text))]
+        top = []
+        for c in range(cells):
+            best = np.full(bytecnn.FILTERS, -np.inf)
+            for i in range(c * bytecnn.HOP, (c + 1) * bytecnn.HOP, bytecnn.STRIDE):
+                best = np.maximum(best, sum(net.embed[codes[i + k]].astype(float) @ net.filters[k] for k in range(bytecnn.WIDTH)))
+            top.append(best)
+        chunks = [np.maximum(top[c], top[min(c + 1, cells - 1)]) for c in range(cells)]
+        hidden = np.array([np.maximum(np.maximum(x + net.bias, 0) @ net.dense + net.dense_bias, 0) for x in chunks])
+        logit = np.concatenate((hidden.max(0), hidden.mean(0))) @ net.out + net.out_bias[0]
+        assert abs(p - 1 / (1 + np.exp(-logit))) < 1e-4
+
+
 def test_network_reads_whole_texts():
     net = bytecnn.Network.fresh(2)
     text = prose(1, 60_000)
@@ -585,14 +639,19 @@ def test_network_reads_whole_texts():
     assert one != bytecnn.score_column(net, pa.array([text[:-4000]]))[0]
 
 
-def test_quality_stage_keeps_columns(spark):
+def test_quality_stage_keeps_columns(spark, monkeypatch):
     texts, y = labelled(90, 9)
     docs = frame(spark, list(enumerate(texts)), True)
-    labels = spark.createDataFrame([(k, int(v), 0) for k, v in enumerate(y)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, int(v), 0) for k, v in enumerate(y)] + [(None, 1, 0), (3, None, 0), (4, int(y[4]), 1), (5, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in docs.collect()} == set(range(90))
+    taught = []
+    original = bytecnn.train
+    monkeypatch.setattr(bytecnn, "train", lambda texts, labels: taught.append(len(texts)) or original(texts, labels))
     kept = bytecnn.keep_good(docs, bytecnn.fit_quality(docs, labels))
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert np.mean([(k in ids) == (v == 1) for k, v in enumerate(y)]) > 0.95
+    assert taught == [89]  # the document that is labelled good and bad teaches nothing
 
 
 def test_decision_list(spark):
@@ -609,4 +668,12 @@ def test_decision_list(spark):
     first = np.zeros(len(table), int)
     for k in range(len(rules), 0, -1):
         first[rules[k - 1].holds(x)] = k
-    assert sorted(first) == sorted(r.rule for r in got)
+    want = dict(zip(table["doc_id"].fillna(-1).astype(int), first))
+    assert {(-1 if r.doc_id is None else r.doc_id): r.rule for r in got} == want
+    assert all(r.reason == (str(rules[r.rule - 1]) if r.rule else None) for r in got)
+    # the statistics by plain Python
+    for i, text in [*enumerate(texts[:40]), (999, "")]:
+        row, words = table[table.doc_id == i].iloc[0], text.split()
+        n = len(text)
+        assert (row.n_chars, row.n_words) == (n, len(words)) and row.capitals == (sum(unicodedata.category(c) == "Lu" for c in text) / n if n else 0)
+        assert row.distinct_words == (len({w.lower() for w in words}) / len(words) if words else 0) and row.exclaims == (text.count("!") / n if n else 0)

@@ -63,3 +63,23 @@ def test_stages(spark, tmp_path):
             packed[i] = packed.get(i, 0) + b - a
     assert packed == words
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    attach(spark)
+    names = ["_bad", "_gone", "_b0", "_parts", "_of", "a", "b", "rule", "seed"]
+    schema = SCHEMA + "".join(f", {c} string" for c in names)
+    texts, y = labelled(60, 5)
+    spark.createDataFrame([(k, int(v), 0) for k, v in enumerate(y)] + [(1, 0, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "x"), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[1]), (None, None), (2, texts[2]), (2, texts[4]), (70, ""), (71, "word " * 40_000), (72, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, *["own"] * len(names)) for i, t in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.collect() is not None
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and {70, 71, 72} <= {r.doc_id for r in kept}
+    packed = corpus_pipeline.packing_windows(spark, docs, str(tmp_path)).collect()
+    assert None not in {i for r in packed for i in r.doc_ids} and not {70, 72} & {i for r in packed for i in r.doc_ids}
