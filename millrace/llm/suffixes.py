@@ -25,7 +25,10 @@ from millrace.llm.store import broadcast_if_small, stash
 from millrace.llm.tokens import FOLD, U, WORD, Words, grams, mix, tokenize
 
 LENGTH = 50
-CROWD = 1_000
+#: Occurrences of an anchor whose contexts, of half a kilobyte each, are sorted in one task.
+CROWD = 20_000
+#: Beyond this size of the table of shared anchors the texts are shuffled to it, once.
+BROADCAST_BYTES = 64 << 20
 _P = 0xD6E8FEB86659FD93
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -309,7 +312,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = stash(several.select("anchor", (F.col("_n") > CROWD).alias("_crowd")), "shared-anchors")
     shared = spread.join(broadcast_if_small(anchors), "anchor")
     wanted = stash(shared.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("_crowd"), F.col("at"))).alias("_at"), F.collect_set(F.when(F.col("_crowd"), F.col("at"))).alias("_crowded")), "shared")
-    texts = docs.join(broadcast_if_small(wanted), "doc_id")
+    texts = docs.join(broadcast_if_small(wanted, BROADCAST_BYTES), "doc_id")
     contexts = texts.where(F.size("_at") > 0).select("doc_id", "text", "_at").mapInArrow(_contexts(length, gram), "anchor long, doc_id long, most long, least long, base long, context string")
     found = contexts.repartition("anchor").mapInArrow(_sort_shard(length, gram), "doc_id long, start long, end long")
     # what the first of equal texts repeats, and the whole of them, holds for all

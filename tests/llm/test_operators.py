@@ -201,7 +201,7 @@ def test_contamination_finds_reordered_passages(spark, rows):
     assert left.count() == len(some) - 2
 
 
-@pytest.mark.parametrize("crowd", [1000, 2])
+@pytest.mark.parametrize("crowd", [20_000, 2])
 def test_repeats_are_brute_force(spark, rows, monkeypatch, crowd):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
     shared = prose(77, 70)
