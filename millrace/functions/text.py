@@ -47,6 +47,11 @@ def unescape_nfc(text: pd.Series) -> pd.Series:
     return pd.Series(plain, dtype=object)
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text], dtype=object)
+
+
 @F.pandas_udf(StructType([StructField("plain", StringType()), StructField("changed", LongType())]))
 def composed(text: pd.Series) -> pd.DataFrame:
     """Entities resolved once, then composed; changed is 1 where composition changed what the entities left."""

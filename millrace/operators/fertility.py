@@ -19,9 +19,12 @@ VOCABULARY, SPECIAL_PIECES = 10_000, 4
 APPENDICES = "See also|Notes|References|External links|इन्हें भी देखें|सन्दर्भ|बाहरी कड़ियाँ|हेही पहा|संदर्भ|बाह्य दुवे|ఇవి కూడా చూడండి|మూలాలు|బయటి లింకులు"
 
 
-def truncate_extract(text: Column) -> Column:
-    """The lines of an extract before its first appendix heading, without heading fences and empty lines."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\r|\\n"), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
+def truncate_extract(text: Column, composed: bool = False) -> Column:
+    """The lines of an extract, composed, before its first appendix heading, without heading fences and empty lines.
+
+    composed: the text is known to be composed, and no Python is needed.
+    """
+    lines = F.transform(F.split(F.coalesce(text if composed else T.nfc(text), F.lit("")), "\\r\\n|\\r|\\n"), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", ""))
     stop = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(f"(?iu)^==\\s*({APPENDICES})\\s*==$"), i)), lambda i: i.isNotNull())
     kept = F.when(F.size(stop) > 0, F.slice(lines, F.lit(1), F.coalesce(F.array_min(stop), F.lit(0)))).otherwise(lines)
     bare = F.filter(F.transform(kept, lambda x: F.regexp_replace(x, "^=+\\s*|\\s*=+$", "")), lambda x: x != "")

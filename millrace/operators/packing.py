@@ -112,8 +112,10 @@ def interleave(docs: DataFrame, split: str, key: str, seed: int = 0) -> DataFram
     return ranked.withColumn("place", (earlier + ahead + 1).cast("long")).drop("_round")
 
 
-def shuffled(docs: DataFrame, key: str, seed: int) -> DataFrame:
-    """docs in a full, repeatable shuffle by key."""
+def shuffled(docs: DataFrame, key: str, seed: int, label: str | None = None) -> DataFrame:
+    """docs in a full, repeatable shuffle by key; with a column label where one is given, as a stream of one language has."""
+    if label is not None:
+        docs = docs.withColumn("label", F.lit(label))
     return docs.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
 
 

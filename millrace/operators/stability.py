@@ -79,6 +79,12 @@ def config_mismatches(hard: DataFrame, linear: DataFrame, keys: tuple[str, ...]
     return joined.where(~F.col("_a").eqNullSafe(F.col("_b"))).select("key")
 
 
+def whole_batches(sequences: DataFrame, number: str, batch: int, most: int | None = None) -> DataFrame:
+    """The first sequences, numbered from 0, that make up whole batches: of all, or of the first `most`."""
+    n = sequences.count()
+    return sequences.where(F.col(number) < min(n, n if most is None else most) // batch * batch)
+
+
 def weighted_loss(records: DataFrame, loss: str, weight: str, by: list[str]) -> DataFrame:
     """Mean loss weighted by tokens, and its perplexity with the loss capped at 20."""
     out = records.groupBy(*by).agg((F.sum(F.col(loss) * F.col(weight)) / F.greatest(F.sum(weight), F.lit(1))).alias("loss"))

@@ -686,11 +686,11 @@ def tokenizer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.select_trial(L.search(counts, L.candidate_table(spark), L.VOCABULARY))
 
 
-_EXTRACT = "== Title ==\n one \n\n=== Part ===\ntwo\n== see also ==\nthree\n== Notes ==\nfour"
+_EXTRACT = "== Titre\u0301 ==\n one \n\n=== Part ===\ntwo\n== see also ==\nthree\n== Notes ==\nfour"
 
 
 @query(
-    rf"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values([(1_000_000_000, _EXTRACT)])}) v(doc_id, text)), l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM d), u AS (SELECT doc_id, i, trim(regexp_replace(x[i], '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)), "
+    rf"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({_values([(1_000_000_000, _EXTRACT)])}) v(doc_id, text)), l AS (SELECT doc_id, string_split(nfc_normalize(text), chr(10)) AS x FROM d), u AS (SELECT doc_id, i, trim(regexp_replace(x[i], '^\s+|\s+$', '', 'g')) AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM l)), "
     rf"h AS (SELECT doc_id, min(i) AS stop FROM u WHERE regexp_matches(line, '(?i)^==\s*({L.APPENDICES})\s*==$') GROUP BY doc_id), b AS (SELECT doc_id, i, regexp_replace(line, '^=+\s*|\s*=+$', '', 'g') AS line FROM u LEFT JOIN h USING (doc_id) WHERE stop IS NULL OR i < stop) "
     "SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') || chr(10) AS extract FROM b GROUP BY doc_id"
 )

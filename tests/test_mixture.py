@@ -153,6 +153,7 @@ def test_pool_is_prepared(spark, tmp_path):
     assert O.index_of_pools({"x": m})["x"]["train_sequences"] == 4
     assert [r.text for r in P.shuffled(docs, "id", 5).collect()] == [r.text for r in P.shuffled(docs.repartition(3), "id", 5).collect()]
     P.compatible(m, dict(m), 5)
+    assert {r.label for r in P.shuffled(docs, "id", 5, "en").collect()} == {"en"}
 
 
 def series(spark, rows):
@@ -194,12 +195,18 @@ def test_comparison_document(spark):
     assert [r.loss for r in W.training_rows(rows, latest=True).collect()] == [3.0] and W.training_rows(rows).count() == 2
 
 
+def test_whole_batches(spark):
+    rows = spark.range(23)
+    assert W.whole_batches(rows, "id", 5).count() == 20 and W.whole_batches(rows, "id", 5, 9).count() == 5 and W.whole_batches(rows, "id", 50).count() == 0
+
+
 def test_loss_gate(spark):
     rows = spark.createDataFrame([("a", k, 2.0 if 5 <= k < 60 else 1.0) for k in range(80)], "g string, step long, loss double").withColumn("base", F.lit(1.0))
     assert [r.step for r in W.loss_gate(rows, "step", "loss", "base", ["g"]).where("stops").orderBy("step").collect()] == [54, 55, 56, 57, 58, 59]
 
 
 def test_extract(spark):
+    assert spark.createDataFrame([("e\u0301",)], "t string").select(L.truncate_extract(F.col("t")).alias("x")).first().x == "\u00e9\n"
     text = "== Title ==\n one \n\n=== Part ===\ntwo\n== see also ==\nthree"
     got = spark.createDataFrame([(text,), (None,)], "t string").select(L.truncate_extract(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == ["Title\none\nPart\ntwo\n", "\n"]
