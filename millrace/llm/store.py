@@ -1,61 +1,12 @@
-"""Intermediate tables in the shared folder of the cluster, and size-checked broadcasts."""
+"""Size-checked broadcasts and running sums over tables in the shared folder of the cluster."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
-from millrace.session import shared_dir
-
-#: (JVM weak reference to the file index of a stashed table, its path)
-_STASHED: list[tuple] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete the stashed tables that no plan in the JVM can reach any more."""
-    for entry in list(_STASHED):
-        reference, path = entry
-        if reference.get() is None:
-            _STASHED.remove(entry)
-            _delete(spark, path)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage is cut, executors may be lost.
-
-    The table lives for as long as a plan refers to it.
-    """
-    spark = df.sparkSession
-    sweep(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    index = back._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
-    _STASHED.append((spark._jvm.java.lang.ref.WeakReference(index), path))
-    return back
-
-
-@atexit.register
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        for _, path in _STASHED:
-            _delete(spark, path)
-    except Exception:  # the JVM may be gone already
-        pass
-
+from millrace.session import stash
 
 #: Bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 16 << 20

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import curate as C
+from millrace.operators import fertility as L
 from millrace.plans import catalogue
 
 
@@ -40,3 +41,15 @@ def test_only_texts_that_may_change_are_sent_to_python(spark):
     assert all(got[k] == unicodedata.normalize("NFC", html.unescape("x" + t)) for k, t in enumerate(texts))
     plain = spark.createDataFrame([("café “quoted” Привет 中文 가",), ("ascii",)], "text string")
     assert plain.where(T._open(F.col("text")).isNotNull()).count() == 0
+
+
+def test_training_tells_how_many_symbols_words_have():
+    """What encode_word finds of every word, also where pairs come up again after they were merged; no word is read for each merge."""
+    r = random.Random(11)
+    for letters, merges in (("ab", 12), ("abc", 60), ("abcdef", 400)):
+        for _ in range(40):
+            words = sorted({"".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(80)})
+            table = [(["▁", *w], r.choice((0, 1, 1, 2, 9))) for w in words]
+            learned, sizes = L.bpe_train(table, merges)
+            ranks = {p: k for k, p in enumerate(learned)}
+            assert all(n in (None, len(L.encode_word(w, ranks))) for w, n in zip(words, sizes))
