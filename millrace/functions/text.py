@@ -29,6 +29,9 @@ _ZERO_WIDTH = "[" + "".join(f"\\x{{{c}}}" for c in COUNTED) + "]"
 _CONTROL = f"[[\\p{{Cc}}\\p{{Cf}}\\x{{FFFD}}]&&[^\\n\\t\\x{{200C}}\\x{{200D}}]]"
 _OTHER_CONTROL = f"[[\\p{{Cc}}\\p{{Cf}}]&&[^\\n\\t\\x{{200C}}\\x{{200D}}{''.join(f'\\x{{{c}}}' for c in COUNTED)}]]"
 
+#: What operation_counts counts.
+_COUNTED = "[[\\p{Cc}\\p{Cf}\\x{FFFD}]&&[^\\n\\t]]"
+
 _OCTET = "(?:1?\\d{1,2}|2[0-4]\\d|25[0-5])"
 #: kind -> (pattern, mask), in the order in which they are applied: each sees what the one before left
 MASKS = {
@@ -37,6 +40,8 @@ MASKS = {
     "phone": ("(?U)(?<!\\w)\\+{0,1}\\d[() \\d-]{7,}\\d(?!\\w)", "[PHONE]"),
     "url": ("(?U)(?:http|https)://[^'\"<>\\s]+", "[URL]"),
 }
+#: kind -> what any text has that its pattern matches, found in less time
+MAY_HOLD = {"email": "@", "ipv4": "(?U)\\d[.]\\d", "phone": "(?U)\\d[() \\d-]{7,}\\d", "url": "://"}
 REPEATED_RUN = "(?d)(.)\\1{11}"
 MARKUP = "<[^>]{1,120}>"
 PLACEHOLDER = "(?U)\\{\\w*\\}|%\\d*\\$?[A-Za-z]|&[A-Za-z][0-9A-Za-z]+;"
@@ -105,8 +110,9 @@ def casefold_key(text: pd.Series) -> pd.Series:
 def tidy(text: Column) -> Column:
     """What is left of composed text without control characters, with its blanks and lines folded."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), _CONTROL, "")
-    out = F.regexp_replace(out, "[ \\t]+", " ")
-    out = F.regexp_replace(out, " ?\\n ?", "\n")
+    # only what changes is matched: a single blank and a bare line end stay as they are
+    out = F.regexp_replace(out, "\\t[ \\t]*| [ \\t]+", " ")
+    out = F.regexp_replace(out, " \\n ?|\\n ", "\n")
     out = F.regexp_replace(out, "\\n{3,}", "\n\n")
     return F.regexp_replace(out, "(?U)^\\s+|\\s+$", "")
 
@@ -128,7 +134,9 @@ def operation_counts(plain: Column, changed: Column, side: str) -> Column:
         "replacement_character_removed": F.regexp_count(plain, F.lit("\\x{FFFD}")),
         "other_control_removed": F.regexp_count(plain, F.lit(_OTHER_CONTROL)),
     } | {f"removed_U+{c.zfill(4)}": F.regexp_count(plain, F.lit(f"\\x{{{c}}}")) for c in COUNTED}
-    return sparse_map({f"{side}_{k}": c for k, c in counts.items()})
+    # few texts have any of them, and each is a pass over the text
+    some = (changed > 0) | plain.rlike(_COUNTED)
+    return F.when(some, sparse_map({f"{side}_{k}": c for k, c in counts.items()})).otherwise(F.create_map().cast("map<string,bigint>"))
 
 
 def sparse_map(counts: dict[str, Column]) -> Column:
@@ -145,24 +153,39 @@ def script_letters(text: Column, script: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^[\\p{{L}}&&[{SCRIPTS[script]}]]]+", ""))
 
 
-def script_ratio(text: Column, script: str) -> Column:
-    """Share of the letters that belong to the script; 0 where there are none."""
-    total = letters(text)
+def script_ratio(text: Column, script: str, total: Column | None = None) -> Column:
+    """Share of the letters that belong to the script; 0 where there are none. total: the letters, where they are counted."""
+    total = letters(text) if total is None else total
     return F.when(total > 0, script_letters(text, script) / total).otherwise(F.lit(0.0))
 
 
-def expected_ratio(text: Column, language: Column, registry: dict[str, str]) -> Column:
+def expected_ratio(text: Column, language: Column, registry: dict[str, str], total: Column | None = None) -> Column:
     """script_ratio for the script of the row's language, null for languages without one."""
     out = None
     for script in dict.fromkeys(registry.values()):
         test = language.isin([code for code, s in registry.items() if s == script])
-        out = F.when(test, script_ratio(text, script)) if out is None else out.when(test, script_ratio(text, script))
+        out = F.when(test, script_ratio(text, script, total)) if out is None else out.when(test, script_ratio(text, script, total))
     return F.lit(None).cast("double") if out is None else out
 
 
+def masked(text: Column, kind: str) -> Column:
+    """The text with one mask set; most texts have nothing to mask and are only looked at by the quick test."""
+    pattern, mask = MASKS[kind]
+    return F.when(text.rlike(MAY_HOLD[kind]), F.regexp_replace(text, pattern, mask)).otherwise(text)
+
+
+def masks_in(text: Column, kind: str) -> Column:
+    """How often masked() would set the mask."""
+    return F.when(text.rlike(MAY_HOLD[kind]), F.regexp_count(text, F.lit(MASKS[kind][0]))).otherwise(F.lit(0))
+
+
 def mask_pii(text: Column) -> Column:
-    for pattern, mask in MASKS.values():
-        text = F.regexp_replace(text, pattern, mask)
+    def bound(text: Column, kind: str) -> Column:
+        # the lambda binds the text, which masked() names more than once
+        return F.get(F.transform(F.array(text), lambda x: masked(x, kind)), F.lit(0))
+
+    for kind in MASKS:
+        text = bound(text, kind)
     return text
 
 
@@ -170,7 +193,7 @@ def mask_counts(text: Column) -> dict[str, Column]:
     """kind -> number of masks set, each counted on what the earlier kinds left."""
     out = {}
     for kind, (pattern, mask) in MASKS.items():
-        out[kind] = F.regexp_count(text, F.lit(pattern))
+        out[kind] = masks_in(text, kind)
         text = F.regexp_replace(text, pattern, mask)
     return out
 
@@ -179,7 +202,7 @@ def key_of(text: Column, exact: bool = False) -> Column:
     """casefold_key in built-in functions: the same wherever lower case differs from folding by ß alone. exact: the UDF."""
     if exact:
         return casefold_key(text)
-    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(text, "(?U)\\s+", " "), "^ | $", "")), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(text, "(?U) \\s+|[\\s&&[^ ]]\\s*", " "), "^ | $", "")), F.lit("ß"), F.lit("ss"))
 
 
 def text_digest(language: Column, *texts: Column, exact: bool = False) -> Column:
@@ -193,17 +216,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)\\S+"), F.lit(0))
 
 
-def word_grams(text: Column, n: int = 13) -> Column:
-    """Distinct word n-grams of the key; shorter texts have one, all their words; empty ones none."""
+def key_words(text: Column) -> Column:
+    """The words of the key."""
+    return F.filter(F.split(key_of(text), " "), lambda x: x != "")
+
+
+def gram_starts(w: Column, n: int = 13) -> Column:
+    """Where the word n-grams of an array of words begin, from 1: fewer words are one gram, none have none."""
+    return F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))))
+
 
-    def grams(w: Column) -> Column:
-        count = F.greatest(F.size(w) - n + 1, F.lit(1))
-        some = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat_ws(" ", F.slice(w, i, n)))
-        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(some))
+def gram_words(w: Column, at: Column, n: int = 13) -> list[Column]:
+    """The words of the gram that begins at a place from 1, null beyond the last. A slice would copy all words each time."""
+    return [F.get(w, at + (j - 1)) for j in range(n)]
 
+
+def word_grams(text: Column, n: int = 13) -> Column:
+    """Distinct word n-grams of the key; shorter texts have one, all their words; empty ones none."""
+    grams = lambda w: F.array_distinct(F.transform(gram_starts(w, n), lambda i: F.concat_ws(" ", *gram_words(w, i, n))))
     # the lambda binds the words: they are split once for a row, not once for a gram
-    words_of = F.filter(F.split(key_of(text), " "), lambda x: x != "")
-    return F.get(F.transform(F.array(words_of), grams), F.lit(0))
+    return F.get(F.transform(F.array(key_words(text)), grams), F.lit(0))
 
 
 def placeholders(text: Column) -> Column:

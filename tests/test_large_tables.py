@@ -53,3 +53,14 @@ def test_training_tells_how_many_symbols_words_have():
             learned, sizes = L.bpe_train(table, merges)
             ranks = {p: k for k, p in enumerate(learned)}
             assert all(n in (None, len(L.encode_word(w, ranks))) for w, n in zip(words, sizes))
+
+
+def test_grams_of_a_long_text_take_no_square_of_its_words(spark):
+    """A text of 100,000 words, whose grams were each cut from a copy of all words."""
+    import time
+
+    held = spark.createDataFrame([(" ".join(f"v{k}" for k in range(20)),)], "text string")
+    rows = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(100_000)) + " " + " ".join(f"v{k}" for k in range(13))), (1, "v0 v1"), (2, "")], "id long, text string")
+    began = time.time()
+    assert [r.id for r in C.heldout_rows(rows, held, "id", ["text"]).collect()] == [0]
+    assert time.time() - began < 60
