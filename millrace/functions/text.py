@@ -5,12 +5,15 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from html import entities
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 #: Letters of a script as a Java character class. Letters outside every class count as Other.
 SCRIPTS = {
@@ -29,6 +32,9 @@ _ZERO_WIDTH = "[" + "".join(f"\\x{{{c}}}" for c in COUNTED) + "]"
 _CONTROL = f"[[\\p{{Cc}}\\p{{Cf}}\\x{{FFFD}}]&&[^\\n\\t\\x{{200C}}\\x{{200D}}]]"
 _OTHER_CONTROL = f"[[\\p{{Cc}}\\p{{Cf}}]&&[^\\n\\t\\x{{200C}}\\x{{200D}}{''.join(f'\\x{{{c}}}' for c in COUNTED)}]]"
 
+#: A class that has all of _CONTROL, in few ranges.
+_MAY_CONTROL = "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\xAD\\x{600}-\\x{10FFFF}]"
+
 #: What operation_counts counts.
 _COUNTED = "[[\\p{Cc}\\p{Cf}\\x{FFFD}]&&[^\\n\\t]]"
 
@@ -40,8 +46,9 @@ MASKS = {
     "phone": ("(?U)(?<!\\w)\\+{0,1}\\d[() \\d-]{7,}\\d(?!\\w)", "[PHONE]"),
     "url": ("(?U)(?:http|https)://[^'\"<>\\s]+", "[URL]"),
 }
-#: kind -> what any text has that its pattern matches, found in less time
-MAY_HOLD = {"email": "@", "ipv4": "(?U)\\d[.]\\d", "phone": "(?U)\\d[() \\d-]{7,}\\d", "url": "://"}
+#: kind -> what any text has that its pattern matches, found in less time: a part of the text, or a pattern
+MAY_HOLD_PART = {"email": "@", "url": "://"}
+MAY_HOLD = {"ipv4": "(?U)\\d[.]\\d", "phone": "(?U)\\d[() \\d-]{7,}\\d"}
 REPEATED_RUN = "(?d)(.)\\1{11}"
 MARKUP = "<[^>]{1,120}>"
 PLACEHOLDER = "(?U)\\{\\w*\\}|%\\d*\\$?[A-Za-z]|&[A-Za-z][0-9A-Za-z]+;"
@@ -81,9 +88,41 @@ _composed_closed = F.udf(lambda t: _composed(t, True), _RESULT, useArrow=False)
 _nfc = F.udf(lambda t: None if t is None else unicodedata.normalize("NFC", t), StringType(), useArrow=False)
 
 
+#: What every text has that normalize() changes, and every text with a mark or character that operation_counts counts. RE2
+#: takes it in one pass, while each of Java's patterns takes longer by itself. Of what is beyond U+0300 only dashes, quotation
+#: marks and the euro are left out.
+_MAY_CHANGE = (
+    "[&\\x00-\\x09\\x0B-\\x1F\\x7F-\\x9F\\xAD\\x{300}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{20AB}\\x{20AD}-\\x{10FFFF}]"
+    "|  | \\n|\\n |\\n\\n\\n|\\A[ \\n\\xA0]|[ \\n\\xA0]\\z"
+)
+#: What every text has that a mask is set in. Digits newer than RE2's tables are all beyond U+FFFF.
+_ANY_DIGIT = "\\p{Nd}\\x{10000}-\\x{10FFFF}"
+_MAY_MASK = f"@|://|[{_ANY_DIGIT}][.][{_ANY_DIGIT}]|[{_ANY_DIGIT}][() {_ANY_DIGIT}-]{{7,}}[{_ANY_DIGIT}]"
+
+
+@F.arrow_udf(BooleanType())
+def may_change(text: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(text, _MAY_CHANGE)
+
+
+@F.arrow_udf(BooleanType())
+def _may_mask(text: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(text, _MAY_MASK)
+
+
+def may_hold_any(text: Column) -> Column:
+    """The quick test of all masks together. A mask that is set brings none of what it looks for into a text."""
+    return _may_mask(text) | ~F.is_valid_utf8(text)
+
+
+def _stays(text: Column) -> Column:
+    """Whether a text is known to stay as it is; not those with broken bytes, which Java reads as U+FFFD."""
+    return ~may_change(text) & F.is_valid_utf8(text)
+
+
 def _open(text: Column) -> Column:
     """The text where entities or composition may change it, else null: only such texts are sent to Python."""
-    return F.when(text.rlike(_BEYOND) & text.rlike(_OPEN), text)
+    return F.when(may_change(text) & text.rlike(_BEYOND) & text.rlike(_OPEN), text)
 
 
 def composed(text: Column, closed: bool = False) -> Column:
@@ -107,19 +146,35 @@ def casefold_key(text: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else " ".join(t.split()).casefold() for t in text], dtype=object)
 
 
+def bound(text: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a text that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(text), lambda x: f(x)), F.lit(0))
+
+
+def _tidied(text: Column) -> Column:
+    """tidy(), each pattern of which runs only where a search for bytes, or for a class that has all it matches, finds something."""
+    # only what changes is matched: a single blank and a bare line end stay as they are
+    steps = [
+        (lambda x: x.rlike(_MAY_CONTROL), _CONTROL, ""),
+        (lambda x: x.contains("\t") | x.contains("  "), "\\t[ \\t]*| [ \\t]+", " "),
+        (lambda x: x.contains(" \n") | x.contains("\n "), " \\n ?|\\n ", "\n"),
+        (lambda x: x.contains("\n\n\n"), "\\n{3,}", "\n\n"),
+        (lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).rlike("(?U)\\s"), "(?U)^\\s+|\\s+$", ""),
+    ]
+    out = F.coalesce(text, F.lit(""))
+    for test, pattern, by in steps:
+        out = bound(out, lambda x, test=test, pattern=pattern, by=by: F.when(test(x), F.regexp_replace(x, pattern, by)).otherwise(x))
+    return out
+
+
 def tidy(text: Column) -> Column:
     """What is left of composed text without control characters, with its blanks and lines folded."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), _CONTROL, "")
-    # only what changes is matched: a single blank and a bare line end stay as they are
-    out = F.regexp_replace(out, "\\t[ \\t]*| [ \\t]+", " ")
-    out = F.regexp_replace(out, " \\n ?|\\n ", "\n")
-    out = F.regexp_replace(out, "\\n{3,}", "\n\n")
-    return F.regexp_replace(out, "(?U)^\\s+|\\s+$", "")
+    return F.coalesce(F.when(_stays(text), text).otherwise(_tidied(text)), F.lit(""))
 
 
 def normalize(text: Column, composed: bool = False, closed: bool = False) -> Column:
     """Entities, composition, tidying. composed: the text is known to have no entities and to be composed; closed: see unescape."""
-    return tidy(text if composed else unescape_nfc(text, closed))
+    return F.coalesce(F.when(_stays(text), text).otherwise(_tidied(text if composed else unescape_nfc(text, closed))), F.lit(""))
 
 
 def operation_counts(plain: Column, changed: Column, side: str) -> Column:
@@ -135,7 +190,7 @@ def operation_counts(plain: Column, changed: Column, side: str) -> Column:
         "other_control_removed": F.regexp_count(plain, F.lit(_OTHER_CONTROL)),
     } | {f"removed_U+{c.zfill(4)}": F.regexp_count(plain, F.lit(f"\\x{{{c}}}")) for c in COUNTED}
     # few texts have any of them, and each is a pass over the text
-    some = (changed > 0) | plain.rlike(_COUNTED)
+    some = (changed > 0) | (~_stays(plain) & plain.rlike(_COUNTED))
     return F.when(some, sparse_map({f"{side}_{k}": c for k, c in counts.items()})).otherwise(F.create_map().cast("map<string,bigint>"))
 
 
@@ -168,24 +223,25 @@ def expected_ratio(text: Column, language: Column, registry: dict[str, str], tot
     return F.lit(None).cast("double") if out is None else out
 
 
+def may_hold(text: Column, kind: str) -> Column:
+    """The quick test of a mask."""
+    return text.contains(MAY_HOLD_PART[kind]) if kind in MAY_HOLD_PART else text.rlike(MAY_HOLD[kind])
+
+
 def masked(text: Column, kind: str) -> Column:
     """The text with one mask set; most texts have nothing to mask and are only looked at by the quick test."""
     pattern, mask = MASKS[kind]
-    return F.when(text.rlike(MAY_HOLD[kind]), F.regexp_replace(text, pattern, mask)).otherwise(text)
+    return F.when(may_hold(text, kind), F.regexp_replace(text, pattern, mask)).otherwise(text)
 
 
 def masks_in(text: Column, kind: str) -> Column:
     """How often masked() would set the mask."""
-    return F.when(text.rlike(MAY_HOLD[kind]), F.regexp_count(text, F.lit(MASKS[kind][0]))).otherwise(F.lit(0))
+    return F.when(may_hold(text, kind), F.regexp_count(text, F.lit(MASKS[kind][0]))).otherwise(F.lit(0))
 
 
 def mask_pii(text: Column) -> Column:
-    def bound(text: Column, kind: str) -> Column:
-        # the lambda binds the text, which masked() names more than once
-        return F.get(F.transform(F.array(text), lambda x: masked(x, kind)), F.lit(0))
-
     for kind in MASKS:
-        text = bound(text, kind)
+        text = bound(text, lambda x, kind=kind: masked(x, kind))
     return text
 
 
