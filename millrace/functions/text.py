@@ -258,7 +258,12 @@ def key_of(text: Column, exact: bool = False) -> Column:
     """casefold_key in built-in functions: the same wherever lower case differs from folding by ß alone. exact: the UDF."""
     if exact:
         return casefold_key(text)
-    return F.replace(F.lower(F.regexp_replace(F.regexp_replace(text, "(?U) \\s+|[\\s&&[^ ]]\\s*", " "), "^ | $", "")), F.lit("ß"), F.lit("ss"))
+    return folded(F.regexp_replace(F.regexp_replace(text, "(?U) \\s+|[\\s&&[^ ]]\\s*", " "), "^ | $", ""))
+
+
+def folded(text: Column) -> Column:
+    """The case of key_of alone: its words are those of the key, whatever white space is between them."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def text_digest(language: Column, *texts: Column, exact: bool = False) -> Column:
