@@ -1,4 +1,4 @@
-"""Text functions as column expressions; only entities, NFC and exact case folding need Python."""
+"""Text functions as column expressions; only quick tests, entities, NFC and exact case folding need Python."""
 
 from __future__ import annotations
 
